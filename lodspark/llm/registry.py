@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, decontam, langid, mixing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat.query,
+        "op6_decontaminate": decontam.query,
+        "op7_language_id": langid.query,
+        "op9_token_files": tokens.query,
         "op10_mix_sources": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontaminate": decontam.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
