@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, mixing, tokens
+from . import chat, decontam, langid, mixing, quality, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_chat_format": chat.query,
         "op6_decontaminate": decontam.query,
         "op7_language_id": langid.query,
+        "op8_toxicity": toxicity.query,
         "op9_token_files": tokens.query,
         "op10_mix_sources": mixing.query,
     }
