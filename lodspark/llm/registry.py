@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, lm, media, mixing, quality, tokens, toxicity
+from . import chat, decontam, langid, lm, media, mixing, neardup, quality, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.query,
         "op2_chat_format": chat.query,
         "op3_lattice_lm": lm.query,
+        "op4_jaccard_join": neardup.query,
         "op5_media_columns": media.query,
         "op6_decontaminate": decontam.query,
         "op7_language_id": langid.query,
