@@ -53,32 +53,32 @@ def piece_hashes(matrix: np.ndarray, length: int) -> np.ndarray:
 
 
 class Lattice:
-    """Pieces with log weights (4 rows: first or later, open or last), looked up by hash in an open table."""
+    """Pieces with log weights (4 rows: first or later, open or last), looked up by hash."""
 
     def __init__(self, pieces: list[bytes], weights: np.ndarray):
         self.weights = weights
         self.longest = max(map(len, pieces))
         hashes = np.array([piece_hashes(np.frombuffer(p, np.uint8)[None].astype(np.uint64), len(p))[0, 0] for p in pieces], np.uint64)
-        bits = 18
-        while True:  # a table wide enough that no two pieces share a place
-            place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            if len(np.unique(place)) == len(place) or bits == 24:
-                break
-            bits += 1
-        self.bits, self.hash, self.piece = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.hash[place], self.piece[place] = hashes, np.arange(len(pieces))
-        lost = self.piece[place] != np.arange(len(pieces))
-        self.more = {int(h): int(k) for h, k in zip(hashes[lost], np.flatnonzero(lost), strict=True)}
+        # Small tables in turn: a piece whose place is taken goes to the next one, by other bits of its hash.
+        self.levels: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        left, low = np.arange(len(pieces)), 64
+        while len(left):
+            bits = 19 if not self.levels else 15
+            low = low - bits if low >= bits else 64 - bits
+            place = (hashes[left] >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            key, piece = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            key[place], piece[place] = hashes[left], left
+            self.levels.append((low, bits, key, piece))
+            left = left[piece[place] != left]
         self.lengths = sorted({len(p) for p in pieces})
 
     def look_up(self, matrix: np.ndarray, length: int) -> np.ndarray:
         """Piece number at each place, or -1."""
         h = piece_hashes(matrix, length)
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = np.where(self.hash[at] == h, self.piece[at], -1)
-        if self.more:
-            odd = np.isin(h, np.array(list(self.more), np.uint64)) & (found < 0)
-            found[odd] = [self.more[int(x)] for x in h[odd]]
+        found = np.full(h.shape, -1, np.int32)
+        for low, bits, key, piece in self.levels:
+            at = (h >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            found = np.where(key[at] == h, piece[at], found)
         return found
 
     def _pass(self, matrix: np.ndarray, gather: np.ndarray | None, times: np.ndarray | None) -> np.ndarray:
