@@ -66,6 +66,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: the documents of the mix, in the columns of `docs`, each as often as it is taken.
+
+    A document at a source's cut is kept whole, so a source may exceed its budget by less than one
+    document. Documents that give no words are left out. Rows that agree in id, source and size are
+    told apart by their text.
+    """
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_SPACE)).cast("long")
+    same = W.partitionBy("doc_id", "source", "size")
+    plan = mix(docs).filter("taken > 0").withColumn("nth", F.row_number().over(same.orderBy(F.desc("taken"))))
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("nth").alias("p_nth"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = docs.withColumn("size", words).withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("nth") == F.col("p_nth"))
+    return rows.join(plan, on).withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the mix of all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
