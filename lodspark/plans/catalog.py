@@ -1,4 +1,4 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL, in one place."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import history, lookup, text_geo
+
+_PARTS = (history, lookup, text_geo)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
