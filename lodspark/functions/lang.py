@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def as_lang_map(v: Column, default: str = "en") -> Column:
     """A VARIANT that is a text or a map of texts by language, as a map; a bare text is in `default`."""
     many = F.try_variant_get(v, "$", "map<string,string>")
     text = F.try_variant_get(v, "$", "string")
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), many).when(text.isNotNull(), F.create_map(F.lit(default), text)).otherwise(F.create_map().cast("map<string,string>"))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), many).when(F.schema_of_variant(v) == "STRING", F.create_map(F.lit(default), text)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def lang_en(m: Column) -> Column:
@@ -51,10 +53,14 @@ def type_badge(types: Column) -> Column:
     """The badge of an entity's types: the first known class in a fixed order."""
     out = F.lit("?")
     for code in reversed(["E25", "E26", "E74", "E53", "E41", "E22", "E13", "E36", "E12", "E55", "E52"]):
-        out = F.when(F.exists(types, lambda t, code=code: t.contains(code)), F.lit(code)).otherwise(out)
+        out = F.when(F.exists(types, _holds(code)), F.lit(code)).otherwise(out)
     return out
 
 
+def _holds(code: str) -> Callable[[Column], Column]:
+    return lambda t: t.contains(code)
+
+
 def source_year(map_year: Column, time_span: Column) -> Column:
     """The year of a source: its map year, else the first four-digit number of its time span."""
     return F.coalesce(map_year, F.regexp_extract(time_span, r"\b(\d{4})\b", 1).try_cast("int"))

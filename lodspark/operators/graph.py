@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,14 @@ def classify(types: Column) -> Column:
     """The first known class among an entity's types, null if there is none."""
     out = F.lit(None).cast("string")
     for code in reversed(CLASSES):
-        out = F.when(F.exists(types, lambda t, code=code: t.contains(code)), F.lit(code)).otherwise(out)
+        out = F.when(F.exists(types, _holds(code)), F.lit(code)).otherwise(out)
     return out
 
 
+def _holds(code: str) -> Callable[[Column], Column]:
+    return lambda t: t.contains(code)
+
+
 def class_counts(graph: DataFrame) -> DataFrame:
     """Entities by class and in all (`class` null)."""
     return graph.rollup("class").agg(F.count(F.lit(1)).alias("n"))
