@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import fixed, float_prefix
 
-#: Namespaces: transforms mint under ONTOLOGY, the assembled graph under BASE.
-ONTOLOGY = "https://suriname-timemachine.org/ontology/"
-BASE = "https://data.suriname-timemachine.org/"
+#: Namespaces, to be set for a deployment: transforms mint under ONTOLOGY, the assembled graph under BASE.
+ONTOLOGY = "https://lod.example.org/ontology/"
+BASE = "https://lod.example.org/id/"
 PREFIXES = {
-    "https://data.suriname-timemachine.org/": "stm:",
-    "https://suriname-timemachine.org/ontology/": "onto:",
+    "https://lod.example.org/id/": "id:",
+    "https://lod.example.org/ontology/": "onto:",
     "http://www.cidoc-crm.org/cidoc-crm/": "crm:",
     "http://www.w3.org/2004/02/skos/core#": "skos:",
     "http://www.wikidata.org/entity/": "wd:",

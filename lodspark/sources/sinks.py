@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodspark.functions.uri import BASE, ONTOLOGY
 
-CONTEXT = {"@version": 1.1, "stm": BASE, "onto": ONTOLOGY, "crm": "http://www.cidoc-crm.org/cidoc-crm/", "skos": "http://www.w3.org/2004/02/skos/core#", "wd": "http://www.wikidata.org/entity/"}
+CONTEXT = {"@version": 1.1, "id": BASE, "onto": ONTOLOGY, "crm": "http://www.cidoc-crm.org/cidoc-crm/", "skos": "http://www.w3.org/2004/02/skos/core#", "wd": "http://www.wikidata.org/entity/"}
 
 
 def lines(rows: DataFrame, path: str) -> None:
