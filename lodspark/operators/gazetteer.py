@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodspark.functions import geo
-from lodspark.functions.text import normalize_label, numbered, or_blank
+from lodspark.functions.text import float_prefix, int_prefix, normalize_label, numbered
 
 from .dedupe import in_sequence, mode_first
+from .entities import reprojected
+from .matching import drop_if_known
 
 #: Order of types in lists; others come last.
 SORT_ORDER = {"district": 1, "plantation": 2, "river": 3, "creek": 4, "road": 5, "military-post": 6, "railroad": 7}
@@ -30,14 +32,24 @@ def location_note(name: Column) -> Column:
     return F.when(name.rlike("Kreek|rivier|Kanaal|kust"), "River, creek, or waterway from Surinaamse Almanakken").otherwise("Road or path from Surinaamse Almanakken")
 
 
+#: Types of the codes on the 1930 layer, fixed values; all other codes are settlements.
+PLACE_CODES = {"Astronomisch station": "station", "Kabelstation": "station", "District Commissaris": "town", "B": "maroon-village", "I": "indigenous-village"}
+
+
 def place_type(code: Column) -> Column:
     """Type of a place on the 1930 layer."""
-    return F.when(code == "B", "building").when(code == "I", "indigenous-village").when(code == "District Commissaris", "office").when(code.isin("Station", "Kabelstation", "Halte"), "station").otherwise("settlement")
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in PLACE_CODES.items() for x in pair])[code], F.lit("settlement"))
+
+
+def crm_class(kind: Column) -> Column:
+    """Class of a record's type: waters are natural features, districts places, all else made by people."""
+    return F.when(kind.isin("river", "creek"), "E26_Physical_Feature").when(kind == "district", "E53_Place").otherwise("E25_Human-Made_Feature")
 
 
-def place_description(remark: Column, note: Column) -> Column:
-    """Remarks that are not blank, joined."""
-    return F.concat_ws("; ", F.nullif(or_blank(remark), F.lit("")), F.nullif(or_blank(note), F.lit("")))
+def place_description(remark: Column, old_type: Column, old_remark: Column) -> Column:
+    """The remark, and what the 1882 map says; '' without either. Blank texts are null here."""
+    old = F.concat_ws(" -- ", old_type, old_remark)
+    return F.concat_ws("; ", remark, F.when(old != "", F.concat(F.lit("1882: "), old)))
 
 
 def map_year(sources: Column) -> Column:
@@ -59,8 +71,43 @@ def _stage(rows: DataFrame, **fields: Column) -> DataFrame:
     return rows.select(*out)
 
 
-def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: DataFrame, polygons: DataFrame) -> DataFrame:
-    """All records in stage order - districts, locations, rivers, polygons, almanac only - with ids stm-00001 on and `broader` as id."""
+def layers(places: DataFrame, military: DataFrame, roads: DataFrame, railroads: DataFrame, plantation_labels: DataFrame) -> list[DataFrame]:
+    """The stages of the point and line layers: places, military posts, roads, railways.
+
+    A place that its remark calls a plantation is left out if a plantation record (`label`) has its
+    name; places without a name get one from type and number; posts without a name, and lines without
+    geometry, are left out.
+    """
+    at = geo.reproject(float_prefix("X_coord"), float_prefix("Y_coord"))
+    kind = place_type(F.col("type1930"))
+    made = F.when(kind == "indigenous-village", "Indigenous village (fid-").when(kind == "maroon-village", "Maroon village (fid-").otherwise("Place (fid-")
+    number = int_prefix("fid").cast("int")
+    p = places.withColumn("label", F.coalesce("label1930", "label1882", F.concat(made, number.cast("string"), F.lit(")")))).withColumn("at", at)
+    p = drop_if_known(p, F.coalesce(F.col("remark1930") == "plantation", F.lit(False)), "label", plantation_labels)
+    new, old = F.col("label1930").isNotNull() | F.col("type1930").isNotNull(), F.col("label1882").isNotNull() | F.col("type1882").isNotNull()
+    tags = F.array_compact(F.array(F.when(new | ~old, F.lit("map-1930")), F.when(old, F.lit("map-1882"))))
+    others = F.array_compact(F.array(F.when(F.col("label1882") != F.col("label"), F.col("label1882")), F.when(F.col("label1930") != F.col("label"), F.col("label1930"))))
+    points = _stage(p, type=kind, label=F.col("label"), alt_labels=others, description=place_description(F.col("remark1930"), F.col("type1882"), F.col("remark1882")), lat=F.col("at.lat"), lng=F.col("at.lng"), sources=tags, fid=number, pos=F.col("pos"))
+    m = military.filter("label1882 is not null").withColumn("at", at)
+    posts = _stage(m, type=F.lit("military-post"), label=F.col("label1882"), description=F.lit("Military post from 1882 map"), lat=F.col("at.lat"), lng=F.col("at.lng"), sources=F.array(F.lit("map-1882")), fid=number, pos=F.col("pos"))
+
+    def lines(rows: DataFrame, kind: str, label: Column, others: Column, note: str) -> DataFrame:
+        rows = rows.filter("WKT_geometry is not null").withColumn("wkt", reprojected(F.col("WKT_geometry")))
+        c = geo.mean_point(geo.line_points(F.col("wkt")))
+        return _stage(rows, type=F.lit(kind), label=label, alt_labels=others, description=F.lit(note), lat=c["y"], lng=c["x"], wkt=F.col("wkt"), sources=F.array(F.lit("map-1930")), fid=number, pos=F.col("pos"))
+
+    none = F.array().cast("array<string>")
+    return [
+        points, posts, lines(roads, "road", F.concat(F.lit("Road segment "), number.cast("string")), none, "Road segment from 1930 plantation map"),
+        lines(railroads, "railroad", F.concat(F.lit("Lawa Railroad (segment "), number.cast("string"), F.lit(")")), F.array(F.lit("Lawaspoorweg")), "Railroad segment from 1930 plantation map (Lawa Railroad / Lawaspoorweg)"),
+    ]
+
+
+def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: DataFrame, polygons: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All records in stage order - districts, locations, rivers, polygons, almanac only, and the layers of `more` - with ids stm-00001 on and `broader` as id.
+
+    `more` has places, military, roads and railroads as the readers give them.
+    """
     profile = organization_profile(obs)
     ranked = lambda column: obs.filter(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
     from pyspark.sql import Window as W
@@ -90,7 +137,8 @@ def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: Dat
     own_tags = F.array_compact(F.array(F.lit("almanakken"), F.when(F.size("psur_ids") > 0, F.lit("slave-registers"))))
     rest = _stage(only, type=F.lit("plantation"), label=F.coalesce("label", "qid"), broader_name=F.col("district"), description=F.lit("Plantation from Surinaamse Almanakken (no QGIS geometry)"), sources=own_tags, qid=F.col("qid"), psur_ids=F.col("psur_ids"), location=F.col("location"), product=F.col("product"), pos=F.col("first_pos"))
 
-    rows = in_sequence([districts, places, waters, mapped, rest]).withColumn("id", numbered("stm-", F.col("seq")))
+    rest_of_map = layers(**more, plantation_labels=mapped.select("label").union(rest.select("label"))) if more else []
+    rows = in_sequence([districts, places, waters, mapped, rest, *rest_of_map]).withColumn("id", numbered("stm-", F.col("seq")))
     ids = rows.filter("stage = 0").select(F.col("label").alias("broader_name"), F.col("id").alias("broader"))
     return rows.join(ids, "broader_name", "left").drop("stage", "pos").withColumnRenamed("broader_name", "district")
 

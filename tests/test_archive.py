@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodspark.operators import assertions, entities, gazetteer, graph, placequery, store, streets
+from lodspark.operators import assemble, assertions, checks, entities, gazetteer, graph, placequery, store, streets
 from lodspark.sources import readers, sinks
 
 POLYGONS = '''fid;psur_id;psur_id2;psur_id3;label_1930;label_1860-79;qid;qid_alt;plantation_label;coords
@@ -80,6 +80,37 @@ def test_gazetteer(spark, files):
     assert (only.qid, only.label, only.sources, only.lat) == ("Q5", "Only", ["almanakken", "slave-registers"], None)
 
 
+def test_layers(spark, files, tmp_path):
+    (tmp_path / "places.csv").write_text("fid,id,label1930,type1930,remark1930,label1882,type1882,remark1882,X_coord,Y_coord\n1,a,Alpha,,plantation,,,,558964,644095\n2,b,,B,,,,,,\n3,c,,I,,Old Village,dorp,verlaten,558964,644095\n4,d,Cable,Kabelstation,note,Kabel,,,x,y\n")
+    (tmp_path / "posts.csv").write_text("fid,label1882,X_coord,Y_coord\n1, Post ,558964,644095\n2,,1,1\n")
+    (tmp_path / "roads.csv").write_text('fid,1930,WKT_geometry\n7,x,"LineString(558964 644095, 559964 645095)"\n8,y,\n')
+    rail = readers.read_layer(spark, str(tmp_path / "roads.csv"), readers.ROAD_COLUMNS)
+    labels = spark.createDataFrame([("ALPHA",)], "label string")
+    stages = gazetteer.layers(readers.read_layer(spark, str(tmp_path / "places.csv"), readers.PLACE_COLUMNS), readers.read_layer(spark, str(tmp_path / "posts.csv"), readers.MILITARY_COLUMNS), rail, rail, labels)
+    places, posts, roads, rails = [s.orderBy("pos").collect() for s in stages]
+    assert [(r.label, r.type, r.description, r.sources) for r in places] == [("Maroon village (fid-2)", "maroon-village", "", ["map-1930"]), ("Old Village", "indigenous-village", "1882: dorp -- verlaten", ["map-1930", "map-1882"]), ("Cable", "station", "note", ["map-1930", "map-1882"])]
+    assert places[2].alt_labels == ["Kabel"] and places[2].lat is None and abs(places[1].lat - 5.8237) < 1e-3
+    assert [r.label for r in posts] == ["Post"] and [r.label for r in roads] == ["Road segment 7"] and rails[0].alt_labels == ["Lawaspoorweg"] and roads[0].wkt.startswith("LINESTRING(-55.15")
+
+
+def test_assembled_graph(spark, files):
+    p = entities.plantations(readers.read_polygons(spark, str(files / "polygons.csv")))
+    r = entities.rivers(readers.read_rivers(spark, str(files / "rivers.csv")))
+    a = entities.almanac(readers.read_almanac(spark, str(files / "almanac.csv")))
+    g = assemble.graph(spark, p, r, a)
+    counts = {x["class"]: x.n for x in graph.class_counts(g).collect()}
+    assert counts["E25"] == 4 and counts["E26"] == 3 and counts["E74"] == 2 and counts["E53"] == 3 and counts["E13"] == 5 and counts["E55"] == 12 and counts["E52"] == 3
+    assert counts["E22"] == counts["E12"] == 5 and counts["E41"] == 12 and counts[None] == sum(v for k, v in counts.items() if k)
+    alpha = json.loads(g.filter("id like '%plantation/alpha'").first().body)
+    assert alpha["status"] == "built" and len(alpha["identified_by"]) == 2 and len(alpha["depicted_on"]) == 2
+    features = [json.loads(x.body) for x in assemble.features(p, r).orderBy("pos").collect()]
+    assert features[0]["geometry"]["type"] == "Polygon" and len(features[0]["geometry"]["coordinates"][0]) == 4 and features[0]["properties"]["names"] == ["Alpha", "Alpha Oud"]
+    assert features[-1]["geometry"]["type"] == "LineString" and features[-1]["properties"]["type"] == "creek"
+    report = {(x.entity, x.link): (x.linked, x.total) for x in checks.link_coverage(assemble.coverage(p, r, a)).collect()}
+    assert report[("E25", "owner")] == (3, 4) and report[("E13", "organization")] == (4, 5)
+    assert checks.dangling(assemble.source_years(spark, a), assemble.time_spans(a)).select("dst").orderBy("dst").collect()[0].dst.endswith("1870")
+
+
 def test_documents_and_presence(spark, files, tmp_path):
     rows = spark.createDataFrame([(1, '{"@id":"a","@type":"crm:E25_x"}'), (0, '{"@id":"b","@type":["crm:E53_y","z"],"typeId":"t","prefLabel":"only"}')], "pos long, body string")
     assert sinks.jsonld(rows, str(tmp_path / "g.jsonld"), "2024-01-01T00:00:00Z") == 2
