@@ -116,3 +116,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     extra = extra.select(F.lit(-1).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(said).alias("text"))
     return read_back(windows(turns.unionByName(extra)))
+
+
+ORACLE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         len(regexp_extract_all(role, '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS tokens,
+         12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS chars
+  FROM turns),
+body AS (SELECT *, pos = 1 AND role = 'system' AS system, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM placed),
+sums AS (
+  SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY pos) - own AS before,
+         max(CASE WHEN system THEN tokens END) OVER (PARTITION BY conv_id) AS system_tokens,
+         coalesce(max(CASE WHEN system THEN chars END) OVER (PARTITION BY conv_id), 0) AS system_chars
+  FROM body),
+binned AS (
+  SELECT *, before // half AS bin, NOT system AND tokens > half AS large
+  FROM (SELECT *, greatest(1024 - 128 - coalesce(system_tokens, 0), 256) // 2 AS half FROM sums)),
+windows AS (
+  SELECT conv_id, bin, large, min(pos) AS first, arg_min(before, pos) AS start, sum(chars) AS chars, min(system_chars) AS system_chars FROM binned GROUP BY conv_id, bin, large),
+past AS (
+  SELECT w.conv_id, w.first, coalesce(sum(b.chars), 0) AS chars
+  FROM windows w LEFT JOIN binned b ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND NOT b.system AND b.before BETWEEN w.start - 128 AND w.start - 1
+  WHERE w.first > 1 GROUP BY w.conv_id, w.first),
+sizes AS (
+  SELECT w.conv_id, sum(w.chars + CASE WHEN w.first > 1 THEN w.system_chars + p.chars ELSE 0 END)::BIGINT AS formatted_chars
+  FROM windows w LEFT JOIN past p ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.first = p.first GROUP BY w.conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learnt
+  FROM placed GROUP BY conv_id)
+SELECT s.conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM said s JOIN sizes z ON s.conv_id IS NOT DISTINCT FROM z.conv_id
+"""

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": chat.ORACLE,
         "op6_decontaminate": decontam.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
