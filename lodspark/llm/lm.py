@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lattice
-from .common import fold_of, saved
+from .common import discard, fold_of, saved, scratch
 from .tokens import tokenizer_path
 
 #: Most frequent words that are broadcast (a bound, whatever the corpus), words a task counts before it
@@ -105,12 +105,14 @@ def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None,
     """
     spark = docs.sparkSession
     pieces = pieces or lattice.vocabulary(tokenizer_path())
-    counted = saved(word_counts(train), "lm-counts")
+    held = scratch(spark, "lm-counts")
+    counted = saved(word_counts(train), "lm-counts", held)
     ends = train.count()
     sums = counted.agg(F.sum("c").alias("n"), F.count("c").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     model = Chances(fit(counted, pieces), sums.n or 0, sums.v, sums.once, sums.twice)
     known = saved(with_chance(counted, model), "lm-chances")
+    discard(spark, held)
     top = known.orderBy(F.desc("c"), "word").limit(common).toArrow()
     words = {w: k for k, w in enumerate(top["word"].to_pylist())}
     shared = spark.sparkContext.broadcast((words, top["c"].to_numpy().astype(float), top["chance"].to_numpy(), model))
