@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .common import discard, saved, scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang each node's larger (or smaller and own) neighbours on the least of its neighbours and itself."""
+def _stars(edges: DataFrame, large: bool, path: str) -> DataFrame:
+    """Hang each node's larger (or smaller and own) neighbours on the least of its neighbours and itself.
+
+    The least neighbours are written to `path` first: a join of two tables, unlike one with an
+    aggregation in the same stage, lets Spark split the rows of a node with very many neighbours.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", path)
     met = both.join(least, "u")
     if large:
         return met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b")
@@ -33,8 +37,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        fresh = scratch(spark, "edges")
-        now = saved(_stars(_stars(now, True), False).distinct(), "edges", fresh)
-        discard(spark, path)
+        fresh, hung, *least = (scratch(spark, "edges") for _ in range(4))
+        stars = saved(_stars(now, True, least[0]).distinct(), "edges", hung)
+        now = saved(_stars(stars, False, least[1]).distinct(), "edges", fresh)
+        for done in (path, hung, *least):
+            discard(spark, done)
         path = fresh
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select("b", "b")).distinct()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, spans_of, utf8
+from .common import discard, saved, scratch, spans_of, utf8
 from .components import components
 from .words import mix, window_hashes, word_hashes
 
@@ -208,23 +208,31 @@ def _tiled(rows: DataFrame, size: str, key: str, limit: int) -> DataFrame:
 
 def candidates(sets: DataFrame, runs: int | None = None) -> DataFrame:
     """Edges `a, b` between sets (`cid, tokens`) that share a small node and agree on their sketches: enough to hold each group together."""
-    runs = runs or runs_needed()
-    rows = saved(sets.mapInArrow(_roots(runs), _ROW), "paths")
+    spark, runs = sets.sparkSession, runs or runs_needed()
+    path = scratch(spark, "paths")
+    rows = saved(sets.mapInArrow(_roots(runs), _ROW), "paths", path)
     found = None
     for level in range(1, DEPTH + 1):
-        counts = saved(rows.groupBy("node").agg(F.count("node").alias("members")).filter("members > 1"), "nodes")
+        nodes = scratch(spark, "nodes")
+        counts = saved(rows.groupBy("node").agg(F.count("node").alias("members")).filter("members > 1"), "nodes", nodes)
         last = level == DEPTH
         small = counts if last else counts.filter(F.col("members") <= LIMIT)
         bucket = _tiled(rows.join(small, "node"), "members", "node", LIMIT)
-        parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         bucket = bucket.select("node", "tile_a", "tile_b", "cid", "low", "high").repartition(parts, "node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b")
         edges = saved(bucket.mapInArrow(_brute_force, "a binary, b binary").distinct(), "candidates")
         found = edges if found is None else found.union(edges)
         hot = counts.filter(F.col("members") > LIMIT)
-        if last or hot.isEmpty():
+        more = not last and not hot.isEmpty()
+        if more:
+            below = rows.join(hot, "node").select("node", "cid").join(sets, "cid").select("node", "cid", "tokens")
+            deeper = scratch(spark, "paths")
+            rows = saved(below.mapInArrow(_deeper, _ROW), "paths", deeper)
+        discard(spark, path)
+        discard(spark, nodes)
+        if not more:
             break
-        below = rows.join(hot, "node").select("node", "cid").join(sets, "cid").select("node", "cid", "tokens")
-        rows = saved(below.mapInArrow(_deeper, _ROW), "paths")
+        path = deeper
     return found
 
 
@@ -337,10 +345,12 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one row of each class stays, with the columns of `docs`; all texts without words stay."""
-    kept = join(docs).filter("keep").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
-    return met.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
+    # The same key columns in the join and in dropDuplicates: texts are shuffled once.
+    keys = ["kept_id", "kept_null", "kept_hash"]
+    keyed = lambda t, h: t.withColumns({"kept_id": F.coalesce("doc_id", F.lit(0)), "kept_null": F.col("doc_id").isNull(), "kept_hash": h})
+    kept = keyed(join(docs).filter("keep"), F.col("text_hash")).select(*keys).distinct()
+    rows = keyed(docs, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ Layout of a token folder, all in Parquet so that any store Spark reads will do:
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -35,6 +36,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file; the driver needs no more of it."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    return 1 + max([*file["model"]["vocab"].values(), *[t["id"] for t in file["added_tokens"]]])
+
+
 class WordEncoder(dict):
     """Ids of white-space separated words, as little-endian 16-bit bytes; two generations bound the cache.
 
@@ -54,7 +62,6 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -144,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path()
-    size = WordEncoder.of(tokenizer).size
+    size = vocabulary_size(tokenizer)
     held = scratch(spark, "token-ids")
     # The only pass through the tokenizer; counts and codes both read what it wrote.
     staged = saved(encode_ids(docs, tokenizer, end_id), "token-ids", held)
