@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised test windows meets every training window.
 
 Benchmark items are few but not bounded by contract, so they are broadcast in blocks of bounded
-size; each block is one more pass of the same scan. Hash hits are verified word by word.
+size; each block is one more pass over the documents. Hash hits are verified word by word.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spans_of, utf8
+from .common import saved, spans_of, utf8
 from .words import FOLD_BYTES, split_words, window_hashes, word_hashes
 
 #: Words in a window; bytes of benchmark text that one broadcast may hold.
-WINDOW, BLOCK_BYTES = 10, 32 << 20
+WINDOW, BLOCK_BYTES = 10, 16 << 20
 _BITS = 22
 
 HITS = T.StructType([
@@ -30,42 +30,49 @@ HITS = T.StructType([
 
 
 class WindowSet:
-    """The windows of some benchmark items, by length: sorted hashes, a bitmap before them, and the words to verify."""
+    """The windows of some benchmark items, by length: sorted hashes with their places, a bitmap before them, and the words to verify.
+
+    Each window takes 16 bytes (hash and place) beside its item's normalised text, which is held once.
+    """
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.owners: dict[bytes, list[str]] = defaultdict(list)
-        lengths: dict[int, set[bytes]] = defaultdict(set)
-        for name, text in items:
-            words = split_words((text or "").encode())
-            n = min(size, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                key = b" ".join(words[i : i + n])
-                if name not in self.owners[key]:
-                    self.owners[key].append(name)
-                lengths[n].add(key)
-        self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for n, keys in sorted(lengths.items()):
-            joined = b"".join(sorted(keys))
-            at = np.cumsum([0, *map(len, sorted(keys))])
-            words, first = word_hashes(np.frombuffer(joined, np.uint8), at)
-            hashes = np.unique(_windows(words, first, n))
+        split = [(name, w) for name, text in items if (w := split_words((text or "").encode()))]
+        self.names = [name for name, _ in split]
+        self.text = b" ".join(b" ".join(w) for _, w in split)
+        many = np.array([len(w) for _, w in split], np.int64)
+        long = np.fromiter((len(x) for _, w in split for x in w), np.int64)
+        self.stop = np.cumsum(long + 1) - 1
+        self.start = self.stop - long
+        #: First word of each item.
+        self.first = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        words, _ = word_hashes(np.frombuffer(self.text, np.uint8), np.array([0, len(self.text)], np.int64))
+        length = np.minimum(many, size)
+        last = np.repeat(self.first[1:] - length, many)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length).tolist():
+            place = np.flatnonzero((np.repeat(length, many) == n) & (np.arange(len(words)) <= last))
+            hashes = window_hashes(words, n)[place]
+            by = np.argsort(hashes, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)
             bitmap[hashes >> np.uint64(64 - _BITS)] = True
-            self.by_length.append((n, hashes, bitmap))
+            self.by_length.append((n, hashes[by], place[by], bitmap))
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Window length and start positions whose hash is in the set."""
-        for n, hashes, bitmap in self.by_length:
+        """Number of the window length and start positions whose hash is in the set."""
+        for k, (n, hashes, _, bitmap) in enumerate(self.by_length):
             h = window_hashes(words, n)
             maybe = np.flatnonzero(bitmap[h >> np.uint64(64 - _BITS)])
             if len(maybe):
                 at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-                yield n, maybe[hashes[at] == h[maybe]]
-
+                yield k, maybe[hashes[at] == h[maybe]]
 
-def _windows(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the windows of texts that all have exactly n words."""
-    return window_hashes(words, n)[first[:-1]]
+    def owners(self, k: int, key: bytes, h: np.uint64) -> set[str]:
+        """Names of the items that have this very window."""
+        _, hashes, place, _ = self.by_length[k]
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        n = self.by_length[k][0]
+        same = [w for w in place[low:high].tolist() if self.text[self.start[w] : self.stop[w + n - 1]] == key]
+        return {self.names[i] for i in np.searchsorted(self.first, same, "right") - 1} if same else set()
 
 
 def _scan(found: WindowSet, text: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
@@ -75,20 +82,22 @@ def _scan(found: WindowSet, text: pa.Array) -> tuple[np.ndarray, list[list[tuple
     for low, high in spans_of(offsets, 1 << 20):
         words, first = word_hashes(data, offsets[low : high + 1])
         counts.append(np.diff(first))
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, starts in found.candidates(words):
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for k, starts in found.candidates(words):
+            n = found.by_length[k][0]
             of = np.searchsorted(first, starts, "right") - 1
             inside = starts + n <= first[of + 1]
             for d, i in zip(of[inside].tolist(), (starts - first[of])[inside].tolist(), strict=True):
-                hits[d].append((i, n))
+                hits[d].append((i, n, k))
         for d, places in hits.items():
             own = split_words(data[offsets[low + d] : offsets[low + d + 1]].tobytes())
             names: set[str] = set()
             real = []
-            for i, n in sorted(places):
-                owners = found.owners.get(b" ".join(own[i : i + n]))
+            for i, n, k in sorted(places):
+                h = window_hashes(words[first[d] + i : first[d] + i + n], n)[0]
+                owners = found.owners(k, b" ".join(own[i : i + n]), h)
                 if owners:
-                    names.update(owners)
+                    names |= owners
                     if real and i <= real[-1][1]:
                         real[-1] = (real[-1][0], max(real[-1][1], i + n))
                     else:
@@ -119,24 +128,33 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     as ''. All columns of `docs` pass through (`keep_text=False` leaves out `text`); names that clash
     with the new ones are replaced. An empty benchmark or table gives no hits.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "spans", "items")
-    columns = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    out = T.StructType(columns + HITS.fields)
-    sets = [spark.sparkContext.broadcast(WindowSet(b, size)) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(WindowSet([], size))]
+    whole, found = docs.columns, None
+    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+        if k:  # a table between two passes: no task holds two blocks
+            found = saved(found, "decontam-hits")
+        found = _pass(docs if found is None else found, WindowSet(block, size))
+    found = _pass(docs, WindowSet([], size)) if found is None else found
+    return found if keep_text else found.select(*[c for c in whole if c != "text"], *HITS.names)
+
+
+def _pass(docs: DataFrame, block: WindowSet) -> DataFrame:
+    """`docs` with the hits of one block, added to those it has already."""
+    held = [f for f in docs.schema.fields if f.name not in HITS.names]
+    again = len(held) < len(docs.schema.fields)
+    out = T.StructType(held + HITS.fields)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            spans, items = [[] for _ in range(len(text))], [[] for _ in range(len(text))]
-            for one in sets:
-                counts, more, names = _scan(one.value, text)
-                for i in range(len(text)):
-                    if more[i]:
-                        spans[i] = _union(spans[i], more[i])
-                        items[i] = sorted({*items[i], *names[i]})
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            counts, spans, items = _scan(shared.value, column("text"))
+            if again:
+                before = [[(x["start"], x["stop"]) for x in row] for row in column("spans").to_pylist()]
+                spans = [_union(a, b) for a, b in zip(before, spans, strict=True)]
+                items = [sorted({*a, *b}) for a, b in zip(column("items").to_pylist(), items, strict=True)]
             kinds = [pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in columns]
+            arrays = [column(f.name) for f in held]
             arrays += [pa.array(counts, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], kinds[0]), pa.array(items, kinds[1])]
             yield pa.RecordBatch.from_arrays(arrays, out.names)
 
