@@ -10,20 +10,20 @@ segmentations. The marginal probability of a word is a log-space forward recursi
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 
 from .words import mix
 
-#: Longest piece in bytes; rows of the weight tables.
-LONGEST = 12
+#: Rows of the weight tables.
 FIRST_OPEN, FIRST_LAST, LATER_OPEN, LATER_LAST = range(4)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = -1e30
 
 
-def vocabulary(path: str, longest: int = LONGEST) -> list[bytes]:
-    """Byte strings of the pieces of a byte-level vocabulary file, in the file's order, each once; every single byte is among them.
+def vocabulary(path: str) -> list[bytes]:
+    """Byte strings of the pieces of a byte-level vocabulary file, of whatever length, in the file's order, each once; every single byte is among them.
 
     The file marks word ends with `</w>`; here the lattice decides which piece is last, so a piece
     and its word-end form count as one. Pieces in upper case can't occur in lower-cased words.
@@ -38,18 +38,20 @@ def vocabulary(path: str, longest: int = LONGEST) -> list[bytes]:
         raw = piece.removesuffix("</w>")
         if raw and all(c in byte for c in raw):
             raw = bytes(byte[c] for c in raw)
-            if len(raw) <= longest and raw == raw.lower():
+            if raw == raw.lower():
                 pieces.setdefault(raw)
     return list(pieces)
 
 
-def piece_hashes(matrix: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` bytes from each place of the rows on."""
-    n = matrix.shape[1] - length + 1
-    h = np.full((matrix.shape[0], n), length, np.uint64)
-    for k in range(length):
-        h = h * _STEP + matrix[:, k : k + n]
-    return mix(h)
+def piece_hashes(matrix: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of `lengths`, in ascending order: the hash of that many bytes from each place of the rows on. Each length goes on from the one before."""
+    wide = matrix.astype(np.uint64)
+    h, width = np.zeros(wide.shape, np.uint64), wide.shape[1]
+    wanted = {x for x in lengths if x <= width}
+    for k in range(max(wanted, default=0)):
+        h = h[:, : width - k] * _STEP + wide[:, k:]
+        if k + 1 in wanted:
+            yield k + 1, mix(h ^ (np.full(1, k + 1, np.uint64) * _SIZE))
 
 
 class Lattice:
@@ -57,8 +59,12 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], weights: np.ndarray):
         self.weights = weights
-        self.longest = max(map(len, pieces))
-        hashes = np.array([piece_hashes(np.frombuffer(p, np.uint8)[None].astype(np.uint64), len(p))[0, 0] for p in pieces], np.uint64)
+        self.lengths = sorted({len(p) for p in pieces})
+        hashes, sizes = np.zeros(len(pieces), np.uint64), np.array(list(map(len, pieces)))
+        for size in self.lengths:
+            at = np.flatnonzero(sizes == size)
+            matrix = np.frombuffer(b"".join(pieces[k] for k in at), np.uint8).reshape(len(at), size)
+            hashes[at] = next(piece_hashes(matrix, [size]))[1][:, 0]
         # Small tables in turn: a piece whose place is taken goes to the next one, by other bits of its hash.
         self.levels: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         left, low = np.arange(len(pieces)), 64
@@ -70,11 +76,9 @@ class Lattice:
             key[place], piece[place] = hashes[left], left
             self.levels.append((low, bits, key, piece))
             left = left[piece[place] != left]
-        self.lengths = sorted({len(p) for p in pieces})
 
-    def look_up(self, matrix: np.ndarray, length: int) -> np.ndarray:
-        """Piece number at each place, or -1."""
-        h = piece_hashes(matrix, length)
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """Piece number at each place, or -1, by the hashes there."""
         found = np.full(h.shape, -1, np.int32)
         for low, bits, key, piece in self.levels:
             at = (h >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -84,8 +88,9 @@ class Lattice:
     def _pass(self, matrix: np.ndarray, gather: np.ndarray | None, times: np.ndarray | None) -> np.ndarray:
         """Natural-log probability of words of equal length; with `gather`, expected uses of pieces are added to it."""
         rows, n = matrix.shape
-        wide = matrix.astype(np.uint64)
-        found = {size: self.look_up(wide, size) for size in self.lengths if size <= n}
+        found = {size: self.look_up(h) for size, h in piece_hashes(matrix, self.lengths)}
+        # Places where some word has a piece of that size: the others have no arc and add nothing to the sums.
+        met = {size: (f >= 0).any(0) for size, f in found.items()}
         weight = np.concatenate([self.weights, np.full((4, 1), _NONE)], axis=1)
 
         def arc(at: int, size: int) -> np.ndarray:
@@ -95,14 +100,18 @@ class Lattice:
         alpha = np.full((n + 1, rows), _NONE)
         alpha[0] = 0
         for end in range(1, n + 1):
-            ways = np.array([alpha[end - size] + arc(end - size, size) for size in found if size <= end])
+            ways = np.array([alpha[end - size] + arc(end - size, size) for size in found if size <= end and met[size][end - size]])
+            if not len(ways):
+                continue
             most = ways.max(0)
             alpha[end] = most + np.log(np.exp(ways - most).sum(0))
         if gather is not None:
             beta = np.full((n + 1, rows), _NONE)
             beta[n] = 0
             for at in range(n - 1, -1, -1):
-                sizes = [size for size in found if at + size <= n]
+                sizes = [size for size in found if at + size <= n and met[size][at]]
+                if not sizes:
+                    continue
                 arcs = [arc(at, size) for size in sizes]
                 ways = np.array([a + beta[at + size] for size, a in zip(sizes, arcs, strict=True)])
                 most = ways.max(0)

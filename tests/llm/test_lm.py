@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 from collections import Counter
 
@@ -29,6 +30,21 @@ def test_forward_recursion_sums_all_segmentations():
     assert np.allclose(got, [math.log(brute(w, pieces, model.weights)) for w in words])
 
 
+def test_vocabulary_and_recursion_have_pieces_of_all_lengths():
+    pieces = lattice.vocabulary(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        ascii_ones = {p.removesuffix("</w>").encode() for p in json.load(f)["model"]["vocab"] if p.isascii()} - {b""}
+    assert {p for p in ascii_ones if p == p.lower()} <= set(pieces)
+    words = [b"illustrations", b"automatically", b"qualifications", b"xautomatically"]
+    assert {w.removeprefix(b"x") for w in words} <= set(pieces)
+    model = lattice.Lattice(pieces, lattice.first_weights(pieces))
+    assert np.allclose(model.run(words), [math.log(brute(w, pieces, model.weights)) for w in words])
+    uses = np.zeros(model.weights.shape)
+    model.run(words[:1], uses, np.ones(1))
+    whole = math.exp(model.weights[lattice.FIRST_LAST][pieces.index(words[0])] - model.run(words[:1])[0])
+    assert np.isclose(uses[lattice.FIRST_LAST][pieces.index(words[0])], whole)
+
+
 def test_expected_uses_are_those_of_all_segmentations():
     pieces = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc"]
     w = lattice.first_weights(pieces)
