@@ -15,6 +15,12 @@ def _persons(s, d):
     return registers.linked_persons(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), ["lang"], "name")
 
 
+def _whole_persons(s, d):
+    """All customers against all customers of their nation, by whole names."""
+    p = table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_name").alias("name"))
+    return registers.linked_persons(p, p, ["c_nationkey"], "name")
+
+
 def _roles(s, d):
     li = table(s, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("wts_flag_1"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("wts_flag_2"), F.col("l_linestatus").alias("dec_flag"))
     return registers.roles(li, {"dec": 1, "wts": 2}, ["flag"], "l_orderkey").groupBy("role", "nth", "flag").agg(F.count(F.lit(1)).alias("n"))
@@ -69,6 +75,7 @@ def _keys(s, d):
 
 QUERIES = {
     "person_links": _persons,
+    "person_links_whole": _whole_persons,
     "certificate_roles": _roles,
     "attribute_counts": _attributes,
     "standard_terms": _terms,

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodspark.operators import checks, dedupe, matching, merging, registers, store
+from lodspark.plans import quality
 from lodspark.streaming.sessions import sessions
 
 NAMES = "names array<struct<text:string,language:string,type:string,is_preferred:boolean,source:string,source_year:int>>"
@@ -46,6 +47,25 @@ def test_person_links_equal_all_pairs(spark):
     assert sorted(map(tuple, registers.linked_persons(a, a, ["ward"], "name").collect())) == want
 
 
+def test_whole_person_links_take_all_rows_and_whole_names(spark, tmp_path):
+    names = ["johanna petronella", "johanna petronela", "johanna petrus", "johanna petronella", "johanna petrux", "Johanna  Petrus!", None, "", "a", "abc"]
+    rows = [(2 * i, n, i % 2) for i, n in enumerate(names)] + [(2 * i, n, 2) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            row, last = [i], row
+            for j, q in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+        return row[-1]
+
+    key = lambda n: " ".join((n or "").lower().replace("!", "").split())
+    want = {(i, j, edits(key(x), key(y))) for i, x, g in rows for j, y, h in rows if g == h and key(x) and key(y) and edits(key(x), key(y)) <= 2}
+    got = quality.QUERIES["person_links_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and "person_links_whole" not in quality.SQL
+
+
 def test_sequence_and_last_wins(spark):
     a, b = spark.range(5).select(F.col("id").alias("pos")), spark.range(3).select(F.col("id").alias("pos"))
     got = dedupe.in_sequence([a, b]).orderBy("seq").collect()
