@@ -92,13 +92,14 @@ def fit(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, ranks: int = RA
     counts are added up on the cluster and `ranks` rows a language come to the driver.
     """
     spark = docs.sparkSession
-    known = train.select("doc_id", "lang").filter("doc_id is not null and lang is not null")
+    # Each id once: shares of repeated rows would put the cut below all ids of a language.
+    known = train.select("doc_id", "lang").filter("doc_id is not null and lang is not null").distinct()
     # Hashes below 4 samples' share of a language are enough to find its `sample` lowest: what is
     # sorted does not grow with the language.
     hashed = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11))
     shares = known.groupBy("lang").agg((F.lit(4.0 * sample * (1 << 53)) / F.count("lang")).alias("most"))
     order = W.partitionBy("lang").orderBy("h", "doc_id")
-    picked = hashed.join(shares, "lang").filter("h < most").select("doc_id", "lang", "h").distinct()
+    picked = hashed.join(shares, "lang").filter("h < most").select("doc_id", "lang", "h")
     picked = picked.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample).select("doc_id", "lang")
     # Bounded by `sample` ids a language.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "text")

@@ -11,6 +11,13 @@ def test_accuracy_on_held_out_documents(odd):
     assert out.count() == odd.count() and all(0 <= r.score <= 1 for r in odd_ones.values())
 
 
+def test_repeated_rows_do_not_hide_a_language(spark):
+    rows = [(k, "das ist ein haus und ein garten", "de") for k in range(3)] * 500 + [(k, "this is the house and the garden", "en") for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    profiles = langid.fit(docs, docs, sample=2)
+    assert profiles.langs == ["de", "en"] and profiles.predict("das haus und ein garten")[0] == "de"
+
+
 def test_distance_is_out_of_place():
     rows = [("a", int(k), r) for r, k in enumerate(langid._ranked(langid.ngrams("aab aab aac"), 50))]
     profiles = langid.Profiles(rows, 50)
