@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mjpeg
-from .common import spans_of, utf8
+from .common import saved, spans_of, utf8
 
 #: Histogram bins, memory of the running mean, deviations above it, least difference of a shot.
 BINS, MEMORY, WIDTH, FLOOR = 16, 0.1, 3.0, 0.25
@@ -144,8 +144,8 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every document through an AVI file and back; `feature` lists frames, shots and the shots' first frames."""
-    read = read_media(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """op5: every document into a stored AVI file and back from there; `feature` lists frames, shots and the shots' first frames."""
+    read = read_media(saved(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
     starts = F.array_join(F.transform("clips", lambda c: c["first_frame"].cast("string")), ",")
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("shots="), F.size("clips")), F.concat(F.lit("at="), starts))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

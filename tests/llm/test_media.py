@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lodspark.llm import media, mjpeg
+from lodspark.llm import common, media, mjpeg
 
 
 def naive_decode(scan: bytes) -> list[list[int]]:
@@ -80,6 +80,15 @@ def test_round_trip_of_odd_texts(odd, odd_rows, none):
     assert media.read_media(media.to_media(none)).count() == 0
 
 
+def test_query_reads_files_that_are_stored(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a few words"), (2, None), (3, "x" * 5000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{tmp_path}/shared")
+    out = {r.doc_id: r for r in media.query(spark, str(tmp_path)).collect()}
+    stored = spark.read.parquet(*map(str, tmp_path.glob("shared/media-*"))).collect()
+    assert sorted(r.doc_id for r in stored) == [1, 2, 3]
+    assert all(hashlib.sha256(r.media).hexdigest() == out[r.doc_id].media_sha256 for r in stored)
+
+
 def test_shots_follow_adaptive_threshold():
     a, b = np.eye(16)[0], np.eye(16)[9]
     grams = np.array([a] * 5 + [b] * 5 + [0.9 * b + 0.1 * a] * 3)
