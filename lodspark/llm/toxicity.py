@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-N-grams of three to eight characters are hashed to buckets. Over a bounded, labelled sample the
+N-grams of 3, 5, 7 and 8 characters are hashed to buckets. Over a bounded, labelled sample the
 cluster counts in how many toxic and other texts each bucket occurs; the buckets that tell the
-classes apart best become features, whose value in a text is the log of the ratio of the two
+classes apart best (8192 of those in five texts or more) become features, whose value in a text is the log of the ratio of the two
 smoothed shares if the text has it, else 0. A regularised logistic model weights them.
 """
 
