@@ -59,6 +59,16 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("share", F.col("present") / F.nullif("total", F.lit(0)))
 
 
+def walk_counts(edges: DataFrame, depth: int) -> DataFrame:
+    """`dst, depth, n`: how many walks of each length up to `depth` end at a node. Walks are counted per node before each join."""
+    walk = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    out = walk.withColumn("depth", F.lit(1))
+    for d in range(2, depth + 1):
+        walk = edges.join(walk.select(F.col("dst").alias("src"), "n"), "src").groupBy("dst").agg(F.sum("n").alias("n"))
+        out = out.unionByName(walk.withColumn("depth", F.lit(d)))
+    return out.select("dst", "depth", "n")
+
+
 def hops(edges: DataFrame, depth: int) -> DataFrame:
     """`src, dst, depth`: ends of all walks of up to `depth` edges along `edges` (src, dst)."""
     walk = edges.select("src", "dst").withColumn("depth", F.lit(1))

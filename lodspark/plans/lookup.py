@@ -173,6 +173,18 @@ def _provenance(s, d):
     return reached.groupBy("dst", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _provenance_of_lines(s, d):
+    """Walks of up to four hops from line to order, customer, nation and region."""
+    text = lambda p, *c: F.concat(F.lit(p), F.concat_ws("-", *c))
+    edges = graph.union_all([
+        table(s, d, "lineitem").select(text("l", "l_orderkey", "l_linenumber").alias("src"), text("o", "l_orderkey").alias("dst")),
+        table(s, d, "orders").select(text("o", "o_orderkey").alias("src"), text("c", "o_custkey").alias("dst")),
+        table(s, d, "customer").select(text("c", "c_custkey").alias("src"), text("n", "c_nationkey").alias("dst")),
+        table(s, d, "nation").select(text("n", "n_nationkey").alias("src"), text("r", "n_regionkey").alias("dst")),
+    ])
+    return graph.walk_counts(edges, 4).filter(F.col("dst").startswith("r"))
+
+
 def _places(s, d):
     return table(s, d, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_acctbal").alias("size"), (F.col("s_suppkey") % 10 == 3).alias("deprecated"),
@@ -260,6 +272,7 @@ QUERIES = {
     "unlinked_pct": _unlinked,
     "role_unpivot": _roles,
     "provenance_depth": _provenance,
+    "provenance_depth_lines": _provenance_of_lines,
     "upsert_places": _upsert,
     "patch_places": _patch,
     "tombstone_places": _retire,

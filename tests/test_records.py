@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodspark.operators import checks, dedupe, matching, merging, registers, store
-from lodspark.plans import quality
+from lodspark.plans import lookup, quality
 from lodspark.streaming.sessions import sessions
 
 NAMES = "names array<struct<text:string,language:string,type:string,is_preferred:boolean,source:string,source_year:int>>"
@@ -66,6 +66,17 @@ def test_whole_person_links_take_all_rows_and_whole_names(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and "person_links_whole" not in quality.SQL
 
 
+def test_lines_have_a_depth(spark, tmp_path):
+    tables = {
+        "lineitem": ("l_orderkey long, l_linenumber int", [(1, 1), (1, 2), (2, 1), (9, 1)]), "orders": ("o_orderkey long, o_custkey long", [(1, 5), (2, 6), (3, 6)]),
+        "customer": ("c_custkey long, c_nationkey int", [(5, 0), (6, 1)]), "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 1), (2, 1)]),
+    }
+    for name, (kind, rows) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in lookup.QUERIES["provenance_depth_lines"](spark, str(tmp_path)).collect()}
+    assert got == {("r0", 1, 1), ("r1", 1, 2), ("r0", 2, 1), ("r1", 2, 1), ("r0", 3, 1), ("r1", 3, 2), ("r0", 4, 2), ("r1", 4, 1)}
+
+
 def test_sequence_and_last_wins(spark):
     a, b = spark.range(5).select(F.col("id").alias("pos")), spark.range(3).select(F.col("id").alias("pos"))
     got = dedupe.in_sequence([a, b]).orderBy("seq").collect()
