@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,19 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in a local session that names none.
+
+    On a cluster a folder of the driver's own would lose rows, so there it has to be configured.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="lodspark-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -41,6 +48,16 @@ def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared folder for tables that nothing needs after the block: it is removed then, also after an error."""
+    path = scratch(spark, name)
+    try:
+        yield path
+    finally:
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more, on whatever file system it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +24,25 @@ def _stars(edges: DataFrame, large: bool, path: str) -> DataFrame:
     return met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a != b")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """`id, comp`: for each node of `edges` (a, b of one orderable type) the least node of its component.
 
-    Each round is two joins by node; no list of neighbours is ever one row, and nothing but three
-    numbers a round reaches the driver. Rounds grow with the logarithm of the longest chain.
+    Each round is two joins by node; no list of neighbours is ever one row, and nothing but two
+    numbers a round reaches the driver. Rounds go on until one changes nothing, however many that
+    takes; they grow with the logarithm of the longest chain. Null nodes and edges of a node to
+    itself take no part. The edges that the result reads lie in `folder` (a shared one by default).
     """
     spark = edges.sparkSession
-    path = scratch(spark, "edges")
+    place = lambda: f"{folder}/edges-{uuid.uuid4().hex}" if folder else scratch(spark, "edges")
+    path = place()
     now = saved(edges.select("a", "b").filter("a != b").distinct(), "edges", path)
     seen = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if state == seen or not state[0]:
             break
         seen = state
-        fresh, hung, *least = (scratch(spark, "edges") for _ in range(4))
+        fresh, hung, *least = (place() for _ in range(4))
         stars = saved(_stars(now, True, least[0]).distinct(), "edges", hung)
         now = saved(_stars(stars, False, least[1]).distinct(), "edges", fresh)
         for done in (path, hung, *least):

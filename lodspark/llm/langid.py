@@ -21,6 +21,8 @@ from .common import fold_of
 
 #: Ranks in a profile; labelled documents that a language's profile is fitted on at most.
 RANKS, SAMPLE = 300, 400
+#: Parts in which a language's lowest hashes are looked for first.
+SALTS = 16
 #: The pipeline rejects documents that match no language better than this share of the worst distance.
 MIN_SCORE = 0.05
 
@@ -85,24 +87,24 @@ class Profiles:
         return self.langs[best], float(1 - away[best] / (self.ranks * len(grams)))
 
 
-def fit(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
-    """Profiles from `train` (doc_id, lang): per language at most `sample` documents, those of the lowest hash.
+def fit(train: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
+    """Profiles from `train` (doc_id, lang, text): per language `sample` documents, or all if there are fewer, those of the lowest hash.
 
-    Null languages and ids are left out. Only the sampled texts are read into n-grams; their
-    counts are added up on the cluster and `ranks` rows a language come to the driver.
+    Null languages and ids are left out. A document is an id in a language: repeated rows, and rows
+    that share an id, count once, with their least text, so they can neither crowd out a language nor
+    outgrow the sample. Only the sampled texts are read into n-grams; their counts are added up on
+    the cluster and `ranks` rows a language come to the driver.
     """
-    spark = docs.sparkSession
-    # Each id once: shares of repeated rows would put the cut below all ids of a language.
-    known = train.select("doc_id", "lang").filter("doc_id is not null and lang is not null").distinct()
-    # Hashes below 4 samples' share of a language are enough to find its `sample` lowest: what is
-    # sorted does not grow with the language.
-    hashed = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11))
-    shares = known.groupBy("lang").agg((F.lit(4.0 * sample * (1 << 53)) / F.count("lang")).alias("most"))
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
-    picked = hashed.join(shares, "lang").filter("h < most").select("doc_id", "lang", "h")
-    picked = picked.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample).select("doc_id", "lang")
+    known = train.filter("doc_id is not null and lang is not null")
+    hashed = known.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    # Two stages of lowest hashes: the first, dealt by salt, leaves at most `sample` rows a language and salt.
+    hashed = hashed.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        order = W.partitionBy(*keys).orderBy("h", "doc_id")
+        hashed = hashed.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample).drop("rn")
     # Bounded by `sample` ids a language.
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "text")
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(hashed.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +141,12 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Pipeline stage: documents whose language is found; `und` and texts unlike every profile go. Columns stay as they are."""
     train = docs.filter(fold_of(3) != 1)
     names = ("identified_lang", "identified_score")  # not among the columns of documents
-    scored = predict(docs, fit(docs, train), docs.columns, names)
+    scored = predict(docs, fit(train), docs.columns, names)
     return scored.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document's language, learnt from the documents outside fold 1 of 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    profiles = fit(docs, docs.filter(fold_of(3) != 1))
+    profiles = fit(docs.filter(fold_of(3) != 1))
     return predict(docs, profiles, ["doc_id"]).select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score")

@@ -20,7 +20,7 @@ def test_stages_equal_their_brute_force(spark, odd_rows, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontaminate", "mix_sources", "token_files"]
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
-    model = langid.fit(docs, docs.filter(fold_of(3) != 1))
+    model = langid.fit(docs.filter(fold_of(3) != 1))
     kept = [r for r in rows if model.predict(r[1])[0] != "und" and model.predict(r[1])[1] >= langid.MIN_SCORE]
     heads = {c for _, c, _, _ in copies([(r[0], r[1]) for r in kept])}
     kept = [r for r in kept if str(r[0]) in heads]
