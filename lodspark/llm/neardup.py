@@ -6,6 +6,11 @@ so similar sets share paths. Nodes of few sets are compared by brute force; larg
 again on further tokens. Runs repeat until a pair at the threshold is missed with a chance below
 1 - RECALL. What brute force finds on sketches only groups candidates: inside each group, whole
 shingle sets are compared exactly, so every link is verified.
+
+Groups of many near copies would make every pair of them work. Both distances here are metrics, so
+a pivot spares most pairs: sets within the threshold of one pivot are held together by it, and sets
+whose distances to the pivot add up to less than the threshold are linked without being compared.
+Only the pairs that a pivot leaves open are dealt in tiles.
 """
 
 from __future__ import annotations
@@ -16,15 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, saved, scratch, spans_of, utf8
+from .common import discard, saved, spans_of, utf8, workspace
 from .components import components
 from .words import mix, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Min-hash tokens of a set, tokens picked at a node, sets compared by brute force at once, deepest level.
 COORDINATES, PICKS, LIMIT, DEPTH = 128, 2, 256, 3
+#: Sets and shingles in a tile of a large node or group.
+TILE, TILE_SHINGLES = 2048, 1 << 21
+#: Steps of the distance to a pivot, in bands of STEPS / BANDS; sets that a pivot is made of.
+STEPS, BANDS, VOTERS = 4096, 64, 15
 #: Agreeing sketch bits (of COORDINATES) of a candidate: a pair at the threshold expects 115, with a deviation of 3.4.
 AGREE = 96
 
@@ -181,13 +191,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket whose sketches agree, as spanning edges."""
+    """Pairs of a bucket whose sketches agree, as spanning edges; of a tile pair, those between the tiles."""
     names: list[tuple[bytes, bytes]] = []
     for g in _groups(batches, ["node", "tile_a", "tile_b"]):
         cid = g.column("cid").to_pylist()
         sketch = np.column_stack([g.column("low").to_numpy(), g.column("high").to_numpy()]).view(np.uint64)
-        off = np.bitwise_count(sketch[:, None, 0] ^ sketch[None, :, 0]).astype(np.int16) + np.bitwise_count(sketch[:, None, 1] ^ sketch[None, :, 1])
-        names += [(cid[i], cid[j]) for i, j in spanning(off <= COORDINATES - AGREE) if cid[i] != cid[j]]
+        n = len(cid)
+        linked = np.zeros((n, n), bool)
+        for at in range(0, n, 256):
+            off = np.bitwise_count(sketch[at : at + 256, None, 0] ^ sketch[None, :, 0]).astype(np.int16) + np.bitwise_count(sketch[at : at + 256, None, 1] ^ sketch[None, :, 1])
+            linked[at : at + 256] = off <= COORDINATES - AGREE
+        names += [(cid[i], cid[j]) for i, j in spanning(linked) if cid[i] != cid[j]]
         if len(names) > 50_000:
             yield _edge_batch(names)
             names = []
@@ -198,67 +212,108 @@ def _edge_batch(names: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.binary()), pa.array([b for _, b in names], pa.binary())], ["a", "b"])
 
 
-def _tiled(rows: DataFrame, size: str, key: str, limit: int) -> DataFrame:
-    """Groups above `limit` rows in tiles: a row goes to every pair of tiles that its own is part of, so that each pair of rows meets and no task gets a whole large group."""
-    n = F.ceil(F.col(size) / limit).cast("int")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(key)), n).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
+def _in_tiles(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in the pairs of tiles that they are part of, one group (`key`, tile_a, tile_b) together and in order.
+
+    `own` is a row's tile, `others` the tiles that it has to meet.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.withColumn("other", F.explode("others")).withColumn("tile_a", F.least("own", "other")).withColumn("tile_b", F.greatest("own", "other")).drop("other", "others")
+    return rows.repartition(parts, key, "tile_a", "tile_b").sortWithinPartitions(key, "tile_a", "tile_b")
+
 
+def _open_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes with more than LIMIT sets: edges to the node's pivot, and rows for the pairs that it leaves open.
 
-def candidates(sets: DataFrame, runs: int | None = None) -> DataFrame:
-    """Edges `a, b` between sets (`cid, tokens`) that share a small node and agree on their sketches: enough to hold each group together."""
+    Sets whose sketches agree with the pivot's hang on it, so pairs among them say nothing new. The
+    others (far ones) meet all: a row goes to as many tiles as there are tiles of far ones, so a node
+    of near copies costs no more than its rows.
+    """
+    off = F.bit_count(F.col("low").bitwiseXOR(F.col("pivot.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("pivot.high")))
+    rows = rows.withColumn("far", off > COORDINATES - AGREE)
+    edges = rows.filter("not far and cid != pivot.cid").select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b"))
+    sizes = rows.groupBy("node").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0")
+    tiles_far, tiles_near = F.ceil(F.col("n_far") / TILE).cast("int"), F.ceil(F.col("n_near") / TILE).cast("int")
+    rows = rows.drop("members", "pivot").join(sizes, "node")
+    spread = F.xxhash64("cid", F.lit("tile"))
+    # Tiles of near ones come after those of far ones.
+    own = F.when(F.col("far"), F.pmod(spread, tiles_far)).otherwise(tiles_far + F.pmod(spread, tiles_near)).cast("int")
+    others = F.when(F.col("far"), F.sequence(F.lit(0), tiles_far + tiles_near - 1)).otherwise(F.sequence(F.lit(0), tiles_far - 1))
+    return edges, rows.withColumn("own", own).withColumn("others", others).select("node", "cid", "low", "high", "own", "others")
+
+
+def candidates(sets: DataFrame, folder: str, runs: int | None = None) -> DataFrame:
+    """Edges `a, b` between sets (`cid, tokens`) that share a small node and agree on their sketches: enough to hold each group together. Tables lie in `folder`."""
     spark, runs = sets.sparkSession, runs or runs_needed()
-    path = scratch(spark, "paths")
+    path = f"{folder}/paths-0"
     rows = saved(sets.mapInArrow(_roots(runs), _ROW), "paths", path)
     found = None
     for level in range(1, DEPTH + 1):
-        nodes = scratch(spark, "nodes")
-        counts = saved(rows.groupBy("node").agg(F.count("node").alias("members")).filter("members > 1"), "nodes", nodes)
-        last = level == DEPTH
-        small = counts if last else counts.filter(F.col("members") <= LIMIT)
-        bucket = _tiled(rows.join(small, "node"), "members", "node", LIMIT)
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        bucket = bucket.select("node", "tile_a", "tile_b", "cid", "low", "high").repartition(parts, "node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b")
-        edges = saved(bucket.mapInArrow(_brute_force, "a binary, b binary").distinct(), "candidates")
-        found = edges if found is None else found.union(edges)
+        nodes = f"{folder}/nodes-{level}"
+        pivot = F.min(F.struct("cid", "low", "high"))
+        counts = saved(rows.groupBy("node").agg(F.count("node").alias("members"), pivot.alias("pivot")).filter("members > 1"), "nodes", nodes)
+        small = rows.join(counts.filter(F.col("members") <= LIMIT).select("node"), "node").withColumn("own", F.lit(0)).withColumn("others", F.array(F.lit(0)))
         hot = counts.filter(F.col("members") > LIMIT)
-        more = not last and not hot.isEmpty()
+        more = not hot.isEmpty()
+        bucket, edges = small.select("node", "cid", "low", "high", "own", "others"), None
+        if more and level == DEPTH:
+            edges, left = _open_pairs(rows.join(hot, "node"))
+            bucket = bucket.unionByName(left)
+        met = _in_tiles(bucket, "node").mapInArrow(_brute_force, "a binary, b binary")
+        edges = saved((met if edges is None else met.unionByName(edges)).distinct(), "candidates", f"{folder}/candidates-{level}")
+        found = edges if found is None else found.union(edges)
+        more = more and level < DEPTH
         if more:
-            below = rows.join(hot, "node").select("node", "cid").join(sets, "cid").select("node", "cid", "tokens")
-            deeper = scratch(spark, "paths")
-            rows = saved(below.mapInArrow(_deeper, _ROW), "paths", deeper)
+            below = rows.join(hot.select("node"), "node").select("node", "cid").join(sets, "cid").select("node", "cid", "tokens")
+            rows = saved(below.mapInArrow(_deeper, _ROW), "paths", f"{folder}/paths-{level}")
         discard(spark, path)
         discard(spark, nodes)
+        path = f"{folder}/paths-{level}"
         if not more:
             break
-        path = deeper
     return found
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarities in a tile pair of a group: for each set the documents it links to here, and spanning edges of the links."""
+    """Exact similarities in a tile pair of a group: for each set the documents it links to here, and spanning edges of the links.
+
+    Pairs whose steps to the pivot add up to SURE or less are counted elsewhere (`step` is null where there is no pivot).
+    """
     a, b, links = [], [], []
     for g in _groups(batches, ["comp", "tile_a", "tile_b"]):
-        rows = {c: (t, s, n) for c, t, s, n in zip(g.column("cid").to_pylist(), g.column("tile").to_pylist(), g.column("shingles"), g.column("copies").to_pylist(), strict=True)}
+        rows = {c: r for c, *r in zip(g.column("cid").to_pylist(), g.column("own").to_pylist(), g.column("shingles"), g.column("copies").to_pylist(), g.column("step").to_pylist(), strict=True)}
         cids = list(rows)
         tile = np.array([rows[c][0] for c in cids])
         copies = np.array([rows[c][2] for c in cids], np.int64)
+        step = np.array([STEPS if rows[c][3] is None else rows[c][3] for c in cids])
         sets = [np.frombuffer(rows[c][1].as_buffer(), np.uint64) for c in cids]
         size = np.array([len(s) for s in sets])
-        shared = _intersections(sets)
-        linked = shared >= SIMILARITY / (1 + SIMILARITY) * (size[:, None] + size[None, :]) - 1e-9
-        np.fill_diagonal(linked, False)
-        if g.column("tile_a")[0] != g.column("tile_b")[0]:
-            linked &= tile[:, None] != tile[None, :]  # pairs of one tile are its own group's
-        for i, j in spanning(linked):
-            a.append(cids[i])
-            b.append(cids[j])
+        within = g.column("tile_a")[0] == g.column("tile_b")[0]
+        total, n, edges = np.zeros(len(cids), np.int64), len(cids), []
+        # Blocks of LIMIT sets by LIMIT: memory does not grow with the tile.
+        for x in range(0, n, LIMIT):
+            for y in range(x, n, LIMIT):
+                one, two = np.arange(x, min(x + LIMIT, n)), np.arange(y, min(y + LIMIT, n))
+                both = one if x == y else np.concatenate([one, two])
+                shared = _intersections([sets[k] for k in both])
+                linked = shared >= SIMILARITY / (1 + SIMILARITY) * (size[both][:, None] + size[both][None, :]) - 1e-9
+                np.fill_diagonal(linked, False)
+                linked &= step[both][:, None] + step[both][None, :] > SURE
+                if not within:
+                    linked &= tile[both][:, None] != tile[both][None, :]  # pairs of one tile are its own group's
+                if x != y:
+                    linked[: len(one), : len(one)] = False
+                    linked[len(one) :, len(one) :] = False
+                edges += [(cids[both[i]], cids[both[j]]) for i, j in spanning(linked)]
+                total[both] += linked @ copies[both]
+        for i, j in edges:
+            a.append(i)
+            b.append(j)
             links.append(0)
-        for k in np.flatnonzero(linked.any(1)):
+        for k in np.flatnonzero(total):
             a.append(cids[k])
             b.append(None)
-            links.append(int(copies[linked[k]].sum()))
+            links.append(int(total[k]))
         if len(a) > 50_000:
             yield _link_batch(a, b, links)
             a, b, links = [], [], []
@@ -291,56 +346,155 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Steps to the pivot of two sets that are linked for certain, if they add up to no more. Steps are rounded up.
+SURE = math.floor((1 - SIMILARITY) * STEPS)
+_SET = "comp binary, members long, cid binary, copies long, shingles binary"
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the rows' texts, once for each set in a task; rows whose text has another set are left out."""
+    done: set[bytes] = set()
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        cids, keep, made = batch.column("cid").to_pylist(), [], []
+        for low, high in spans_of(offsets, 1 << 20):
+            for k, s in enumerate(shingle_sets(data, offsets[low : high + 1]), low):
+                if cids[k] not in done and set_id(s) == cids[k]:
+                    done.add(cids[k])
+                    keep.append(k)
+                    made.append(s.tobytes())
+        kept = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(kept) for c in ("comp", "members", "cid", "copies")], pa.array(made, pa.binary())], ["comp", "members", "cid", "copies", "shingles"])
+
+
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that at least half of some sets have (those of the first, if there are none)."""
+    for batch in batches:
+        made = []
+        for sets in batch.column("sets").to_pylist():
+            tokens, n = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in sets]), return_counts=True)
+            most = tokens[n * 2 >= len(sets)]
+            made.append(most.tobytes() if len(most) else sets[0])
+        yield pa.RecordBatch.from_arrays([batch.column("comp"), pa.array(made, pa.binary())], ["comp", "pivot"])
+
+
+def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps from each set to its group's pivot (distance 1 - similarity, rounded up) and the number of its shingles."""
+    for batch in batches:
+        steps, sizes = [], []
+        for s, p in zip(batch.column("shingles"), batch.column("pivot"), strict=True):
+            one, two = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+            shared = int((two[at] == one).sum())
+            union = len(one) + len(two) - shared
+            steps.append(-(-STEPS * (union - shared) // union))
+            sizes.append(len(one))
+        arrays = [*[batch.column(c) for c in ("comp", "cid", "copies")], pa.array(steps, pa.int32()), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["comp", "cid", "copies", "step", "size"])
+
+
+def _large_groups(large: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links of groups with more than LIMIT sets that their pivots settle (`a, b, links`), and rows for the pairs that are left, in tiles.
+
+    The pivot is what most of the group's first VOTERS sets have, so it lies between the copies of one
+    text; whichever set it is changes the work, not the result. Counts of sets by step, at most STEPS a group, tell how
+    many sets a set is linked to for certain. Bands of steps that can hold an open pair (not linked for
+    certain, and not further apart than the threshold) meet each other, each in tiles of bounded size.
+    """
+    first = large.withColumn("rn", F.row_number().over(W.partitionBy("comp").orderBy("cid"))).filter(F.col("rn") <= VOTERS)
+    pivots = first.groupBy("comp").agg(F.collect_list("shingles").alias("sets")).mapInArrow(_pivots, "comp binary, pivot binary")
+    steps = saved(large.join(pivots, "comp").mapInArrow(_to_pivot, "comp binary, cid binary, copies long, step int, size int"), "steps", f"{folder}/steps")
+    held = steps.groupBy("comp", "step").agg(F.sum("copies").alias("n"))
+    # One row a step that sets have and one a step that some set asks for: as many as there are steps, however large the group.
+    asked = held.select("comp", (F.lit(SURE) - F.col("step")).alias("at"), F.lit(0).cast("long").alias("n"), F.col("step")).filter("at >= 0")
+    given = held.select("comp", F.col("step").alias("at"), "n", F.lit(None).cast("int").alias("step"))
+    upto = F.sum("n").over(W.partitionBy("comp").orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    sure = given.unionByName(asked).withColumn("sure", upto).filter("step is not null").select("comp", "step", "sure")
+    own = F.when(F.col("step") * 2 <= SURE, F.col("copies")).otherwise(0)
+    settled = steps.join(sure, ["comp", "step"]).select(F.col("cid").alias("a"), F.lit(None).cast("binary").alias("b"), (F.col("sure") - own).alias("links")).filter("links > 0")
+    # All pairs that are settled are among the sets that are linked for certain to the one nearest to the pivot.
+    nearest = steps.groupBy("comp").agg(F.min(F.struct("step", "cid")).alias("nearest"))
+    hung = steps.join(nearest, "comp").filter((F.col("step") + F.col("nearest.step") <= SURE) & (F.col("cid") != F.col("nearest.cid")))
+    hung = hung.select(F.col("cid").alias("a"), F.col("nearest.cid").alias("b"), F.lit(0).cast("long").alias("links"))
+
+    wide = STEPS // BANDS
+    band = F.least(F.floor(F.col("step") / wide), F.lit(BANDS - 1)).cast("int")
+    tiles = F.ceil(F.greatest(F.count("cid") / TILE, F.sum("size") / TILE_SHINGLES)).cast("int")
+    bands = steps.groupBy("comp", band.alias("band")).agg(tiles.alias("tiles"))
+    # One row a group, BANDS entries at most.
+    bands = bands.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("band", "tiles"))).alias("bands"))
+    mine, theirs = F.col("band"), lambda x: x["band"]
+    unsure = lambda x: ((mine + theirs(x) + 2) * wide > SURE) & (F.abs(mine - theirs(x)) <= SURE // wide + 2)
+    rows = large.join(steps.select("comp", "cid", "step"), ["comp", "cid"]).withColumn("band", band).join(bands, "comp")
+    tile = lambda of, k: (of * (1 << 16) + k).cast("int")
+    count = F.element_at(F.filter("bands", lambda x: x["band"] == mine), 1)["tiles"]
+    rows = rows.withColumn("own", tile(mine, F.pmod(F.xxhash64("cid", F.lit("tile")), count)))
+    others = F.flatten(F.transform(F.filter("bands", unsure), lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda k: tile(theirs(x), k))))
+    return settled.unionByName(hung), rows.withColumn("others", others).select("comp", "cid", "copies", "shingles", "step", "own", "others")
+
+
+def _linked(members: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """`a, b, links`: links of the sets in `members` (comp, members, cid, copies, first) by comparing whole sets, and edges that hold the classes together (links 0)."""
+    # Ids may be null, and rows may share one: a set's text is found by the id and the hash of the row that stands for it.
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.xxhash64("text").alias("text_key"), "text")
+    met = members.join(texts, F.col("first.doc_id").eqNullSafe(F.col("text_id")) & (F.col("first.text_hash") == F.col("text_key")))
+    whole = met.select("comp", "members", "cid", "copies", "text").mapInArrow(_whole_sets, _SET)
+    # Written once: large groups read it three times, and a set found by two tasks counts once below.
+    whole = saved(whole, "group-sets", f"{folder}/group-sets")
+    small = whole.filter(F.col("members") <= LIMIT).withColumns({"step": F.lit(None).cast("int"), "own": F.lit(0), "others": F.array(F.lit(0))})
+    rows, settled = small.select("comp", "cid", "copies", "shingles", "step", "own", "others"), None
+    large = whole.filter(F.col("members") > LIMIT)
+    if not large.isEmpty():
+        large = large.dropDuplicates(["comp", "cid"])
+        settled, open_rows = _large_groups(large, folder)
+        rows = rows.unionByName(open_rows)
+    checked = _in_tiles(rows, "comp").mapInArrow(_verify, "a binary, b binary, links long")
+    return saved(checked if settled is None else checked.unionByName(settled), "links", f"{folder}/links")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """`doc_id, text_hash, class_id, n_links, n_copies, keep` of every row of `docs` (doc_id, text).
 
     Two documents are linked if their shingle sets have a Jaccard similarity of SIMILARITY or more;
     `class_id` is the least doc_id that links lead to, `n_links` the number of other documents linked
     to this one directly, copies included, and `n_copies` the rows with its very set. `keep` marks the
-    row of each class with the least (doc_id, text_hash).
+    row of each class with the least (doc_id, text_hash), ids that are null last.
 
-    Texts without words, and classes without any doc_id, are linked to nothing: class_id is their own
-    doc_id, n_links 0 without words, and they are kept. Repeated rows are copies of each other.
+    Rows with a null doc_id take part like all others; a class in which no row has an id has a null
+    class_id. Texts without words are linked to nothing: class_id is their own doc_id, n_links 0, and
+    they are kept. Repeated rows are copies of each other. An empty table gives no rows.
     """
-    marks = saved(signatures(docs), "signatures")
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
-    # The tokens are a function of the set, so any row's will do.
-    sets = marks.filter("cid is not null").groupBy("cid").agg(least.alias("first"), F.count("cid").alias("copies"), F.first("tokens").alias("tokens"))
-    sets = saved(sets, "sets")
-    group = components(candidates(sets.filter("first is not null").select("cid", "tokens")))
-    group = saved(group.withColumnRenamed("id", "cid"), "groups")
-    sizes = group.groupBy("comp").agg(F.count("cid").alias("members"))
-    members = group.join(sizes, "comp").join(sets.select("cid", "copies", F.col("first.doc_id").alias("doc_id")), "cid")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            made, cids = [], batch.column("cid").to_pylist()
-            for low, high in spans_of(offsets, 1 << 20):
-                made += [s.tobytes() if set_id(s) == c else None for s, c in zip(shingle_sets(data, offsets[low : high + 1]), cids[low:high], strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("comp", "members", "cid", "copies")], pa.array(made, pa.binary())], ["comp", "members", "cid", "copies", "shingles"])
-
-    whole = members.join(docs.select("doc_id", "text"), "doc_id").select("comp", "members", "cid", "copies", "text")
-    whole = whole.mapInArrow(shingles, "comp binary, members long, cid binary, copies long, shingles binary").filter("shingles is not null")
-    tiles = _tiled(whole, "members", "group", LIMIT).select("comp", "tile_a", "tile_b", "cid", "tile", "copies", "shingles")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    tiles = tiles.repartition(parts, "comp", "tile_a", "tile_b").sortWithinPartitions("comp", "tile_a", "tile_b")
-    checked = saved(tiles.mapInArrow(_verify, "a binary, b binary, links long"), "links")
-    links = checked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
-    merged = components(checked.filter("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
-    classes = sets.drop("tokens").join(merged, "cid", "left").join(links, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    heads = classes.groupBy("comp").agg(F.min("first").alias("head"))
-    classes = classes.join(heads, "comp").select("cid", "copies", F.coalesce("links", F.lit(0)).alias("links"), "head")
-    out = marks.select("doc_id", "text_hash", "cid").join(classes, "cid", "left")
-    alone = F.col("head").isNull()
-    return out.select(
-        "doc_id",
-        "text_hash",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
-        F.when(F.col("cid").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        (alone | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))).alias("keep"),
-    )
+    spark = docs.sparkSession
+    with workspace(spark, "jaccard") as folder:
+        marks = saved(signatures(docs), "signatures", f"{folder}/signatures")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+        # The tokens are a function of the set, so any row's will do.
+        sets = marks.filter("cid is not null").groupBy("cid").agg(least.alias("first"), F.count("cid").alias("copies"), F.first("tokens").alias("tokens"))
+        sets = saved(sets, "sets", f"{folder}/sets")
+        group = components(candidates(sets.select("cid", "tokens"), folder), folder)
+        group = saved(group.withColumnRenamed("id", "cid"), "groups", f"{folder}/groups")
+        sizes = group.groupBy("comp").agg(F.count("cid").alias("members"))
+        members = group.join(sizes, "comp").join(sets.select("cid", "copies", "first"), "cid")
+        checked = _linked(members, docs, folder)
+        links = checked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
+        merged = components(checked.filter("b is not null").select("a", "b"), folder).withColumnRenamed("id", "cid")
+        classes = sets.drop("tokens").join(merged, "cid", "left").join(links, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        heads = classes.groupBy("comp").agg(F.min("first").alias("head"))
+        classes = classes.join(heads, "comp").select("cid", "copies", F.coalesce("links", F.lit(0)).alias("links"), "head")
+        out = marks.select("doc_id", "text_hash", "cid").join(classes, "cid", "left")
+        alone = F.col("head").isNull()
+        # Written, as the tables that it is made of go.
+        return saved(
+            out.select(
+                "doc_id",
+                "text_hash",
+                F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
+                F.when(F.col("cid").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+                F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+                (alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))).alias("keep"),
+            ),
+            "jaccard-classes",
+        )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -64,12 +64,56 @@ def corpus(seed=2):
 def test_links_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, cid string, n int")
-    for limit in (256, 32):  # with 32, hot nodes split further and groups are dealt in tiles
+    for limit, tile in ((256, 2048), (16, 8)):  # with few, hot nodes split further, pivots settle pairs, and open ones are dealt in tiles
         monkeypatch.setattr(neardup, "LIMIT", limit)
+        monkeypatch.setattr(neardup, "TILE", tile)
         out = neardup.join(df).collect()
         assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_copies) for r in out) == brute(rows)
 
 
+def test_rows_without_ids_take_part(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    near = [[*base[:k], "changed", *base[k + 1 :]] for k in (20, 90, 150)]
+    far = [["other", *base[1:], *base[:30]]]
+    rows = [(1, " ".join(base)), (None, " ".join(near[0])), (2, " ".join(near[1])), (None, " ".join(far[0]))]
+    for some in (rows[:2], rows, [rows[1], rows[1], rows[3]]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        out = neardup.join(df).collect()
+        assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_copies) for r in out) == brute(some)
+    kept = neardup.keep_one(spark.createDataFrame([rows[1], rows[1], rows[3]], "doc_id long, text string"))
+    assert kept.count() == 1  # one class, though none of it has an id
+    chain = [base]
+    for k in range(12):  # each two in a row are linked, the ends are not
+        chain.append([*chain[-1][: 15 * k], "x" * (k + 1), "y" * (k + 1), *chain[-1][15 * k + 2 :]])
+    some = [(None if k % 2 else k, " ".join(w)) for k, w in enumerate(chain)]
+    out = neardup.join(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_copies) for r in out) == brute(some)
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """Recall at similarities of 0.80 to 0.85: every pair of 1,500, which is what the formula promises."""
+    rng = np.random.default_rng(11)
+    rows, want = [], 0
+    for k in range(1500):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+        other = list(words)
+        for at in (3, 40, 77, 114)[: 3 + k % 2]:  # 15 or 20 of 196 shingles: similarities of 0.858 and 0.815
+            other[at] = f"v{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want += 1
+    out = neardup.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.filter("n_links = 1 and class_id = doc_id - doc_id % 2").count() == 2 * want
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    from lodspark.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    out = neardup.join(spark.createDataFrame(corpus(4), "doc_id long, text string"))
+    assert out.count() > 0 and [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["jaccard-classes"]
+
+
 def test_stage_keeps_one_of_each_class(spark, none):
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
