@@ -48,30 +48,43 @@ def encode_all(texts: list[bytes]) -> list[bytes]:
     return [mjpeg.write_avi(scans[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def decode_all(files: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[float]]:
-    """Payload, frame histograms and frame rate of each file, through its index and its frames' entropy data."""
-    sizes, rates, groups = [], [], []
+def decode_all(files: list[bytes]) -> tuple[list[bytes | None], list[np.ndarray], list[float]]:
+    """Payload, frame histograms (of brightness) and frame rate of each file, through its index and its frames' entropy data.
+
+    A file whose frames aren't of the kind that `encode_all` writes has no payload (null).
+    """
+    sizes, rates, flat = [], [], []
     for media in files:
         frames, rate = mjpeg.read_avi(media)
-        tables: dict[int, mjpeg.Table] = {}
-        groups.append([(mjpeg.scan_of(f, tables), tables[0x00], tables[0x10]) for f in frames])
+        tables = mjpeg.Tables()
+        flat += [mjpeg.parse_frame(f, tables) for f in frames]
         sizes.append(len(frames))
         rates.append(rate)
-    flat = [x for g in groups for x in g]
-    units, grams = np.empty((len(flat), mjpeg.BLOCKS, 64), np.int16), np.empty((len(flat), BINS), np.float32)
+    grams = np.empty((len(flat), BINS), np.float32)
+    bodies: list[bytes | None] = []
+    keys = [f.key for f in flat]
     at = 0
-    while at < len(flat):  # runs of frames with the same tables
-        end = at
-        while end < len(flat) and end - at < RUN and flat[end][1] is flat[at][1] and flat[end][2] is flat[at][2]:
+    while at < len(flat):  # runs of frames that decode together
+        lead = flat[at]
+        limit = max(1, RUN * mjpeg.SIDE**2 // max(1, lead.width * lead.height))
+        end = at + 1
+        while end < len(flat) and end - at < limit and keys[end] == keys[at]:
             end += 1
-        units[at:end] = mjpeg.decode_scans([x[0] for x in flat[at:end]], flat[at][1], flat[at][2])
-        level = mjpeg.pixels(units[at:end]).reshape(end - at, -1) >> 4
+        units = mjpeg.decode_frames(flat[at:end])[0]
+        level = mjpeg.plane(lead, units).reshape(end - at, -1) >> 4
         cells = level.astype(np.int64) + np.arange(end - at)[:, None] * BINS
         grams[at:end] = np.bincount(cells.ravel(), minlength=(end - at) * BINS).reshape(-1, BINS) / level.shape[1]
+        if lead.is_payload:
+            raw = units.reshape(end - at, -1) + 128
+            whole = (raw.min(1) >= 0) & (raw.max(1) <= 255)
+            bodies += [r.tobytes() if ok else None for r, ok in zip(raw.astype(np.uint8), whole.tolist(), strict=True)]
+        else:
+            bodies += [None] * (end - at)
         at = end
     edge = np.cumsum([0, *sizes])
-    spans = list(zip(edge[:-1], edge[1:], strict=True))
-    return [(units[a:b] + 128).astype(np.uint8).tobytes() for a, b in spans], [grams[a:b] for a, b in spans], rates
+    spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+    payload = [None if None in bodies[a:b] else b"".join(bodies[a:b]) for a, b in spans]
+    return payload, [grams[a:b] for a, b in spans], rates
 
 
 def shots(grams: np.ndarray) -> list[int]:
@@ -114,7 +127,8 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterato
 def read_media(media: DataFrame) -> DataFrame:
     """What the files hold: every column but `media`, and sizes, digests and timed clips of the decoded frames.
 
-    Null media is an empty file: no frames and no clips. A file that is no AVI of this kind fails.
+    Null media is an empty file: no frames and no clips. Files of other frames than `to_media` writes
+    have clips and media digests, and a null payload. A file that is no AVI of sequential JPEG frames fails.
     """
     keep = [f for f in media.schema.fields if f.name != "media"]
     out = T.StructType([*keep, *T.StructType.fromDDL(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, clips {CLIP}").fields])
@@ -130,7 +144,8 @@ def read_media(media: DataFrame) -> DataFrame:
                     cuts = [*shots(g), len(g)]
                     clips.append([{"clip": i, "first_frame": a, "frames": b - a, "start_s": a / rate, "stop_s": b / rate} for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
                 arrays = [part.column(f.name) for f in keep]
-                arrays += [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([zlib.crc32(t[-32:]) for t in texts], pa.int64())]
+                told = lambda of, kind, texts=texts: pa.array([None if t is None else of(t) for t in texts], kind)
+                arrays += [told(len, pa.int64()), told(lambda t: hashlib.sha256(t).hexdigest(), pa.string()), told(lambda t: zlib.crc32(t[-32:]), pa.int64())]
                 arrays += [pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array([len(g) for g in grams], pa.int32()), pa.array(clips, kind)]
                 yield pa.RecordBatch.from_arrays(arrays, out.names)
 
