@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, saved, scratch, utf8
+from .common import saved, scratch, utf8, workspace
 from .huffman import Code, code_lengths
 
-#: Tokenizer file, end id, longest code, ids in a block, ids between checkpoints.
-TOKENIZER, END_ID, LIMIT, BLOCK_IDS, STRIDE = "word_bpe_49k.json", 1, 18, 1 << 18, 256
+#: Tokenizer file, end id, longest code, ids in a block, ids between checkpoints, bytes of ids (two each) in a shard.
+TOKENIZER, END_ID, LIMIT, BLOCK_IDS, STRIDE, SHARD_BYTES = "word_bpe_49k.json", 1, 18, 1 << 18, 256, 128 << 20
 _CACHE = 250_000
 
 
@@ -145,73 +146,52 @@ _BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, l
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, stride: int = STRIDE) -> None:
     """Write the ids of all `docs` (doc_id, text) as a token folder at `path`.
 
-    Documents are dealt to ranges of doc_id whose bounds are approximate quantiles, and sorted within.
-    Null text is empty and gives the end id alone; null ids come first; repeated ids are kept, each a
-    document; an empty table gives a folder without blocks.
+    Rows are dealt to ranges of (doc_id, hash of the ids, row): rows that share an id, or are repeats
+    of one another, are split as well, and a shard holds about SHARD_BYTES of ids however many there
+    are. Null text is empty and gives the end id alone; null ids come first; repeated ids are kept, each
+    a document, in the order of their hashes; an empty table gives a folder without blocks.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path()
     size = vocabulary_size(tokenizer)
-    held = scratch(spark, "token-ids")
-    # The only pass through the tokenizer; counts and codes both read what it wrote.
-    staged = saved(encode_ids(docs, tokenizer, end_id), "token-ids", held)
-    counts = _count(staged, size)
-    lengths = code_lengths(counts, LIMIT)
-    used = np.flatnonzero(lengths)
-    book = pa.table({"id": used.astype(np.int32), "length": lengths[used].astype(np.int32)})
-    spark.createDataFrame(book.to_pandas(), "id int, length int").withColumns({"vocabulary": F.lit(size), "stride": F.lit(stride)}).coalesce(1).write.parquet(f"{path}/codes")
-    shared = spark.sparkContext.broadcast(Code(lengths))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(2 * n, int(counts.sum() >> 25))
-    bounds = staged.filter("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)
-    edges = F.array(*[F.lit(int(b)).cast("long") for b in sorted(set(bounds))]).cast("array<long>")
-    shard = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.lit(0))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = shared.value
-            n_ids, marks, bits = [], [], []
-            held, count = [], 0
-            for k, x in enumerate(batch.column("ids")):
-                held.append(np.frombuffer(x.as_buffer(), "<u2"))
-                count += len(held[-1])
-                if count >= 1 << 20 or k == len(batch) - 1:
-                    first = np.concatenate([[0], np.cumsum([len(h) for h in held])])
-                    raw, start, at = code.encode(np.concatenate(held), first)
-                    for d in range(len(held)):
-                        n_ids.append(len(held[d]))
-                        bits.append(raw[start[d] : start[d + 1]])
-                        marks.append((at[first[d] + stride : first[d + 1] : stride] - start[d] * 8).astype(np.int32))
-                    held, count = [], 0
-            arrays = [batch.column("shard"), batch.column("doc_id"), pa.array(n_ids, pa.int32()), pa.array(marks, pa.list_(pa.int32())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "doc_id", "n", "marks", "bits"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, before, rows, count, of = 0, 0, [], 0, None
-
-        def flush() -> pa.RecordBatch:
-            at = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
-            values = [of, block, before, count, [r[0] for r in rows], [r[1] for r in rows], at[:-1].tolist(), [r[2] for r in rows], b"".join(r[3] for r in rows)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
-
-        for batch in batches:
-            for s, d, k, m, b in zip(*[batch.column(c) for c in ("shard", "doc_id", "n", "marks", "bits")], strict=True):
-                s, k = s.as_py(), k.as_py()
-                if rows and (s != of or count + k > block_ids):
-                    yield flush()
-                    block, before, rows, count = block + 1, before + count, [], 0
-                if s != of:
-                    of, block, before = s, 0, 0
-                rows.append((d.as_py(), k, m.as_py(), b.as_py()))
-                count += k
-        if rows:
-            yield flush()
-
-    coded = staged.withColumn("shard", shard).mapInArrow(encode, "shard int, doc_id long, n int, marks array<int>, bits binary")
-    placed = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "bits")
-    placed.mapInArrow(pack, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
-    discard(spark, held)
+    with workspace(spark, "token-ids") as folder:
+        # The only pass through the tokenizer; counts and codes both read what it wrote.
+        staged = saved(encode_ids(docs, tokenizer, end_id), "token-ids", f"{folder}/ids")
+        counts = _count(staged, size)
+        lengths = code_lengths(counts, LIMIT)
+        used = np.flatnonzero(lengths)
+        book = pa.table({"id": used.astype(np.int32), "length": lengths[used].astype(np.int32)})
+        spark.createDataFrame(book.to_pandas(), "id int, length int").withColumns({"vocabulary": F.lit(size), "stride": F.lit(stride)}).coalesce(1).write.parquet(f"{path}/codes")
+        shared = spark.sparkContext.broadcast(Code(lengths))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) * 2 // SHARD_BYTES + 1)
+        keyed = staged.withColumns({"h": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+        keys = ["doc_id", "h", "row"]
+        placed = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, block, before, names, held, count = TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                raw, start, at = shared.value.encode(np.concatenate(held), first)
+                marks = [(at[a + stride : b : stride] - s * 8).astype(np.int32) for a, b, s in zip(first[:-1], first[1:], start, strict=False)]
+                values = [shard, block, before, count, names, np.diff(first).tolist(), start[:-1].tolist(), [m.tolist() for m in marks], raw]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
+
+            for batch in batches:
+                for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                    ids = np.frombuffer(x.as_py(), "<u2")
+                    if held and count + len(ids) > block_ids:
+                        yield flush()
+                        block, before, names, held, count = block + 1, before + count, [], [], 0
+                    names.append(name)
+                    held.append(ids)
+                    count += len(ids)
+            if held:
+                yield flush()
+
+        placed.mapInArrow(pack, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -54,6 +54,32 @@ def test_words_encode_as_the_library_does(library, odd_rows):
         assert np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() == want, t
 
 
+def test_all_latin_letters_and_marks_encode_as_the_library_does(library):
+    import random
+
+    encoder, rng = tokens.WordEncoder(tokens.tokenizer_path()), random.Random(9)
+    letters = [chr(c) for c in range(0x20, 0x250) if c != 0x7F] + [chr(c) for c in range(0x20)] + list("\u0130\u0301\u212a\u2126\ufb01\u3000\u2028")
+    texts = [c for c in letters] + [f"a{c}b {c}{c} x{c} {c}y" for c in letters]
+    for _ in range(3000):
+        marks = "".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randint(0, 4)))
+        texts.append("".join(rng.choice(letters[:192]) for _ in range(rng.randint(1, 6))) + marks)
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() == want, repr(t)
+
+
+def test_one_id_is_split(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 2000)
+    rows = [(7, f"word {k % 50} of many words") for k in range(600)] + [(None, "same row")] * 300 + [(k, "x") for k in range(100)]
+    path = scratch(spark, "t")
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, block_ids=64)
+    sizes = [r.n for r in spark.read.parquet(f"{path}/blocks").groupBy("shard").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()]
+    assert len(sizes) > 4 and max(sizes) < 0.5 * sum(sizes)
+    got = sorted(((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in tokens.read_tokens(spark, path).collect()))
+    assert [r[1] for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got[:-1], got[1:], strict=True))
+
+
 def test_files_give_back_all_ids(spark, odd, odd_rows, library):
     path = scratch(spark, "t")
     tokens.write_tokens(odd, path, block_ids=1000, stride=64)
