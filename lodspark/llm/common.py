@@ -69,6 +69,11 @@ def fold_of(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(n)
 
 
+def held_out(n: int, fold: int) -> Column:
+    """Whether a document is in a fold; false for a null id, whose row is in none (nor learnt from)."""
+    return F.coalesce(fold_of(n) == fold, F.lit(False))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string or binary column without copying each value; null counts as empty."""
     binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)

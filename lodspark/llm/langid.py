@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of
+from .common import fold_of, held_out
 
 #: Ranks in a profile; labelled documents that a language's profile is fitted on at most.
 RANKS, SAMPLE = 300, 400
@@ -149,4 +149,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document's language, learnt from the documents outside fold 1 of 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = fit(docs.filter(fold_of(3) != 1))
-    return predict(docs, profiles, ["doc_id"]).select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, profiles, ["doc_id"]).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lattice
-from .common import discard, fold_of, saved, scratch
+from .common import discard, fold_of, held_out, saved, scratch
 from .tokens import tokenizer_path
 
 #: Most frequent words that are broadcast (a bound, whatever the corpus), words a task counts before it
@@ -169,4 +169,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's scores, learnt from the documents outside fold 1 of 5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, docs.filter(fold_of(5) != 1))
-    return scored.select("doc_id", (fold_of(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gam
-from .common import fold_of, sample_ids, saved, spans_of, utf8
+from .common import fold_of, held_out, sample_ids, saved, spans_of, utf8
 from .words import word_hashes
 
 #: Labelled rows fitted on at most; decision.
@@ -68,7 +68,11 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> gam.Gam:
-    """A model from features and at most `sample` labelled rows, those of the lowest hash; rows without id or label are left out."""
+    """A model from features and at most `sample` labelled rows, those of the lowest hash; rows without id or label are left out.
+
+    A repeated row, of `features` or of `labels`, counts as often as it is there; equal hashes go by id
+    and label. Without rows the model gives 0.5 to every text.
+    """
     picked = sample_ids(labels, label, sample, 1)
     # Bounded by `sample`.
     rows = features.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "x").orderBy("doc_id", "label").collect()
@@ -76,7 +80,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
 
 def score(features: DataFrame, model: gam.Gam) -> DataFrame:
-    """`doc_id, score` of every row, by vectorised additions of looked-up bins."""
+    """`doc_id, score` of every row, repeated ones too, by vectorised additions of looked-up bins. Equal texts get equal scores."""
     shared = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,4 +98,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One pass over the texts; fitting and scoring read the small table of features.
     table = saved(with_features(docs), "quality-features")
     scored = score(table, fit(table, labels))
-    return scored.select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

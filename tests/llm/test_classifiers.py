@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -64,3 +65,90 @@ def test_toxicity(spark, none):
     assert accuracy(out, truth) > 0.95
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
     assert toxicity.score(none, model).count() == 0
+
+
+def hashed(gram):
+    """An n-gram's bucket: a polynomial of its lower-case characters and its size, mixed, upper bits."""
+    full, h = (1 << 64) - 1, ord(gram[0]) + len(gram)
+    for c in gram[1:]:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) & full
+    h ^= h >> 32
+    h = h * 0xFF51AFD7ED558CCD & full
+    return (h ^ h >> 29) >> (64 - toxicity.BITS)
+
+
+def grams_of(text):
+    low = "".join(" " if c.isspace() else c.lower() if c.isupper() and len(c.lower()) == 1 else c for c in text or "")
+    return {hashed(low[k : k + n]) for n in toxicity.SIZES for k in range(len(low) - n + 1)}
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = table(spark, 60, 3)
+    model = toxicity.fit(docs, labels, features=200)
+    texts, marks = docs.select("doc_id", "text").collect(), [(r.doc_id, r.toxic) for r in labels.collect() if r.doc_id is not None and r.toxic is not None]
+    used = sorted({(y, t.text) for i, y in marks for t in texts if t.doc_id == i}, key=repr)
+    n = [sum(y == k for y, _ in used) for k in (0, 1)]
+    has = [(y, grams_of(t)) for y, t in used]
+    found = {}
+    for y, own in has:
+        for b in own:
+            found.setdefault(b, [0, 0])[y] += 1
+    rank = []
+    for b, (other, toxic) in found.items():
+        if other + toxic >= toxicity.LEAST:
+            p, q, both = toxic / n[1], other / n[0], (toxic + other) / sum(n)
+            rank.append((-abs(p - q) / math.sqrt(both * (1 - both) + 1e-9), b))
+    best, cut = np.flatnonzero(model.place >= 0).tolist(), sorted(rank)[199][0]
+    # Ranks that tie at the cut, but for their last digits, may be either.
+    assert len(best) == 200 and {b for z, b in rank if z < cut - 1e-9} <= set(best) <= {b for z, b in rank if z < cut + 1e-9}
+    ratio = np.array([np.log(((found[b][1] + 1) / (n[1] + 2)) / ((found[b][0] + 1) / (n[0] + 2))) for b in best])
+    # The penalised loss is convex: at its least, a plain descent from the model's own weights finds nothing lower.
+    x = np.array([[b in own for b in best] for _, own in has]) * ratio
+    y = np.array([y for y, _ in has], float)
+
+    def loss(w, c):
+        z = x @ w + c
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.PENALTY * (w @ w) / (2 * len(y))
+
+    w, c = model.weight / ratio, model.constant
+    low = loss(w, c)
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(-(x @ w + c)))
+        w, c = w - 0.02 * (x.T @ (p - y) / len(y) + toxicity.PENALTY * w / len(y)), c - 0.02 * (p - y).mean()
+    assert low - loss(w, c) < 1e-3
+    for r in toxicity.score(docs, model).collect():
+        if r.doc_id is not None and r.doc_id != 0:
+            own = grams_of(next(t.text for t in texts if t.doc_id == r.doc_id))
+            z = model.constant + sum(v for b, v in zip(best, model.weight, strict=True) if b in own)
+            assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-9
+    again = toxicity.fit(docs.repartition(7, "text"), labels.repartition(3), features=200)
+    assert (again.weight == model.weight).all() and again.constant == model.constant
+
+
+def brute_features(text):
+    """The features of one text, counted one by one."""
+    raw = (text or "").encode()
+    words = raw.translate(bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))).split()
+    share = lambda chars: sum(b in chars for b in raw)
+    n, m = max(len(raw), 1), max(len(words), 1)
+    upper, lower = share(range(65, 91)), share(range(97, 123))
+    top = max((words.count(w) for w in set(words)), default=0)
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), upper / max(upper + lower, 1), share(range(48, 58)) / n, share(b" \t\n\r\x0b\x0c") / n, share(b".,;:?") / m, share(b"!") / m, share(b"|") / m,
+        share(b"#$%&*+/<=>@\\^_`~[]{}()\"'-") / n, share(range(128, 256)) / n, share(b"\n") / m, (len(raw) - share(b" \t\n\r\x0b\x0c")) / m,
+        len(set(words)) / m, top / m, sum(a == b for a, b in zip(words[1:], words[:-1])) / m, len(words) / n,
+    ]
+
+
+def test_quality_features_equal_brute_force(spark, odd, odd_rows, none):
+    got = sorted(((str(r.doc_id), [round(v, 4) for v in r.x]) for r in quality.with_features(odd).collect()), key=repr)
+    want = sorted(((str(i), [round(float(np.float32(v)), 4) for v in brute_features(t)]) for i, t, _, _ in odd_rows), key=repr)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(np.allclose(g[1], w[1], atol=2e-4) for g, w in zip(got, want, strict=True))
+
+
+def test_models_of_empty_tables(spark, none):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    features = quality.with_features(none)
+    assert quality.score(features, quality.fit(features, labels)).count() == 0
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
