@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE
 
-#: Production parameters, in tokens (words of role and text plus OVERHEAD for the marks).
-BUDGET, HISTORY, OVERHEAD = 1024, 128, 2
+#: Production parameters, in tokens (words of role and text plus OVERHEAD for the marks); windows' worth of turns in a section.
+BUDGET, HISTORY, OVERHEAD, SECTION = 1024, 128, 2, 32
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -41,9 +41,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     `first` is the position of the window's first new turn, `n_repeated` the number of leading turns
     that only give context, `loss` an array of (start, stop) code-point ranges of `formatted` to learn
-    from. New turns take at most the budget less system turn and history (a quarter of the budget at
-    least): positions of turns in the prefix sum are dealt to bins of half that size, and a turn above
-    half stands alone, so each window is a run of whole turns within the budget, or one large turn.
+    from. New turns have room for the budget less system turn and history (a quarter of the budget at
+    least). Prefix sums deal the turns of a conversation to sections of SECTION rooms; within a section
+    a window takes turns until the next one would exceed the room, so each window is a run of whole
+    turns, full but for less than a turn, or one turn that is larger than the room. Only the last window
+    of a section may be short. No row has more than a section and a turn.
 
     Turns are ordered by turn, then role and text (repeated rows are kept). Null text or role is
     empty; a null conv_id is one conversation; a `system` turn counts as such only in first place.
@@ -56,18 +58,35 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = t.withColumn("system", (F.col("pos") == 1) & (F.col("role") == "system")).withColumn("tokens", count.cast("long"))
     # The system turn stands before the body: it takes no part in the prefix sums.
     body = F.when(F.col("system"), F.lit(0)).otherwise(F.col("tokens"))
-    t = t.withColumn("before", F.sum(body).over(by_conv.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - body)
+    t = t.withColumn("own", body).withColumn("before", F.sum(body).over(by_conv.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - body)
     t = t.withColumn("system_turn", F.first(F.when(F.col("system"), F.struct("role", "text", "tokens"))).over(by_conv.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system_turn.tokens"), F.lit(0)), F.lit(budget // 4))
-    half = F.floor(room / 2)
-    t = t.withColumn("bin", F.floor(F.col("before") / half)).withColumn("large", ~F.col("system") & (F.col("tokens") > half))
-    turn = F.struct("pos", "role", "text", "tokens")
-    past = by_conv.orderBy("before").rangeBetween(-history, -1)
+    t = t.withColumn("room", room).withColumn("section", F.floor(F.col("before") / (F.col("room") * SECTION)))
+    turn = F.struct("pos", "before", "own", "role", "text", "tokens")
+    s = t.groupBy("conv_id", "section").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("system_turn").alias("system_turn"), F.first("room").alias("room"))
+    # A section's history lies in the one before it: turns that start within `history` of its own start.
+    late = F.filter("turns", lambda x: (x["before"] >= (F.col("section") + 1) * F.col("room") * SECTION - history) & (x["pos"] > F.when(F.col("system_turn").isNull(), 0).otherwise(1)))
+    tail = F.lag(F.struct("section", late.alias("turns"))).over(by_conv.orderBy("section"))
+    s = s.withColumn("tail", tail).withColumn("tail", F.when(F.col("tail.section") == F.col("section") - 1, F.col("tail.turns")))
+
+    def cut(acc: Column, x: Column) -> Column:
+        starts = acc["used"] + x["own"] > F.col("room")
+        starts = starts & (acc["used"] > 0)
+        return F.struct(F.when(starts, F.array_append(acc["heads"], x["pos"])).otherwise(acc["heads"]).alias("heads"), F.when(starts, x["own"]).otherwise(acc["used"] + x["own"]).alias("used"))
+
+    lead = F.element_at("turns", 1)["pos"]
+    heads = F.aggregate("turns", F.struct(F.array(lead).alias("heads"), F.lit(0).cast("long").alias("used")), cut)["heads"]
+    s = s.withColumn("heads", heads).withColumn("lead", lead).select("*", F.posexplode("heads").alias("nth", "first"))
+    stop = F.coalesce(F.get("heads", F.col("nth") + 1), F.col("lead") + F.size("turns"))
+    new = F.slice("turns", F.col("first") - F.col("lead") + 1, stop - F.col("first"))
+    start = F.element_at(new, 1)["before"]
     # A turn that starts in this range also ends in it: the history is an unbroken run of whole turns.
-    t = t.withColumn("past", F.collect_list(F.when(~F.col("system"), turn)).over(past))
-    g = t.groupBy("conv_id", "bin", "large").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.min_by("past", "pos").alias("past"), F.first("system_turn").alias("system_turn"), F.min("pos").alias("first"))
-    with_system = F.array_compact(F.array(F.when(F.col("system_turn").isNotNull(), F.struct(F.lit(1).alias("pos"), F.col("system_turn.role").alias("role"), F.col("system_turn.text").alias("text"), F.col("system_turn.tokens").alias("tokens")))))
-    g = g.withColumn("context", F.when(F.col("first") == 1, F.slice("past", 1, 0)).otherwise(F.concat(with_system, F.sort_array("past"))))
+    near = lambda x: (x["before"] >= start - history) & (x["pos"] < F.col("first")) & (x["own"] > 0)
+    past = F.concat(F.filter(F.coalesce("tail", F.slice("turns", 1, 0)), near), F.filter("turns", near))
+    s = s.withColumn("new", new).withColumn("past", F.when(F.col("first") == 1, F.slice("turns", 1, 0)).otherwise(past))
+    g = s.select("conv_id", "first", "new", "past", "system_turn")
+    with_system = F.array_compact(F.array(F.when(F.col("system_turn").isNotNull(), F.struct(F.lit(1).alias("pos"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("own"), F.col("system_turn.role").alias("role"), F.col("system_turn.text").alias("text"), F.col("system_turn.tokens").alias("tokens")))))
+    g = g.withColumn("context", F.when(F.col("first") == 1, F.col("past")).otherwise(F.concat(with_system, "past")))
     made = lambda learn: lambda x: F.struct(F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), (F.lit(learn) & (x["role"] == "assistant")).alias("learn"), x["tokens"].alias("tokens"))
     g = g.withColumn("parts", F.concat(F.transform("context", made(False)), F.transform("new", made(True))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
@@ -130,21 +149,29 @@ placed AS (
 body AS (SELECT *, pos = 1 AND role = 'system' AS system, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM placed),
 sums AS (
   SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY pos) - own AS before,
-         max(CASE WHEN system THEN tokens END) OVER (PARTITION BY conv_id) AS system_tokens,
-         coalesce(max(CASE WHEN system THEN chars END) OVER (PARTITION BY conv_id), 0) AS system_chars
+         max(CASE WHEN system THEN tokens END) OVER (PARTITION BY conv_id) AS system_tokens
   FROM body),
-binned AS (
-  SELECT *, before // half AS bin, NOT system AND tokens > half AS large
-  FROM (SELECT *, greatest(1024 - 128 - coalesce(system_tokens, 0), 256) // 2 AS half FROM sums)),
-windows AS (
-  SELECT conv_id, bin, large, min(pos) AS first, arg_min(before, pos) AS start, sum(chars) AS chars, min(system_chars) AS system_chars FROM binned GROUP BY conv_id, bin, large),
+sections AS (
+  SELECT *, before // (room * 32) AS section
+  FROM (SELECT *, greatest(1024 - 128 - coalesce(system_tokens, 0), 256) AS room FROM sums)),
+cuts AS (
+  SELECT conv_id, section, pos, before, (SELECT min(n.pos) FROM sections n WHERE n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.section = s.section AND n.pos > s.pos AND n.before + n.own - s.before > s.room AND n.before > s.before) AS next
+  FROM sections s),
+heads AS (
+  WITH RECURSIVE h AS (
+    SELECT conv_id, section, pos, before, next FROM cuts WHERE (conv_id, section, pos) IN (SELECT (conv_id, section, min(pos)) FROM cuts GROUP BY conv_id, section)
+    UNION ALL
+    SELECT c.conv_id, c.section, c.pos, c.before, c.next FROM h JOIN cuts c ON c.conv_id IS NOT DISTINCT FROM h.conv_id AND c.section = h.section AND c.pos = h.next)
+  SELECT conv_id, pos AS first, before AS start FROM h),
 past AS (
-  SELECT w.conv_id, w.first, coalesce(sum(b.chars), 0) AS chars
-  FROM windows w LEFT JOIN binned b ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND NOT b.system AND b.before BETWEEN w.start - 128 AND w.start - 1
+  SELECT w.conv_id, w.first, coalesce(sum(b.chars), 0) AS chars, min(s.chars) AS system_chars
+  FROM heads w LEFT JOIN sections b ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND NOT b.system AND b.before BETWEEN w.start - 128 AND w.start - 1
+  LEFT JOIN (SELECT conv_id, chars FROM sections WHERE system) s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
   WHERE w.first > 1 GROUP BY w.conv_id, w.first),
 sizes AS (
-  SELECT w.conv_id, sum(w.chars + CASE WHEN w.first > 1 THEN w.system_chars + p.chars ELSE 0 END)::BIGINT AS formatted_chars
-  FROM windows w LEFT JOIN past p ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.first = p.first GROUP BY w.conv_id),
+  SELECT t.conv_id, (t.chars + coalesce(p.chars, 0))::BIGINT AS formatted_chars
+  FROM (SELECT conv_id, sum(chars) AS chars FROM sections GROUP BY conv_id) t
+  LEFT JOIN (SELECT conv_id, sum(chars + coalesce(system_chars, 0)) AS chars FROM past GROUP BY conv_id) p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 said AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
          coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learnt
