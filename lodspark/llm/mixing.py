@@ -8,11 +8,11 @@ source, and a source's budget is cut at the exact word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, saved
+from .common import NOT_SPACE, saved, workspace
 
 #: Production parameters. Weights repeat over the sources in code-point order, null last.
 WEIGHTS, REPEATS, SEED, RANGE_DIGITS = (5, 2, 1), 3, "mix-1", 3
@@ -24,7 +24,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     All sizes are shared by weight; a target stops at `repeats` times its source's size and the
     excess is shared again by weight. Sources in order of cap per weight are capped while the level
     that remains reaches their cap; the first that is not reached gives the level of all others.
-    One row per source, so the windows over all rows stay small.
+    One row a source: the windows over all rows are one task, meant for up to some millions of sources.
     """
     ranked = sizes.withColumn("n", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     pick = F.array(*[F.lit(w) for w in weights])
@@ -37,19 +37,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return ranked.select("source", "source_size", F.when(free, level * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, range_digits: int = RANGE_DIGITS) -> DataFrame:
+def _key(seed: str = SEED) -> Column:
+    """A document's place in its source: random, but the same on each run."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _words() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_SPACE)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, range_digits: int = RANGE_DIGITS, folder: str | None = None) -> DataFrame:
     """`doc_id, source, size, source_size, target, taken` for every row of `docs` (doc_id, text, source).
 
     `taken` is the whole epochs of the document plus what the last, partial epoch takes of it in
     hash-random order; the document at the cut gives only the words that are left of the budget.
     Null or empty text has size 0 and is taken 0 words; a null source is a source of its own, sorted
-    last; null ids share one key; repeated rows are counted each; an empty table gives no rows.
+    last; null ids share one key; repeated rows are counted each; an empty table gives no rows. The
+    sizes that the result reads lie in `folder` (a scratch table by default).
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_SPACE)).cast("long")
     # The word count is the only costly expression: it is computed once and written.
-    sized = saved(docs.select("doc_id", "source", words.alias("size")), "mix-sizes")
-    sized = sized.withColumn("key", key).withColumn("part", F.substring("key", 1, range_digits))
+    sized = saved(docs.select("doc_id", "source", _words().alias("size")), "mix-sizes", folder and f"{folder}/sizes")
+    sized = sized.withColumn("key", _key(seed)).withColumn("part", F.substring("key", 1, range_digits))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, repeats)
     goal = goal.withColumn("budget", F.round("target").cast("long")).withColumnRenamed("source", "goal_source")
@@ -70,16 +78,26 @@ def mixed(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the documents of the mix, in the columns of `docs`, each as often as it is taken.
 
     A document at a source's cut is kept whole, so a source may exceed its budget by less than one
-    document. Documents that give no words are left out. Rows that agree in id, source and size are
-    told apart by their text.
+    document; rows that repeat one id and size stand at one place of the order and go together.
+    Documents that give no words are left out. Each source's cut is one row, which every document is
+    compared to: no text is shuffled.
     """
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_SPACE)).cast("long")
-    same = W.partitionBy("doc_id", "source", "size")
-    plan = mix(docs).filter("taken > 0").withColumn("nth", F.row_number().over(same.orderBy(F.desc("taken"))))
-    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("nth").alias("p_nth"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    rows = docs.withColumn("size", words).withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("nth") == F.col("p_nth"))
-    return rows.join(plan, on).withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    spark = docs.sparkSession
+    with workspace(spark, "mix") as folder:
+        plan = mix(docs, folder=folder)
+        budget, whole = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+        plan = plan.withColumn("epochs", F.floor(budget / whole).cast("int"))
+        partly = F.col("taken") > F.col("epochs") * F.col("size")
+        cuts = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(partly, F.struct(_key().alias("key"), "doc_id", "size"))).alias("cut"))
+        # Written, so that its size is known when the join is planned: broadcast if small, else shuffled.
+        cuts = saved(cuts.select(F.struct("source", "epochs", "cut").alias("mix_cut")), "mix-cuts")
+    met = docs.join(cuts, F.col("source").eqNullSafe(F.col("mix_cut.source")))
+    key, cut = _key(), F.col("mix_cut.cut")
+    # Words are counted only where keys are equal.
+    once_more = F.when(key != cut["key"], key < cut["key"]).otherwise(F.struct("doc_id", _words().alias("size")) <= F.struct(cut["doc_id"].alias("doc_id"), cut["size"].alias("size")))
+    times = F.col("mix_cut.epochs") + F.coalesce(once_more.cast("int"), F.lit(0))
+    met = met.filter(F.col("text").rlike(NOT_SPACE) & (times > 0))
+    return met.withColumn("mix_time", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

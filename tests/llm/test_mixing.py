@@ -47,3 +47,11 @@ def test_stage_repeats_documents(odd, none):
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 3 * 2  # doc 66 is there twice
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_stage_takes_what_the_mix_takes(spark):
+    rows = [(i, "w " * (i % 13), "abcde"[i % 5] if i % 7 else None) for i in range(700)] + [(None, "q " * k, "a") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(r.doc_id, r.source, r.size): -(-r.taken // r.size) for r in mixing.mix(df).collect() if r.taken}
+    got = {(r.doc_id, r.source, len(r.text.split())): r["count"] for r in mixing.mixed(df).groupBy("doc_id", "source", "text").count().collect()}
+    assert got == want

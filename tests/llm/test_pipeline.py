@@ -34,3 +34,17 @@ def test_stages_equal_their_brute_force(spark, odd_rows, tmp_path):
             want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
     assert got == want
+
+
+def test_odd_and_empty_tables(spark, odd_rows, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    whole = [(i, t, g, s, None) for i, t, g, s in odd_rows]
+    once = [r for k, r in enumerate(whole) if r[0] is not None and (r[0] != 66 or whole[k - 1][0] != 66)]
+    found = {}
+    for name, rows, items in (("whole", whole, [(None, None), (1, "")]), ("once", once, [(1, "no such words")]), ("empty", [], [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        found[name] = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, at).collect())
+    # Rows without an id and repeated rows are copies of rows that stay.
+    assert found["whole"] == found["once"] and found["once"] and not found["empty"]
