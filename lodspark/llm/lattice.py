@@ -2,20 +2,29 @@
 
 A word is a run of pieces whose last one is final. The first piece and later pieces have weights of
 their own (a piece may be final or not in each place), so the chances of all words add up to 1. The
-pieces are those of a public vocabulary file, never trained here; their weights start from the
-file's order and are fitted to the training words by expectation-maximisation over all
-segmentations. The marginal probability of a word is a log-space forward recursion over its bytes.
+pieces are those of a public vocabulary file, never trained here.
+
+No public file stores unigram log-probabilities. The one that stores a score a piece,
+piece_bpe_32k.model, has 0, -1, -2, ...: the negative rank of the merge, as the others have by their
+order; as log-probabilities these would leave all pieces but the first dozen without weight. So a
+stored rank r is read as what it says of frequency, a share of 1 / (r + 100) (Zipf's law), and these
+weights are fitted to the training words by expectation-maximisation over all segmentations. The
+marginal probability of a word is a log-space forward recursion over its bytes: words of equal length
+together, very long ones by themselves over their arcs alone.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 
 from .words import mix
 
+#: Words above LONG bytes go by themselves, arcs looked up for PART places at a time.
+LONG, PART = 1024, 1 << 16
 #: Rows of the weight tables.
 FIRST_OPEN, FIRST_LAST, LATER_OPEN, LATER_LAST = range(4)
 _STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,6 +132,46 @@ class Lattice:
                     gather[kind] += np.bincount(found[size][used, at], share[used], gather.shape[1])
         return alpha[n]
 
+    def _arcs(self, word: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each place of one long word: the arcs (length, piece) that start there, PART places looked up at a time."""
+        n, most = len(word), max(self.lengths)
+        out: list[list[tuple[int, int]]] = []
+        for low in range(0, n, PART):
+            part = word[None, low : low + PART + most - 1]
+            here: list[list[tuple[int, int]]] = [[] for _ in range(min(PART, n - low))]
+            for size, h in piece_hashes(part, self.lengths):
+                found = self.look_up(h)[0, : len(here)]
+                for at in np.flatnonzero(found >= 0).tolist():
+                    here[at].append((size, int(found[at])))
+            out += here
+        return out
+
+    def _alone(self, word: np.ndarray, gather: np.ndarray | None, times: float) -> float:
+        """`_pass` for one long word: its cost and memory follow its arcs, not its length times all piece lengths."""
+        n, arcs = len(word), self._arcs(word)
+        weights = self.weights
+
+        def ways(at: int) -> list[tuple[int, int, int]]:
+            first = FIRST_OPEN if at == 0 else LATER_OPEN
+            return [(at + size, first + (at + size == n), piece) for size, piece in arcs[at]]
+
+        # Sums relative to the largest term so far, as in the vectorised recursion.
+        alpha = [_NONE] * (n + 1)
+        alpha[0] = 0.0
+        for at in range(n):
+            if alpha[at] > _NONE / 2:
+                for to, kind, piece in ways(at):
+                    alpha[to] = _added(alpha[to], alpha[at] + weights[kind, piece])
+        if gather is not None:
+            beta = [_NONE] * (n + 1)
+            beta[n] = 0.0
+            for at in range(n - 1, -1, -1):
+                for to, kind, piece in ways(at):
+                    through = weights[kind, piece] + beta[to]
+                    beta[at] = _added(beta[at], through)
+                    gather[kind, piece] += math.exp(min(alpha[at] + through - alpha[n], 0.0)) * times
+        return alpha[n]
+
     def run(self, words: list[bytes], gather: np.ndarray | None = None, times: np.ndarray | None = None, cells: int = 1 << 18) -> np.ndarray:
         """Natural-log probability of each word (not empty). Words of equal length go together, `cells` bytes at a time."""
         out = np.zeros(len(words))
@@ -131,6 +180,10 @@ class Lattice:
         edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=1 << 60))
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             n = int(sizes[order[low]])
+            if n > LONG:
+                for k in order[low:high].tolist():
+                    out[k] = self._alone(np.frombuffer(words[k], np.uint8), gather, 1.0 if times is None else float(times[k]))
+                continue
             step = max(1, cells // n)
             for at in range(low, high, step):
                 part = order[at : min(at + step, high)]
@@ -139,6 +192,13 @@ class Lattice:
         return out
 
 
+def _added(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > a - 50 else a
+
+
 def first_weights(pieces: list[bytes]) -> np.ndarray:
     """Starting weights from the vocabulary's own order: the share of rank r falls as 1 / (r + 100)."""
     score = 1.0 / (np.arange(len(pieces)) + 100.0)

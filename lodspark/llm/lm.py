@@ -46,23 +46,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Chances:
-    """log10 probability of words: discounted training counts, and the lattice of pieces for the rest."""
+    """log10 probability of words: discounted training counts, and the lattice of pieces for the rest; without `whole_words`, the lattice alone."""
 
-    def __init__(self, pieces: lattice.Lattice, words: int, distinct: int, once: int, twice: int):
-        self.pieces, self.words = pieces, max(words, 1)
+    def __init__(self, pieces: lattice.Lattice, words: int, distinct: int, once: int, twice: int, whole_words: bool = True):
+        self.pieces, self.words, self.whole_words = pieces, max(words, 1), whole_words
         self.discount = (once + 1) / (once + 2 * twice + 2)
         self.rest = float(np.log(self.discount * distinct / words)) if words else 0.0
 
     def of(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        if not self.whole_words:
+            return self.pieces.run(words) / _LN10
         with np.errstate(divide="ignore"):
             own = np.log(np.maximum(counts - self.discount, 0) / self.words)
         return np.logaddexp(own, self.rest + self.pieces.run(words)) / _LN10
 
 
-def fit(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> lattice.Lattice:
+def fit(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS, by_count: bool = False) -> lattice.Lattice:
     """Piece weights from the distinct words: each round adds up, over all segmentations of all words, how often pieces are used.
 
-    Each word counts once: the pieces answer for words that counts don't tell about.
+    Each word counts once where the pieces answer for words that counts don't tell about; with
+    `by_count`, as often as training has it, which is right where they answer for all words.
     """
     model = lattice.Lattice(pieces, lattice.first_weights(pieces))
     for _ in range(rounds):
@@ -71,7 +74,7 @@ def fit(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> lattice
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             uses = np.zeros(shared.value.weights.shape)
             for batch in batches:
-                shared.value.run(batch.column("word").to_pylist(), uses, np.ones(len(batch)))
+                shared.value.run(batch.column("word").to_pylist(), uses, batch.column("c").to_numpy().astype(float) if by_count else np.ones(len(batch)))
             at = np.flatnonzero(uses.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses.ravel()[at])], ["at", "uses"])
 
@@ -95,12 +98,13 @@ def with_chance(counts: DataFrame, model: Chances) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, chance double")
 
 
-def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None, common: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None, common: int = COMMON, whole_words: bool = True) -> DataFrame:
     """`doc_id, n_tokens, n_known, train_tokens, base_score, score` of every row of `docs`, learnt from `train`.
 
     A text's tokens are its words and one end. Counts of the `common` most frequent words travel to
     every task; the others of a text (few, and none of them frequent) meet their counts in a join by
-    word, so no key is hot. Null and empty texts have the end alone. Without training documents all
+    word, so no key is hot. With `whole_words=False` the lattice has no arcs over whole words of training.
+    Null and empty texts have the end alone. Without training documents all
     words are unknown and pieces keep the weights of their order in the vocabulary.
     """
     spark = docs.sparkSession
@@ -110,7 +114,7 @@ def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None,
     ends = train.count()
     sums = counted.agg(F.sum("c").alias("n"), F.count("c").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
-    model = Chances(fit(counted, pieces), sums.n or 0, sums.v, sums.once, sums.twice)
+    model = Chances(fit(counted, pieces, by_count=not whole_words), sums.n or 0, sums.v, sums.once, sums.twice, whole_words)
     known = saved(with_chance(counted, model), "lm-chances")
     discard(spark, held)
     top = known.orderBy(F.desc("c"), "word").limit(common).toArrow()

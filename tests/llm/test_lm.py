@@ -60,6 +60,28 @@ def test_expected_uses_are_those_of_all_segmentations():
     assert np.allclose(uses, want / total)
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    pieces = lattice.vocabulary(tokenizer_path())
+    model = lattice.Lattice(pieces, lattice.first_weights(pieces))
+    words = [b"illustrations" * 3, "übernaïveté".encode() * 4, b"zq" * 30, b"the", b"a"]
+    times = np.array([1.0, 2.0, 1.0, 3.0, 1.0])
+    both = []
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(lattice, "LONG", limit)
+        monkeypatch.setattr(lattice, "PART", 7)
+        uses = np.zeros(model.weights.shape)
+        both.append((model.run(words), model.run(words, uses, times), uses))
+    assert np.allclose(both[0][0], both[1][0]) and np.allclose(both[0][1], both[1][1]) and np.allclose(both[0][2], both[1][2])
+    monkeypatch.undo()
+    assert np.isfinite(model.run([b"longwords" * 30_000])[0])
+
+
+def test_lattice_alone(odd):
+    train = odd.filter(fold_of(5) != 1)
+    alone = {r.doc_id: r for r in lm.score(odd, train, whole_words=False).collect()}
+    assert all(r.score < 0 for r in alone.values()) and alone[65].base_score == lm.score(odd, train).filter("doc_id = 65").collect()[0].base_score
+
+
 def test_chances_of_words_add_up():
     pieces = [b"a", b"b", b"ab"]
     model = lm.Chances(lattice.Lattice(pieces, lattice.first_weights(pieces)), 10, 2, 1, 0)
