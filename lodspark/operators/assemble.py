@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodspark.functions import geo
 from lodspark.functions.uri import BASE
 
-from .dedupe import first_wins
+from .dedupe import first_wins, in_sequence
 from .entities import MAP_1860, MAP_1930
 from .graph import collected, entity, union_all
 
@@ -107,8 +107,9 @@ def features(plantation: dict[str, DataFrame], river: dict[str, DataFrame]) -> D
     r_names = collected(_names(river["e41"]), "identifies", "text", "place", "names")
     r = river["e53"].join(river["e26"].select(F.col("uri").alias("feature_uri"), "feature_type", "label"), "feature_uri", "left").join(r_names, F.col("feature_uri") == F.col("identifies"), "left")
     line = F.transform(geo.line_points(F.col("wkt")), lambda q: F.array(q["x"], q["y"]))
-    rivers = r.filter(line.isNotNull()).select((F.col("pos") + (1 << 40)).alias("pos"), feature(F.lit("LineString"), line, id=F.col("feature_uri"), fid=F.nullif(F.col("fid").try_cast("int"), F.lit(0)), name=F.col("label"), names=names_of(F.col("label"), F.col("names")), type=F.col("feature_type")).alias("body"))
-    return polygons.unionByName(rivers)
+    rivers = r.filter(line.isNotNull()).select("pos", feature(F.lit("LineString"), line, id=F.col("feature_uri"), fid=F.nullif(F.col("fid").try_cast("int"), F.lit(0)), name=F.col("label"), names=names_of(F.col("label"), F.col("names")), type=F.col("feature_type")).alias("body"))
+    # Numbered anew: positions of two files say nothing about each other.
+    return in_sequence([polygons, rivers]).select(F.col("seq").alias("pos"), "body")
 
 
 def coverage(plantation: dict[str, DataFrame], river: dict[str, DataFrame], almanac: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, dict[str, Column]]]:

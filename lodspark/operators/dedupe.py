@@ -39,16 +39,21 @@ def in_sequence(stages: list[DataFrame], pos: str = "pos") -> DataFrame:
     """The stages' rows, one after the other, with `seq` from 1 on.
 
     Numbers come from ranges of (stage, pos): each range is counted, and a row's number is the count of
-    the ranges before it plus its place in its own, so no single task holds all rows.
+    the ranges before it plus its place in its own, so no single task holds all rows. Rows without a
+    position come first in their stage, and equal positions follow each other, by a hash of the row.
     """
     rows = reduce(DataFrame.unionByName, [s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages)])
-    rows = rows.withColumn("part", F.floor(F.col(pos) / 65536))
-    sizes = rows.groupBy("stage", "part").agg(F.count("stage").alias("size"))
+    tie = F.xxhash64(*[f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+    placed = F.col(pos).isNotNull()
+    rows = rows.withColumns({"tie": tie, "placed": placed})
+    rows = rows.withColumn("part", F.when(placed, F.floor(F.col(pos) / 65536)).otherwise(F.shiftright("tie", 54)))
+    keys = ["stage", "placed", "part"]
+    sizes = rows.groupBy(*keys).agg(F.count("stage").alias("size"))
     # One row for 65536 rows.
-    sizes = sizes.select("stage", "part", (F.sum("size").over(W.orderBy("stage", "part")) - F.col("size")).alias("before"))
-    rows = rows.join(sizes, ["stage", "part"])
-    own = F.row_number().over(W.partitionBy("stage", "part").orderBy(pos))
-    return rows.withColumn("seq", F.col("before") + own).drop("part", "before")
+    sizes = sizes.select(*keys, (F.sum("size").over(W.orderBy(*keys)) - F.col("size")).alias("before"))
+    rows = rows.join(sizes, keys)
+    own = F.row_number().over(W.partitionBy(*keys).orderBy(pos, "tie"))
+    return rows.withColumn("seq", F.col("before") + own).drop("part", "before", "tie", "placed")
 
 
 def next_number(rows: DataFrame, column: str) -> DataFrame:

@@ -32,7 +32,7 @@ def location_note(name: Column) -> Column:
     return F.when(name.rlike("Kreek|rivier|Kanaal|kust"), "River, creek, or waterway from Surinaamse Almanakken").otherwise("Road or path from Surinaamse Almanakken")
 
 
-#: Types of the codes on the 1930 layer, fixed values; all other codes are settlements.
+#: Descriptions, labels and tags here are fixed values of the archive's records. Types of the codes on the 1930 layer; all other codes are settlements.
 PLACE_CODES = {"Astronomisch station": "station", "Kabelstation": "station", "District Commissaris": "town", "B": "maroon-village", "I": "indigenous-village"}
 
 

@@ -70,11 +70,31 @@ def walk_counts(edges: DataFrame, depth: int) -> DataFrame:
 
 
 def hops(edges: DataFrame, depth: int) -> DataFrame:
-    """`src, dst, depth`: ends of all walks of up to `depth` edges along `edges` (src, dst)."""
-    walk = edges.select("src", "dst").withColumn("depth", F.lit(1))
-    out = walk
+    """`src, dst, depth`: the ends that walks of each length up to `depth` reach along `edges` (src, dst), each once a length.
+
+    Repeats go after every step, so a cycle or a dense graph costs pairs of nodes, not walks.
+    """
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    walk = edges.select("src", "dst").distinct()
+    out = walk.withColumn("depth", F.lit(1))
     for d in range(2, depth + 1):
-        step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        walk = walk.join(step, "dst").select("src", F.col("next").alias("dst")).withColumn("depth", F.lit(d))
-        out = out.unionByName(walk)
+        walk = walk.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        out = out.unionByName(walk.withColumn("depth", F.lit(d)))
     return out
+
+
+def tree(nodes: DataFrame, levels: int = 32) -> DataFrame:
+    """`id, top, depth` of every node (id, broader) under its top node (broader null), one join a level until a level is empty.
+
+    Nodes whose chain of broader ones ends nowhere, or in a circle, are not in the tree. A tree deeper
+    than `levels` fails rather than being cut.
+    """
+    child = nodes.select("id", "broader").filter("broader is not null")
+    level = nodes.filter("broader is null").select("id", F.col("id").alias("top"), F.lit(0).alias("depth"))
+    out = level
+    for d in range(1, levels + 1):
+        level = child.join(level.select(F.col("id").alias("broader"), "top"), "broader").select("id", "top", F.lit(d).alias("depth"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"a tree of more than {levels} levels")

@@ -17,8 +17,9 @@ def _picked(field: str, sides: Column) -> Column:
 
 
 def by_key(items: Column, key) -> Column:
-    """The list without later items of a key that was there before."""
-    return F.aggregate(items, F.slice(items, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: key(y) == key(x)), acc).otherwise(F.array_append(acc, x)))
+    """The list without later items of a key that was there before; items whose key is null stay."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.coalesce(F.array_position(keys, key(x)) == i + 1, F.lit(True)))
 
 
 def resolve(pairs: DataFrame, scalars: list[str], excluded_sources: Column | None = None) -> DataFrame:
@@ -48,10 +49,11 @@ def hydrate(names: DataFrame, appellations: DataFrame) -> DataFrame:
     """`place, key, text, language, source, source_year`: a place's own names completed by its appellations, matched by normalised text.
 
     Of a matched pair the longer text stays, and the appellation fills language, source and year
-    where the name has none; names and appellations without a partner stay as they are.
+    where the name has none; names and appellations without a partner stay as they are. Of names of one
+    key the first by `pos` counts (where there is that column, else the least text).
     """
     keyed = lambda t: t.withColumn("key", normalize_label("text"))
-    own = keyed(names).groupBy("place", "key").agg(F.first(F.struct("text", "language", "source", "source_year")).alias("n"))
+    own = keyed(names).groupBy("place", "key").agg(F.min_by(F.struct("text", "language", "source", "source_year"), F.struct(*[c for c in ("pos", "text", "source_year", "source", "language") if c in names.columns])).alias("n"))
     other = keyed(appellations).groupBy("place", "key").agg(F.min(F.struct("source_year", "text", "language", "source")).alias("x"))
     met = own.join(other, ["place", "key"], "full")
     longer = F.when(F.length("x.text") > F.coalesce(F.length("n.text"), F.lit(0)), F.col("x.text")).otherwise(F.col("n.text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodspark.functions import geo
 from lodspark.functions.text import last_number, normalize_label
 
-from .dedupe import next_number
+from .dedupe import in_sequence, next_number
 
 
 UNNAMED, UNNAMED_LABEL = "[naamloos]", "Unnamed street 1916"
@@ -63,15 +63,12 @@ def plan(streets: DataFrame, places: DataFrame, tag: str) -> DataFrame:
 
 def apply(planned: DataFrame, places: DataFrame, tag: str) -> DataFrame:
     """`places` (id, label, type, lat, lng, wkt, fid, sources) with the plan's updates in place and its inserts under new numbers."""
-    from pyspark.sql import Window as W
-
     updates = planned.filter("outcome = 'update'").groupBy("target").agg(F.max_by(F.struct("label", "wkt", "centre", "first_id"), "pos").alias("u"))
     new = places.join(updates, places["id"] == F.col("target"), "left")
     hit = F.col("u").isNotNull()
     pick = lambda column, value: F.when(hit, value).otherwise(F.col(column)).alias(column)
     new = new.select("id", pick("label", F.col("u.label")), pick("type", F.lit("road")), pick("lat", F.col("u.centre.y")), pick("lng", F.col("u.centre.x")), pick("wkt", F.col("u.wkt")), pick("fid", F.col("u.first_id").cast("int")), pick("sources", F.array_union("sources", F.array(F.lit(tag)))))
-    # New streets are few beside the gazetteer; their order gives their numbers.
     last = next_number(places, "id").first().next_id - 1
-    added = planned.filter("outcome = 'insert'").withColumn("n", F.row_number().over(W.orderBy("pos")))
+    added = in_sequence([planned.filter("outcome = 'insert'")]).withColumnRenamed("seq", "n")
     added = added.select(F.concat(F.lit("stm-"), F.lpad((F.col("n") + last).cast("string"), 5, "0")).alias("id"), "label", F.lit("road").alias("type"), F.col("centre.y").alias("lat"), F.col("centre.x").alias("lng"), "wkt", F.col("first_id").cast("int").alias("fid"), F.array(F.lit(tag)).alias("sources"))
     return new.unionByName(added)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodspark.functions import lang
 from lodspark.functions.text import blank_to_null, int_prefix
 
+# Columns of the archive's files: fixed values.
 POLYGON_COLUMNS = ["fid", "psur_id", "psur_id2", "psur_id3", "label_1930", "label_1860-79", "qid", "qid_alt", "plantation_label", "coords"]
 RIVER_COLUMNS = ["fid", "label1930", "main_body_water", "label1882", "alt_label", "wkt_geometry"]
 ALMANAC_COLUMNS = [
@@ -91,6 +92,12 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pos", F.try_variant_get("body", "$['@id']", "string").alias("id"), lang.as_array(F.try_variant_get("body", "$['@type']", "variant")).alias("types"), "body")
 
 
+def read_graph_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As `read_graph`, from files of one entity a line (`sinks.lines`): any number of tasks, no document in one row."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.parse_json("value").alias("body"))
+    return rows.select("pos", F.try_variant_get("body", "$['@id']", "string").alias("id"), lang.as_array(F.try_variant_get("body", "$['@type']", "variant")).alias("types"), "body")
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """`pos, name, id, kind, segments` of a feature collection's lines; anything else than a collection fails. Other geometries have null segments."""
     schema = "type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:variant>>>"

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodspark.operators import assemble, assertions, checks, entities, gazetteer, graph, placequery, store, streets
+from lodspark.operators import assemble, assertions, checks, dedupe, entities, gazetteer, graph, placequery, store, streets
 from lodspark.sources import readers, sinks
 
 POLYGONS = '''fid;psur_id;psur_id2;psur_id3;label_1930;label_1860-79;qid;qid_alt;plantation_label;coords
@@ -113,7 +113,10 @@ def test_assembled_graph(spark, files):
 
 def test_documents_and_presence(spark, files, tmp_path):
     rows = spark.createDataFrame([(1, '{"@id":"a","@type":"crm:E25_x"}'), (0, '{"@id":"b","@type":["crm:E53_y","z"],"typeId":"t","prefLabel":"only"}')], "pos long, body string")
-    assert sinks.jsonld(rows, str(tmp_path / "g.jsonld"), "2024-01-01T00:00:00Z") == 2
+    assert sinks.jsonld(rows, str(tmp_path / "g"), "2024-01-01T00:00:00Z") == 2
+    sinks.joined(spark, str(tmp_path / "g"), str(tmp_path / "g.jsonld"))
+    sinks.lines(spark.createDataFrame([("a", "crm:E25_x"), ("b", "z")], "`@id` string, `@type` string"), str(tmp_path / "lines"))
+    assert sorted((r.id, r.types) for r in readers.read_graph_lines(spark, str(tmp_path / "lines")).select("id", F.col("types").cast("array<string>").alias("types")).collect()) == [("a", ["crm:E25_x"]), ("b", ["z"])]
     assert [e["@id"] for e in json.loads((tmp_path / "g.jsonld").read_text())["@graph"]] == ["b", "a"]
     back = readers.read_graph(spark, str(tmp_path / "g.jsonld"))
     assert [(r.id, r.c) for r in back.orderBy("pos").select("id", graph.classify(F.col("types")).alias("c")).collect()] == [("b", "E53"), ("a", "E25")]
@@ -156,6 +159,34 @@ def test_store(spark, tmp_path):
     assert s.version() == 2 and sorted(map(tuple, s.read().collect())) == [(1, "a"), (2, "c"), (3, "d")]
     with pytest.raises(sinks.Conflict):
         s.write(first, 1)
+    with pytest.raises(Exception, match="no such luck"):
+        s.change(lambda t: t.withColumn("label", F.raise_error(F.lit("no such luck"))))
+    assert s.write(first, 2) == 3  # neither a failure nor a conflict leaves a claim behind
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")) == ["v=1", "v=2", "v=3"]
+
+
+def test_sequence_keeps_rows_without_position(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 1), ("d", 70_000), ("e", None)], "name string, pos long")
+    out = dedupe.in_sequence([rows, rows.limit(0), rows.filter("pos = 70000")]).collect()
+    assert sorted(r.seq for r in out) == [1, 2, 3, 4, 5, 6]
+    at = {r.seq: r.name for r in out}
+    assert {at[1], at[2]} == {"b", "e"} and {at[3], at[4]} == {"a", "c"} and at[5] == at[6] == "d"
+    assert dedupe.in_sequence([spark.createDataFrame([("x", 1), ("y", None)], "name string, pos long")]).count() == 2
+
+
+def test_index_set_and_trees(spark):
+    g = spark.createDataFrame([("a", "E25", "{}"), ("n1", "E41", '{"identifies":"a"}'), ("n2", "E41", '{"identifies":"a"}'), ("n3", "E41", "{}"), ("o", "E13", '{"about":"q"}'), ("s", "E22", "{}"), ("t", "E55", "{}")], "id string, class string, body string")
+    index = sinks.index_set(g, spark.createDataFrame([("p", "{}")], "id string, body string"))
+    assert {k: sorted((r.key, r.id) for r in t.collect()) for k, t in index.items()} == {
+        "plantations": [("a", "a")], "physical_features": [], "organizations": [], "places": [], "sources": [("s", "s")],
+        "appellations_by_entity": [("a", "n1"), ("a", "n2")], "observations_by_org": [("q", "o")], "provenance": [("p", "p")],
+    }
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x"), ("l", "gone")], "id string, broader string")
+    assert sorted(map(tuple, graph.tree(nodes).collect())) == [("a", "r", 1), ("b", "r", 2), ("r", "r", 0)]
+    with pytest.raises(ValueError, match="levels"):
+        graph.tree(nodes, levels=1)
+    circle = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b")], "src string, dst string")
+    assert sorted(map(tuple, graph.hops(circle, 3).collect())) == [("a", "a", 2), ("a", "b", 1), ("a", "b", 3), ("b", "a", 1), ("b", "a", 3), ("b", "b", 2)]
 
 
 def test_presence_is_idempotent(spark):
