@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodspark.functions.text import slug_capped
+
+from .dedupe import in_sequence
+from .gazetteer import crm_class
+
 
 def replace_by_key(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`table` with rows of `new` in place of, or beside, its own. `new` has a key once."""
@@ -28,29 +33,163 @@ def outcome(found: Column, merged: Column, deprecated: Column, ok: str = "200")
     return F.when(~found, "404").when(merged | deprecated, "409").otherwise(ok)
 
 
+def one_a_key(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of the requests of a batch for one key: the first by `at` (then by a hash of the request), and `key, status` 409 for each of the others."""
+    order = F.struct(F.col("at").isNull(), "at", F.xxhash64(F.to_json(F.struct(*requests.columns))))
+    g = requests.groupBy(key).agg(F.min_by(F.struct(*requests.columns), order).alias("r"), F.count(F.lit(1)).cast("int").alias("n"))
+    others = g.filter("n > 1").select(key, F.explode(F.array_repeat(F.lit("409"), F.col("n") - 1)).alias("status"))
+    return g.select("r.*"), others
+
+
 def tombstone(table: DataFrame, requests: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Retire records: the new table, and `key, status` of each request. Rows are never removed. Table: deprecated, merged_into, deprecated_by, deprecated_at, note."""
-    req = requests.select(key, "actor", "at", F.trim("note").alias("why"))
+    """Retire records: the new table, and `key, status` of each request. Rows are never removed. Table: deprecated, merged_into, deprecated_by, deprecated_at, note.
+
+    Of several requests for a record in one batch the first is judged, the others get 409.
+    """
+    first, others = one_a_key(requests, key)
+    req = first.select(key, "actor", "at", F.trim("note").alias("why"))
     met = req.join(table.select(key, "deprecated", "merged_into").withColumn("there", F.lit(True)), key, "left")
     status = outcome(F.coalesce("there", F.lit(False)), F.col("merged_into").isNotNull(), F.coalesce("deprecated", F.lit(False)))
     judged = met.select(key, "actor", "at", "why", status.alias("status"))
-    done = judged.filter("status = '200'")
-    new = table.join(done.drop("status"), key, "left")
-    hit = F.col("actor").isNotNull()
+    done = judged.filter("status = '200'").drop("status").withColumn("hit", F.lit(True))
+    new = table.join(done, key, "left")
     for column, value in (("deprecated", F.lit(True)), ("deprecated_by", F.col("actor")), ("deprecated_at", F.col("at")), ("note", F.nullif("why", F.lit("")))):
-        new = new.withColumn(column, F.when(hit, value).otherwise(F.col(column)))
-    return new.select(table.columns), judged.select(key, "status")
+        new = new.withColumn(column, F.when(F.col("hit"), value).otherwise(F.col(column)))
+    return new.select(table.columns), judged.select(key, "status").unionByName(others)
+
 
+def merge(table: DataFrame, requests: DataFrame, key: str = "id", kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merge pairs (`keep`, `retire`, and `at` where requests have an order): the retired record points to the kept one, which is replaced by its row in `kept`, if it has one there.
 
-def merge(table: DataFrame, requests: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Merge pairs (`keep`, `retire`): the retired record points to the kept one. Outcomes: 400 equal ids or one merged before, 404 unknown."""
+    Outcomes: 400 equal or missing ids or one merged before, 404 unknown, 409 for a pair that meets an
+    earlier valid one of the batch - it names a record that was to be retired, or would retire one that was to
+    be kept - and can be sent again once that one is decided. So a batch never makes a chain.
+    """
     state = table.select(F.col(key).alias("k"), F.col("merged_into").isNotNull().alias("gone"))
-    r = requests.join(state.select(F.col("k").alias("keep"), F.col("gone").alias("keep_gone")), "keep", "left").join(state.select(F.col("k").alias("retire"), F.col("gone").alias("retire_gone")), "retire", "left")
-    status = F.when(F.col("keep") == F.col("retire"), "400").when(F.col("keep_gone").isNull() | F.col("retire_gone").isNull(), "404").when(F.col("keep_gone") | F.col("retire_gone"), "400").otherwise("200")
-    judged = r.select("keep", "retire", status.alias("status"))
-    done = judged.filter("status = '200'").select(F.col("retire").alias(key), F.col("keep").alias("into"))
-    new = table.join(done, key, "left").withColumn("merged_into", F.coalesce("into", "merged_into")).select(table.columns)
-    return new, judged
+    at = F.col("at") if "at" in requests.columns else F.lit(None).cast("string")
+    r = requests.select("keep", "retire", F.struct(at.isNull().alias("late"), at.alias("at"), "keep", "retire").alias("turn"))
+    r = r.groupBy("keep", "retire").agg(F.min("turn").alias("turn"), F.count(F.lit(1)).cast("int").alias("n"))
+    for c in ("keep", "retire"):
+        r = r.join(state.select(F.col("k").alias(c), F.col("gone").alias(f"{c}_gone")), c, "left")
+    alone = F.when(F.coalesce(F.col("keep") == F.col("retire"), F.lit(True)), "400").when(F.col("keep_gone").isNull() | F.col("retire_gone").isNull(), "404").when(F.col("keep_gone") | F.col("retire_gone"), "400")
+    r = r.withColumn("alone", alone)
+    fit = r.filter("alone is null")
+    retired, held = (fit.groupBy(F.col(c).alias("k")).agg(F.min("turn").alias("first")) for c in ("retire", "keep"))
+    for name, column, of in (("keep_retired", "keep", retired), ("retire_retired", "retire", retired), ("retire_held", "retire", held)):
+        r = r.join(of.select(F.col("k").alias(column), F.col("first").alias(name)), column, "left")
+    earlier = [F.coalesce(F.col(c) < F.col("turn"), F.lit(False)) for c in ("keep_retired", "retire_retired", "retire_held")]
+    judged = r.select("keep", "retire", "n", F.coalesce("alone", F.when(earlier[0] | earlier[1] | earlier[2], "409").otherwise("200")).alias("status"))
+    done = judged.filter("status = '200'")
+    again = judged.filter("n > 1").select("keep", "retire", F.explode(F.array_repeat(F.lit("409"), F.col("n") - 1)).alias("status"))
+    into = done.select(F.col("retire").alias(key), F.col("keep").alias("into"))
+    new = table
+    if kept is not None:
+        new = replace_by_key(table, kept.join(done.select(F.col("keep").alias(key)).distinct(), key, "left_semi"), key)
+    new = new.join(into, key, "left").withColumn("merged_into", F.coalesce("into", "merged_into")).select(table.columns)
+    return new, judged.select("keep", "retire", "status").unionByName(again)
+
+
+_LINKED = "wikidata"
+
+
+def derived(places: DataFrame, actor: Column | None = None, at: Column | None = None) -> DataFrame:
+    """Places with what follows from their other fields: `qid` from the first Wikidata link, `crm_class` from the type, and stamps where given."""
+    links = F.coalesce("external_links", F.slice("external_links", 1, 0))
+    qid = F.get(F.filter(links, lambda x: x["authority"] == _LINKED), F.lit(0))["identifier"]
+    out = places.withColumn("qid", qid).withColumn("crm_class", crm_class(F.col("type")))
+    if actor is not None:
+        out = out.withColumn("modified_by", actor).withColumn("modified_at", at)
+    return out
+
+
+def save_places(places: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add or replace whole places (`requests`: the places' columns, and `actor`, `at`): the new table and `id, status`.
+
+    400 without id, names or type; 409 for all but the first request for an id; 201 added, 200 replaced.
+    Places: id, names, type, external_links, qid, crm_class, modified_by, modified_at and any others;
+    what a request does not give is null in the new record.
+    """
+    complete = (F.coalesce(F.trim(F.col("id").cast("string")), F.lit("")) != "") & (F.coalesce(F.size("names"), F.lit(0)) > 0) & (F.coalesce(F.trim("type"), F.lit("")) != "")
+    marked = requests.withColumn("complete", F.coalesce(complete, F.lit(False)))
+    first, others = one_a_key(marked.filter("complete"), "id")
+    known = places.select("id").withColumn("there", F.lit(True))
+    judged = first.select("id").join(known, "id", "left").select("id", F.when(F.col("there"), "200").otherwise("201").alias("status"))
+    refused = marked.filter("not complete").select("id", F.lit("400").alias("status"))
+    made = derived(first, F.col("actor"), F.col("at"))
+    made = made.select(*[(F.col(c) if c in made.columns else F.lit(None).cast(places.schema[c].dataType)).alias(c) for c in places.columns])
+    return replace_by_key(places, made, "id"), judged.unionByName(others).unionByName(refused)
+
+
+def patch_places(places: DataFrame, patches: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Set the fields that patches name (`has`) and recompute what follows from them: the new table and `id, status`.
+
+    400 without id, 404 unknown, 409 for all but the first patch for an id, 200 done.
+    """
+    first, others = one_a_key(patches.filter("id is not null"), "id")
+    judged = first.select("id").join(places.select("id").withColumn("there", F.lit(True)), "id", "left").select("id", F.when(F.col("there"), "200").otherwise("404").alias("status"))
+    refused = patches.filter("id is null").select("id", F.lit("400").alias("status"))
+    new = overlay(places, first, "id", fields).join(first.select("id", "actor", "at").withColumn("hit", F.lit(True)), "id", "left")
+    again = derived(new)
+    hit = F.coalesce("hit", F.lit(False))
+    kept = new.select("id", F.struct("qid", "crm_class").alias("old"))
+    out = again.join(kept, "id").select(*[
+        F.when(hit, {"modified_by": F.col("actor"), "modified_at": F.col("at")}.get(c, F.col(c))).otherwise(F.col(f"old.{c}") if c in ("qid", "crm_class") else F.col(c)).alias(c)
+        for c in places.columns
+    ])
+    return out, judged.unionByName(others).unionByName(refused)
+
+
+def save_sources(registry: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add sources to a registry, after its last category, or update their editable fields: the new registry in order (`pos` anew) and `source_id, status`.
+
+    Registry: pos, kind (`category` or `source`), source_id, category, label, description, linked.
+    Requests: source_id (null: new), category, label, description, linked, at. 400 without label or category; 409 for a new
+    source whose id (its label's slug, 60 characters at most) is taken, and for all but the first
+    request for an id; 201 added, 200 updated. Of new sources the last one stands first.
+    """
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    r = requests.select(clean("source_id").alias("given"), clean("category").alias("category"), clean("label").alias("label"), clean("description").alias("description"), "linked", "at")
+    r = r.withColumn("source_id", F.coalesce("given", slug_capped("label")))
+    refused = r.filter("label is null or category is null").select("source_id", F.lit("400").alias("status"))
+    first, others = one_a_key(r.filter("label is not null and category is not null"), "source_id")
+    known = registry.filter("kind = 'source'").select("source_id").distinct().withColumn("there", F.lit(True))
+    met = first.join(known, "source_id", "left").withColumn("status", F.when(F.col("there") & F.col("given").isNull(), "409").when(F.col("there"), "200").otherwise("201"))
+    fields = ["category", "label", "description", "linked"]
+    update = met.filter("status = '200'").select("source_id", F.struct(*fields).alias("u"))
+    old = registry.join(update, "source_id", "left")
+    hit = F.col("u").isNotNull() & (F.col("kind") == "source")
+    old = old.select(*[(F.when(hit, F.col(f"u.{c}")).otherwise(F.col(c)) if c in fields else F.col(c)).alias(c) for c in registry.columns])
+    last = registry.filter("kind = 'category'").agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last")).first()["last"]
+    added = met.filter("status = '201'")
+    newest = in_sequence([added.withColumn("turn", F.unix_micros(F.to_timestamp("at")))], "turn")
+    added = newest.select((-F.col("seq")).alias("pos"), F.lit("source").alias("kind"), "source_id", *fields)
+    rows = in_sequence([old.filter(F.col("pos") <= last), added.select(registry.columns), old.filter(F.col("pos") > last)])
+    new = rows.withColumn("pos", F.col("seq") - 1).select(registry.columns)
+    return new, met.select("source_id", "status").unionByName(others).unionByName(refused)
+
+
+def retire_concepts(concepts: DataFrame, places: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Retire types of a thesaurus: the new thesaurus and `type, status`.
+
+    Concepts: type, deprecated, deprecated_at, deprecated_by, replaced_by, deprecation_note, history_note.
+    Requests: type, replaced_by, note, actor, at. 400 without type; 409 if active places use it and nothing replaces
+    it, if it is retired already, or another request of the batch came first; 404 unknown; 200 done.
+    """
+    first, others = one_a_key(requests.filter("type is not null"), "type")
+    refused = requests.filter("type is null").select("type", F.lit("400").alias("status"))
+    used = places.filter(~F.coalesce("deprecated", F.lit(False)) & F.col("merged_into").isNull()).groupBy("type").agg(F.count("type").alias("n_active"))
+    known = concepts.select("type", F.coalesce("deprecated", F.lit(False)).alias("gone"))
+    met = first.select("type", F.nullif(F.trim("replaced_by"), F.lit("")).alias("by"), F.nullif(F.trim("note"), F.lit("")).alias("why"), "actor", "at").join(known, "type", "left").join(used, "type", "left")
+    status = F.when((F.coalesce("n_active", F.lit(0)) > 0) & F.col("by").isNull(), "409").when(F.col("gone").isNull(), "404").when(F.col("gone"), "409").otherwise("200")
+    judged = met.withColumn("status", status)
+    done = judged.filter("status = '200'").select("type", F.struct("by", "why", "actor", "at").alias("r"))
+    hit, said = F.col("r").isNotNull(), F.concat(F.lit("Deprecated "), F.col("r.at"), F.lit(" by "), F.col("r.actor"), F.lit("."), F.coalesce(F.concat(F.lit(" Replaced by: "), F.col("r.by"), F.lit(".")), F.lit("")))
+    values = {
+        "deprecated": F.lit(True), "deprecated_at": F.col("r.at"), "deprecated_by": F.col("r.actor"), "replaced_by": F.coalesce("r.by", "replaced_by"),
+        "deprecation_note": F.coalesce("r.why", "deprecation_note"), "history_note": F.concat_ws(" | ", F.nullif("history_note", F.lit("")), said),
+    }
+    new = concepts.join(done, "type", "left").select(*[(F.when(hit, values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in concepts.columns])
+    return new, judged.select("type", "status").unionByName(others).unionByName(refused)
 
 
 def type_guard(types: DataFrame, places: DataFrame, requests: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodspark.operators import graph, matching, placequery, store
+from lodspark.operators import detail, graph, matching, placequery, store
 
 from .tables import customer_tags, table
 
@@ -13,8 +13,8 @@ def _star(s, d):
     c, n, r, o, li = (table(s, d, x) for x in ("customer", "nation", "region", "orders", "lineitem"))
     lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
     facts = o.join(lines, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.coalesce(F.sum("lines"), F.lit(0)).alias("n_lines"), F.round(F.coalesce(F.sum("quantity"), F.lit(0.0)), 2).alias("quantity"), F.max("o_orderdate").alias("last_order"))
-    out = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(facts, "c_custkey", "left")
-    return out.select("c_custkey", "c_name", "n_name", "r_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "quantity", "last_order")
+    out = detail.star(c, "c_custkey", [(n, "n_nationkey", "c_nationkey"), (r, "r_regionkey", "n_regionkey")], facts, ["n_orders", "n_lines"])
+    return out.select("c_custkey", "c_name", "n_name", "r_name", "n_orders", "n_lines", "quantity", "last_order")
 
 
 def _or_key(s, d):
@@ -39,7 +39,7 @@ def _ambiguous(s, d):
 
 def _anti(s, d):
     o = table(s, d, "orders").filter(F.year("o_orderdate") == 2000).select(F.col("o_custkey").alias("c_custkey"))
-    return table(s, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return detail.without(table(s, d, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
 def _anti_conditional(s, d):
@@ -51,20 +51,16 @@ def _anti_conditional(s, d):
 
 def _categories(s, d):
     n = table(s, d, "nation")
-    c = table(s, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_building"))
-    return n.join(c, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_building", F.lit(0)).alias("n_building"))
+    c = table(s, d, "customer").filter("c_acctbal > 9000").withColumnRenamed("c_nationkey", "n_nationkey")
+    return detail.category_counts(n, c, "n_nationkey", n=F.lit(True), n_building=F.col("c_mktsegment") == "BUILDING").select("n_name", "n", "n_building")
 
 
 def _tree(s, d):
-    """Concepts under their top concepts; levels are few and fixed, so each is one join."""
+    """Concepts under their top concepts."""
     r = table(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("broader"))
     n = table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("broader"))
     u = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("broader"))
-    nodes = r.unionByName(n).unionByName(u)
-    nodes.createOrReplaceTempView("concept_nodes")
-    return s.sql("""WITH RECURSIVE tree(id, top, depth) AS (
-        SELECT id, id, 0 FROM concept_nodes WHERE broader IS NULL
-        UNION ALL SELECT c.id, t.top, t.depth + 1 FROM concept_nodes c JOIN tree t ON c.broader = t.id) SELECT id, top, depth FROM tree""")
+    return graph.tree(r.unionByName(n).unionByName(u))
 
 
 def _defaults(s, d):
@@ -150,9 +146,8 @@ def _coverage(s, d):
 
 
 def _unlinked(s, d):
-    li = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("linked", F.lit(1))
-    o = table(s, d, "orders").join(li, "o_orderkey", "left")
-    return o.agg(F.round(F.avg(F.col("linked").isNull().cast("int")) * 100, 1).alias("unlinked_pct"))
+    li = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return detail.unlinked_percent(table(s, d, "orders"), li, "o_orderkey").select(F.col("percent").alias("unlinked_pct"))
 
 
 def _roles(s, d):
@@ -226,19 +221,102 @@ def _guard(s, d):
 
 
 def _by_entity(s, d):
-    return table(s, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"), F.max("p_name").alias("last_name"), F.countDistinct("p_name").alias("n_names"))
+    return detail.summaries(table(s, d, "part"), "p_brand", first_name=F.min("p_name"), last_name=F.max("p_name"), n_names=F.countDistinct("p_name"))
 
 
 def _by_org(s, d):
-    o = table(s, d, "orders")
-    return o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n"), F.year(F.min("o_orderdate")).alias("first_year"), F.year(F.max("o_orderdate")).alias("last_year"))
+    o = table(s, d, "orders").withColumnRenamed("o_custkey", "custkey")
+    return detail.summaries(o, "custkey", first_year=F.year(F.min("o_orderdate")), last_year=F.year(F.max("o_orderdate")))
 
 
 def _bridge(s, d):
-    """Two datasets by their shared id, and how many rows of each have none."""
-    a = table(s, d, "customer").select("c_custkey", "c_nationkey")
-    b = table(s, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
-    return a.join(b, a["c_nationkey"] == b["s_nationkey"], "left").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"), F.coalesce(F.max("n_suppliers"), F.lit(0)).alias("n_suppliers"))
+    """Two datasets by their shared id, and how many rows of each have it."""
+    a, b = table(s, d, "customer").select("c_nationkey"), table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
+    return detail.bridge(a, b, "c_nationkey", ("n_customers", "n_suppliers"))
+
+
+def _records(s, d):
+    """Suppliers as places with names and links."""
+    sup = table(s, d, "supplier")
+    link = F.struct(F.when(F.col("s_suppkey") % 3 == 0, F.lit("wikidata")).otherwise("geonames").alias("authority"), F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("identifier"))
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("s_nationkey") % 2 == 0, "river").otherwise("plantation")
+    rows = sup.select(F.col("s_suppkey").alias("id"), F.array("s_name").alias("names"), kind.alias("type"), F.array(link).alias("external_links"), none.alias("modified_by"), none.alias("modified_at"))
+    return store.derived(rows)
+
+
+def _save(s, d):
+    """Every part is a request to save a place; parts of one number modulo the suppliers' range meet."""
+    link = F.struct(F.lit("wikidata").alias("authority"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("identifier"))
+    names = F.when(F.col("p_size") > 5, F.array("p_name")).otherwise(F.array().cast("array<string>"))
+    r = table(s, d, "part").select((F.col("p_partkey") % 1500).alias("id"), names.alias("names"), F.lit("district").alias("type"), F.array(link).alias("external_links"), F.lit("editor").alias("actor"), F.col("p_partkey").cast("string").alias("at"))
+    new, judged = store.save_places(_records(s, d), r)
+    outcomes = judged.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("status")), ",").alias("statuses"))
+    return new.join(outcomes, "id", "full").select("id", F.element_at("names", 1).alias("name"), "type", "qid", "crm_class", "modified_by", "modified_at", "statuses")
+
+
+def _patch_records(s, d):
+    """Every customer patches the place of its number: a type, or its links."""
+    links = F.when(F.col("c_custkey") % 4 == 0, F.array(F.struct(F.lit("wikidata").alias("authority"), F.lit("Q0").alias("identifier"))))
+    has = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("external_links"))).otherwise(F.array(F.lit("type")))
+    p = table(s, d, "customer").select(F.col("c_custkey").alias("id"), has.alias("has"), F.lit("district").alias("type"), links.alias("external_links"), F.lit("editor").alias("actor"), F.lit("2024").alias("at"))
+    new, judged = store.patch_places(_records(s, d), p, ["type", "external_links"])
+    return new.join(judged, "id", "full").select("id", "type", F.coalesce(F.size("external_links"), F.lit(-1)).alias("n_links"), "qid", "crm_class", "modified_by", "status")
+
+
+def _save_sources(s, d):
+    """Nations are sources under regions; each part's brand asks for a source, each supplier updates one of its nation."""
+    slug = F.replace(F.lower("n_name"), F.lit("_"), F.lit("-"))
+    cats = table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("pos"), F.lit("category").alias("kind"), F.lit(None).cast("string").alias("source_id"), F.col("r_name").alias("category"), F.col("r_name").alias("label"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("linked"))
+    old = table(s, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("pos"), F.lit("source").alias("kind"), slug.alias("source_id"), F.col("n_regionkey").cast("string").alias("category"), F.col("n_name").alias("label"), F.lit("old").alias("description"), F.lit(False).alias("linked"))
+    day = lambda k: F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd")
+    brands = table(s, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k")).select(F.lit(None).cast("string").alias("source_id"), F.lit("x").alias("category"), F.col("p_brand").alias("label"), F.lit(" ").alias("description"), F.lit(True).alias("linked"), day(F.col("k")).alias("at"))
+    named = table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, slug).alias("source_id"), F.when(F.col("n_nationkey") % 5 != 0, F.lit("y")).alias("category"), F.col("n_name").alias("label"), F.lit(" new ").alias("description"), F.lit(True).alias("linked"), day(F.col("n_nationkey")).alias("at"))
+    new, judged = store.save_sources(cats.unionByName(old), brands.unionByName(named))
+    return new.filter("kind = 'source'").join(judged, "source_id", "full").select("source_id", "pos", "category", "description", "linked", "status")
+
+
+def _retire_types(s, d):
+    """Every segment and brand is asked to retire; segments that places use need a replacement."""
+    none = F.lit(None).cast("string")
+    types = table(s, d, "customer").select(F.col("c_mktsegment").alias("type")).union(table(s, d, "part").select("p_brand")).distinct()
+    concepts = types.select("type", (F.col("type") == "Brand#11").alias("deprecated"), none.alias("deprecated_at"), none.alias("deprecated_by"), none.alias("replaced_by"), none.alias("deprecation_note"), F.when(F.col("type") < "C", F.lit("older")).alias("history_note"))
+    places = table(s, d, "customer").select(F.col("c_mktsegment").alias("type"), (F.col("c_acctbal") < 0).alias("deprecated"), none.alias("merged_into"))
+    asked = types.union(s.createDataFrame([("unknown",)], "type string")).select("type", F.when(F.col("type").isin("BUILDING", "Brand#12"), F.lit("HOUSEHOLD")).alias("replaced_by"), F.lit(" why ").alias("note"), F.lit("me").alias("actor"), F.lit("2024-01-01").alias("at"))
+    new, judged = store.retire_concepts(concepts, places, asked)
+    return new.join(judged, "type", "full").select("type", "deprecated", "replaced_by", "deprecation_note", "history_note", "status")
+
+
+def _tombstone_all(s, d):
+    """Every order asks to retire the place of its customer's number."""
+    r = table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("editor").alias("actor"), F.col("o_orderkey").cast("long").alias("at"), F.lpad(F.col("o_orderkey").cast("string"), 3, " ").alias("note"))
+    new, judged = store.tombstone(_places(s, d).withColumn("deprecated_at", F.lit(None).cast("long")), r)
+    outcomes = judged.groupBy("id").agg(F.count_if(F.col("status") == "200").alias("n_200"), F.count_if(F.col("status") == "404").alias("n_404"), F.count_if(F.col("status") == "409").alias("n_409"))
+    return new.join(outcomes, "id", "full").select("id", "deprecated", "deprecated_by", "deprecated_at", "note", "n_200", "n_404", "n_409")
+
+
+def _merge_all(s, d):
+    """Every part asks to merge the place of one number into that of another."""
+    r = table(s, d, "part").select((F.col("p_partkey") % 97 + 1).alias("keep"), (F.col("p_partkey") % 89 + 1).alias("retire"), F.col("p_partkey").cast("long").alias("at"))
+    kept = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("kept "), "s_name").alias("label"))
+    places = _places(s, d).select("id", "label", "merged_into")
+    new, judged = store.merge(places, r, kept=kept.withColumn("merged_into", F.lit(None).cast("long")))
+    done = judged.groupBy(F.col("retire").alias("id")).agg(F.sum(F.when(F.col("status") == "200", F.col("keep"))).alias("into"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "200").alias("n_done"))
+    return new.join(done, "id", "full").select("id", "label", "merged_into", "into", "n", "n_done")
+
+
+def _valid(s, d):
+    """Which priority each customer's orders had from when to when, and what held at the start of 2000."""
+    e = table(s, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderpriority").alias("priority"))
+    spans = detail.validity_of(e, "o_custkey", "priority", "o_orderdate")
+    at = F.lit("2000-01-01").cast("timestamp")
+    return spans.join(detail.valid_links(spans, at).select("src", "valid_from", F.lit(True).alias("held")), ["src", "valid_from"], "left").select("src", "dst", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def _gate(s, d):
+    li = table(s, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_quantity")
+    known = table(s, d, "supplier").filter("s_acctbal > 0")
+    return detail.existing_only(li, known, "s_suppkey").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PLACES = """places AS (SELECT s_suppkey AS id, s_name AS label, s_acctbal AS size, s_suppkey % 10 = 3 AS deprecated,
@@ -279,6 +357,14 @@ QUERIES = {
     "merge_places": _merge,
     "active_type_guard": _guard,
     "dataset_bridge": _bridge,
+    "save_places": _save,
+    "patch_records": _patch_records,
+    "save_sources": _save_sources,
+    "retire_types": _retire_types,
+    "tombstone_all": _tombstone_all,
+    "merge_all": _merge_all,
+    "valid_links": _valid,
+    "source_gate": _gate,
 }
 
 SQL = {
@@ -342,4 +428,50 @@ SQL = {
         u AS (SELECT c_mktsegment AS type, count(*) FILTER (c_acctbal >= 0) AS n FROM customer GROUP BY 1)
         SELECT type, coalesce(n, 0) AS n_active, CASE WHEN type = 'NONE' THEN '404' WHEN coalesce(n, 0) > 0 AND replaced_by IS NULL THEN '409' ELSE '200' END AS status FROM r LEFT JOIN u USING (type)""",
     "dataset_bridge": """SELECT c_nationkey, count(*) AS n_customers, coalesce(max(n), 0) AS n_suppliers FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY c_nationkey""",
+    "save_places": """WITH old AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'river' ELSE 'plantation' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'Q' || s_suppkey END AS qid FROM supplier),
+        r AS (SELECT p_partkey % 1500 AS id, p_name, p_partkey, p_size > 5 AS good, row_number() OVER (PARTITION BY p_partkey % 1500, p_size > 5 ORDER BY p_partkey::VARCHAR) AS nth FROM part),
+        one AS (SELECT * FROM r WHERE good AND nth = 1),
+        said AS (SELECT r.id, string_agg(CASE WHEN NOT good THEN '400' WHEN nth > 1 THEN '409' WHEN old.id IS NULL THEN '201' ELSE '200' END, ',' ORDER BY CASE WHEN NOT good THEN '400' WHEN nth > 1 THEN '409' WHEN old.id IS NULL THEN '201' ELSE '200' END) AS statuses FROM r LEFT JOIN old USING (id) GROUP BY r.id),
+        new AS (SELECT id, name, type, qid, CASE WHEN type = 'river' THEN 'E26_Physical_Feature' ELSE 'E25_Human-Made_Feature' END AS crm_class, NULL AS modified_by, NULL AS modified_at FROM old WHERE id NOT IN (SELECT id FROM one)
+                UNION ALL SELECT id, p_name, 'district', 'P' || p_partkey, 'E53_Place', 'editor', p_partkey::VARCHAR FROM one)
+        SELECT id, name, type, qid, crm_class, modified_by, modified_at, statuses FROM new FULL JOIN said USING (id)""",
+    "patch_records": """WITH old AS (SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN 'river' ELSE 'plantation' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'Q' || s_suppkey END AS qid FROM supplier)
+        SELECT coalesce(old.id, c_custkey) AS id, CASE WHEN old.id IS NULL THEN NULL WHEN c_custkey % 2 = 1 THEN 'district' ELSE type END AS type,
+          CASE WHEN old.id IS NULL THEN -1 WHEN c_custkey % 2 = 0 AND c_custkey % 4 <> 0 THEN -1 ELSE 1 END AS n_links,
+          CASE WHEN old.id IS NULL THEN NULL WHEN c_custkey % 4 = 0 THEN 'Q0' WHEN c_custkey % 2 = 0 THEN NULL ELSE qid END AS qid,
+          CASE WHEN old.id IS NULL THEN NULL WHEN c_custkey % 2 = 1 THEN 'E53_Place' WHEN type = 'river' THEN 'E26_Physical_Feature' ELSE 'E25_Human-Made_Feature' END AS crm_class,
+          CASE WHEN old.id IS NOT NULL AND c_custkey IS NOT NULL THEN 'editor' END AS modified_by, CASE WHEN c_custkey IS NULL THEN NULL WHEN old.id IS NULL THEN '404' ELSE '200' END AS status
+        FROM old FULL JOIN customer ON c_custkey = old.id""",
+    "save_sources": """WITH b AS (SELECT p_brand, min(p_partkey) AS k, row_number() OVER (ORDER BY min(p_partkey)) AS nth, count(*) OVER () AS n FROM part GROUP BY p_brand),
+        cats AS (SELECT count(*) AS n FROM region), nb AS (SELECT count(DISTINCT p_brand) AS n FROM part),
+        old AS (SELECT replace(lower(n_name), '_', '-') AS source_id, n_regionkey::VARCHAR AS category, row_number() OVER (ORDER BY n_nationkey) AS nth,
+                CASE WHEN n_nationkey % 5 = 0 THEN '400' WHEN n_nationkey % 2 = 0 THEN '200' ELSE '409' END AS status FROM nation)
+        SELECT source_id, cats.n + nb.n + nth - 1 AS pos, CASE WHEN status = '200' THEN 'y' ELSE category END AS category, CASE WHEN status = '200' THEN 'new' ELSE 'old' END AS description, status = '200' AS linked, status FROM old, cats, nb
+        UNION ALL SELECT regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), cats.n + b.n - b.nth, 'x', NULL, TRUE, '201' FROM b, cats""",
+    "retire_types": """WITH types AS (SELECT DISTINCT c_mktsegment AS type FROM customer UNION SELECT DISTINCT p_brand FROM part), used AS (SELECT DISTINCT c_mktsegment AS type FROM customer WHERE c_acctbal >= 0),
+        j AS (SELECT type, type = 'Brand#11' AS gone, CASE WHEN type IN ('BUILDING', 'Brand#12') THEN 'HOUSEHOLD' END AS by_, CASE WHEN type < 'C' THEN 'older' END AS old,
+              CASE WHEN type IN (SELECT type FROM used) AND type NOT IN ('BUILDING', 'Brand#12') THEN '409' WHEN type = 'Brand#11' THEN '409' ELSE '200' END AS status FROM types)
+        SELECT type, gone OR status = '200' AS deprecated, CASE WHEN status = '200' THEN by_ END AS replaced_by, CASE WHEN status = '200' THEN 'why' END AS deprecation_note,
+          CASE WHEN status = '200' THEN concat_ws(' | ', old, 'Deprecated 2024-01-01 by me.' || coalesce(' Replaced by: ' || by_ || '.', '')) ELSE old END AS history_note, status FROM j
+        UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, '404'""",
+    "tombstone_all": f"""WITH {_PLACES}, r AS (SELECT o_custkey AS rid, count(*) AS n, min(o_orderkey) AS t FROM orders GROUP BY o_custkey),
+        j AS (SELECT *, CASE WHEN rid IS NULL THEN NULL WHEN id IS NULL THEN '404' WHEN deprecated OR merged_into IS NOT NULL THEN '409' ELSE '200' END AS status FROM places FULL JOIN r ON id = rid)
+        SELECT coalesce(id, rid) AS id, CASE WHEN status = '200' THEN TRUE ELSE deprecated END AS deprecated, CASE WHEN status = '200' THEN 'editor' END AS deprecated_by, CASE WHEN status = '200' THEN t END AS deprecated_at,
+          CASE WHEN status = '200' THEN left(t::VARCHAR, 3) END AS note, CASE WHEN rid IS NOT NULL THEN (status = '200')::INT END AS n_200, CASE WHEN rid IS NOT NULL THEN (status = '404')::INT END AS n_404,
+          CASE WHEN rid IS NOT NULL THEN n - 1 + (status = '409')::INT END AS n_409 FROM j""",
+    "merge_all": f"""WITH {_PLACES}, r AS (SELECT p_partkey % 97 + 1 AS keep, p_partkey % 89 + 1 AS retire, p_partkey AS t FROM part),
+        one AS (SELECT keep, retire, min(t) AS t, count(*) AS n, bool_and(keep <> retire AND a.id IS NOT NULL AND b.id IS NOT NULL AND a.merged_into IS NULL AND b.merged_into IS NULL) AS fit
+                FROM r LEFT JOIN places a ON a.id = keep LEFT JOIN places b ON b.id = retire GROUP BY ALL),
+        gone AS (SELECT retire AS id, min(t) AS t FROM one WHERE fit GROUP BY 1), held AS (SELECT keep AS id, min(t) AS t FROM one WHERE fit GROUP BY 1),
+        j AS (SELECT o.*, fit AND coalesce(gk.t >= o.t, TRUE) AND coalesce(gr.t >= o.t, TRUE) AND coalesce(hr.t >= o.t, TRUE) AS ok
+              FROM one o LEFT JOIN gone gk ON gk.id = keep LEFT JOIN gone gr ON gr.id = retire LEFT JOIN held hr ON hr.id = retire),
+        done AS (SELECT retire AS id, sum(CASE WHEN ok THEN keep END)::BIGINT AS into_, sum(n)::BIGINT AS n, count(*) FILTER (ok) AS n_done FROM j GROUP BY 1)
+        SELECT coalesce(p.id, d.id) AS id, CASE WHEN p.id IN (SELECT keep FROM j WHERE ok) THEN 'kept ' || label ELSE label END AS label,
+          coalesce((SELECT keep FROM j WHERE ok AND retire = p.id), CASE WHEN p.id IN (SELECT keep FROM j WHERE ok) THEN NULL ELSE merged_into END) AS merged_into, into_ AS into, n, n_done
+        FROM places p FULL JOIN done d ON d.id = p.id""",
+    "valid_links": """WITH e AS (SELECT o_custkey AS src, o_orderdate AS valid_from, min(o_orderpriority) AS dst FROM orders GROUP BY ALL),
+        c AS (SELECT * FROM (SELECT *, lag(dst) OVER (PARTITION BY src ORDER BY valid_from) AS before FROM e) WHERE before IS NULL OR before <> dst),
+        v AS (SELECT src, dst, valid_from, lead(valid_from) OVER (PARTITION BY src ORDER BY valid_from) AS valid_to FROM c)
+        SELECT src, dst, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to, valid_from <= TIMESTAMP '2000-01-01' AND coalesce(valid_to > TIMESTAMP '2000-01-01', TRUE) AS held FROM v""",
+    "source_gate": "SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
 }

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodspark.functions import geo, lang, text, uri
+from lodspark.operators import detail
 from lodspark.operators import placequery
 
 from .tables import table
@@ -117,7 +118,7 @@ def _multi(s, d):
 
 def _bbox(s, d):
     p = _lines(s, d).select("label", F.explode("pts").alias("p"))
-    return p.groupBy("label").agg(F.min("p.x").alias("min_x"), F.max("p.x").alias("max_x"), F.min("p.y").alias("min_y"), F.max("p.y").alias("max_y"))
+    return detail.bounds(p, "label", F.col("p.x"), F.col("p.y"))
 
 
 def _grid(s, d):
@@ -131,9 +132,17 @@ def _reproject(s, d):
 
 def _near(s, d):
     lat, lng = 3.0 + (F.col("s_suppkey") % 100) / 50.0, -57.0 + F.col("s_acctbal") / 5000.0
-    km = geo.haversine_km(F.lit(4.0), F.lit(-56.0), lat, lng)
-    near = table(s, d, "supplier").filter(lat.between(3.0, 5.0) & lng.between(-57.5, -54.5)).select("s_suppkey", F.round(km, 3).alias("km"))
-    return near.filter("km <= 80")
+    points = table(s, d, "supplier").select("s_suppkey", lat.alias("lat"), lng.alias("lng"))
+    found = detail.near(points, s.createDataFrame([(4.0, -56.0)], "lat double, lng double"), 80.0)
+    return found.select("s_suppkey", "km")
+
+
+def _near_all(s, d):
+    """All suppliers around each nation's own point."""
+    lat, lng = 3.0 + (F.col("s_suppkey") % 100) / 50.0, -57.0 + F.col("s_acctbal") / 5000.0
+    points = table(s, d, "supplier").select("s_suppkey", lat.alias("lat"), lng.alias("lng"))
+    around = table(s, d, "nation").select("n_nationkey", (3.0 + F.col("n_nationkey") / 12.0).alias("lat"), (-57.0 + F.col("n_nationkey") / 15.0).alias("lng"))
+    return detail.near(points, around, 40.0).select("s_suppkey", "n_nationkey", "km")
 
 
 _LINES = """pts AS (SELECT vec_id, label, i, round(embedding[2 * i + 1]::DOUBLE * 10, 4) AS x, round(embedding[2 * i + 2]::DOUBLE * 10, 4) AS y
@@ -161,6 +170,7 @@ QUERIES = {
     "bbox": _bbox,
     "reproject_points": _reproject,
     "haversine_near": _near,
+    "near_pairs": _near_all,
 }
 
 
@@ -215,4 +225,6 @@ SQL = {
     "reproject_points": re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", _reproject_sql()),
     "haversine_near": """SELECT s_suppkey, km FROM (SELECT s_suppkey, round(2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - 4.0) / 2), 2) + cos(radians(4.0)) * cos(radians(lat)) * pow(sin(radians(lng + 56.0) / 2), 2)), 1.0)), 3) AS km
         FROM (SELECT s_suppkey, 3.0::DOUBLE + (s_suppkey % 100) / 50.0 AS lat, -57.0::DOUBLE + s_acctbal / 5000.0 AS lng FROM supplier) WHERE lat BETWEEN 3.0 AND 5.0 AND lng BETWEEN -57.5 AND -54.5) WHERE km <= 80""",
+    "near_pairs": """SELECT s_suppkey, n_nationkey, km FROM (SELECT s_suppkey, n_nationkey, round(2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - b) / 2), 2) + cos(radians(b)) * cos(radians(lat)) * pow(sin(radians(lng - l) / 2), 2)), 1.0)), 3) AS km
+        FROM (SELECT s_suppkey, 3.0::DOUBLE + (s_suppkey % 100) / 50.0 AS lat, -57.0::DOUBLE + s_acctbal / 5000.0 AS lng FROM supplier), (SELECT n_nationkey, 3.0::DOUBLE + n_nationkey / 12.0 AS b, -57.0::DOUBLE + n_nationkey / 15.0 AS l FROM nation)) WHERE km <= 40""",
 }
