@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, lookup, quality, text_geo
+from . import archive, history, lookup, quality, text_geo
 
-_PARTS = (history, lookup, text_geo, quality)
+_PARTS = (archive, history, lookup, text_geo, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

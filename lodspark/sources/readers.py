@@ -27,9 +27,12 @@ MILITARY_COLUMNS = ["fid", "label1882", "X_coord", "Y_coord"]
 ROAD_COLUMNS = ["fid", "1930", "WKT_geometry"]
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8", trim: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8", trim: bool = False, position: str | None = None) -> DataFrame:
     """The named columns of a file with a header, as text (blank is null), and `pos`.
 
+    `position` names a column that numbers the rows: for a register in several files, which are read by
+    several tasks, as places in files say nothing of the order between them.
+
     Rows may be short (the rest is null) or long (the rest is dropped); columns that the file lacks are
     null. Quoted values may span lines, so one file is one task and keeps its order.
     """
@@ -37,20 +40,21 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str
     raw = raw.withColumn("pos", F.monotonically_increasing_id())
     names = {c.strip(): c for c in raw.columns}
     found = [(blank_to_null(F.col(f"`{names[c]}`")) if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
-    return raw.select("pos", *found)
+    rows = raw.select("pos", *found)
+    return rows if position is None else rows.withColumn("pos", int_prefix(position).cast("long"))
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, POLYGON_COLUMNS, sep=";")
+def read_polygons(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
+    return read_delimited(spark, path, POLYGON_COLUMNS, sep=";", position=position)
 
 
-def read_rivers(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, RIVER_COLUMNS)
+def read_rivers(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
+    return read_delimited(spark, path, RIVER_COLUMNS, position=position)
 
 
-def read_almanac(spark: SparkSession, path: str) -> DataFrame:
+def read_almanac(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
     """The almanac, Latin-1 and ragged. `part of_id` is also accepted as `part_of_id`."""
-    rows = read_delimited(spark, path, [*ALMANAC_COLUMNS, "part_of_id"], encoding="ISO-8859-1")
+    rows = read_delimited(spark, path, [*ALMANAC_COLUMNS, "part_of_id"], encoding="ISO-8859-1", position=position)
     return rows.withColumn("part of_id", F.coalesce("`part of_id`", "part_of_id")).drop("part_of_id")
 
 
