@@ -105,13 +105,14 @@ def _arrays(s, d):
 
 def _keyed_union(s, d):
     p = table(s, d, "part")
-    side = lambda b: p.filter(F.col("p_brand") == b).groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    return matching.keyed_union(side("Brand#11"), side("Brand#22"), "p_name")
+    side = lambda rows: rows.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey")).select(F.concat_ws(" ", "p_brand", "p_name").alias("p_name"), "p_partkey")
+    return matching.keyed_union(side(p.filter("p_size <= 25")), side(p.filter("p_size > 25")), "p_name")
 
 
 def _origin(s, d):
     p = table(s, d, "part")
-    return matching.origin(p.filter("p_brand = 'Brand#11'"), p.filter("p_brand = 'Brand#22'"), "p_name").select("key", "origin")
+    p = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("p_name"), "p_size")
+    return matching.origin(p.filter("p_size <= 3"), p.filter("p_size > 3"), "p_name").select("key", "origin")
 
 
 def _graph(s, d):
@@ -189,7 +190,7 @@ def _places(s, d):
 
 def _upsert(s, d):
     places = _places(s, d).select("id", "label")
-    new = table(s, d, "part").filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("new "), "p_name").alias("label"))
+    new = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("new "), "p_name").alias("label"))
     return store.replace_by_key(places, new, "id")
 
 
@@ -198,21 +199,6 @@ def _patch(s, d):
     return store.overlay(_places(s, d).select("id", "label", "size"), patch, "id", ["label", "size"])
 
 
-def _requests(s, d):
-    return s.range(1, 60).select(F.col("id"), F.lit("editor").alias("actor"), F.lit("2024-01-01").alias("at"), F.when(F.col("id") % 2 == 0, F.lit(" gone ")).alias("note"))
-
-
-def _retire(s, d):
-    new, judged = store.tombstone(_places(s, d), _requests(s, d))
-    return new.join(judged, "id", "full").select("id", "deprecated", "deprecated_by", "note", "status")
-
-
-def _merge(s, d):
-    pairs = s.range(1, 90).select(F.col("id").alias("keep"), F.when(F.col("id") % 9 == 0, F.col("id")).otherwise(F.col("id") * 1000 % 97 + 1).alias("retire")).filter("keep % 5 = 0 or keep % 9 = 0")
-    pairs = pairs.groupBy("retire").agg(F.min("keep").alias("keep")).select("keep", "retire")
-    return store.merge(_places(s, d), pairs)[1]
-
-
 def _guard(s, d):
     places = table(s, d, "customer").select(F.col("c_mktsegment").alias("type"), (F.col("c_acctbal") < 0).alias("deprecated"), F.lit(None).cast("string").alias("merged_into"))
     types = places.select("type").distinct().unionByName(s.createDataFrame([("UNUSED",)], "type string"))
@@ -353,16 +339,14 @@ QUERIES = {
     "provenance_depth_lines": _provenance_of_lines,
     "upsert_places": _upsert,
     "patch_places": _patch,
-    "tombstone_places": _retire,
-    "merge_places": _merge,
     "active_type_guard": _guard,
     "dataset_bridge": _bridge,
     "save_places": _save,
     "patch_records": _patch_records,
     "save_sources": _save_sources,
     "retire_types": _retire_types,
-    "tombstone_all": _tombstone_all,
-    "merge_all": _merge_all,
+    "tombstone_places": _tombstone_all,
+    "merge_places": _merge_all,
     "valid_links": _valid,
     "source_gate": _gate,
 }
@@ -396,9 +380,8 @@ SQL = {
         FROM (SELECT o_orderstatus = 'P' AS dep, o_orderpriority LIKE '1%' AS mer FROM orders)""",
     "sort_nulls_last_desc": "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey)::INT AS place FROM customer",
     "array_union_distinct": "SELECT o_custkey, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_orderpriority <> '5-LOW'), '') AS tags FROM orders GROUP BY o_custkey",
-    "keyed_union": """SELECT p_name, coalesce(min(CASE p_brand WHEN 'Brand#11' THEN p_partkey END), min(p_partkey)) AS p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#22') GROUP BY p_name""",
-    "name_merge_origin": """SELECT lower(trim(p_name)) AS key, CASE WHEN count(DISTINCT p_brand) = 2 THEN 'both' WHEN min(p_brand) = 'Brand#11' THEN 'a' ELSE 'b' END AS origin
-        FROM part WHERE p_brand IN ('Brand#11', 'Brand#22') GROUP BY 1""",
+    "keyed_union": """SELECT p_brand || ' ' || p_name AS p_name, coalesce(min(CASE WHEN p_size <= 25 THEN p_partkey END), min(p_partkey)) AS p_partkey FROM part GROUP BY 1""",
+    "name_merge_origin": """SELECT lower(trim(p_brand || ' ' || p_name)) AS key, CASE WHEN min(p_size) <= 3 AND max(p_size) > 3 THEN 'both' WHEN min(p_size) <= 3 THEN 'a' ELSE 'b' END AS origin FROM part GROUP BY 1""",
     "graph_union_counts": """SELECT class, count(*) AS n FROM (SELECT 'E55' AS class FROM region UNION ALL SELECT 'E53' FROM nation UNION ALL SELECT 'E74' FROM customer UNION ALL SELECT 'E25' FROM supplier
         UNION ALL SELECT 'E13' FROM orders UNION ALL SELECT 'E41' FROM part) GROUP BY ROLLUP (class)""",
     "graph_entities": """SELECT 'type/' || r_regionkey AS id, 'E55' AS class, '{"label":"' || r_name || '"}' AS body FROM region
@@ -416,14 +399,8 @@ SQL = {
     "provenance_depth": """SELECT dst, depth, count(*) AS n FROM (
         SELECT 'r' || n_regionkey AS dst, 1 AS depth FROM nation UNION ALL SELECT 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY dst, depth""",
-    "upsert_places": """SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE NOT (s_suppkey % 7 = 0 AND s_suppkey IN (SELECT p_partkey FROM part)) UNION ALL SELECT p_partkey, 'new ' || p_name FROM part WHERE p_partkey % 7 = 0""",
+    "upsert_places": """SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'new ' || p_name FROM part""",
     "patch_places": f"WITH {_PLACES} SELECT id, CASE WHEN id % 4 = 0 THEN 'patched' WHEN id % 2 = 0 THEN NULL ELSE label END AS label, size FROM places",
-    "tombstone_places": f"""WITH {_PLACES}, r AS (SELECT range AS rid, CASE WHEN range % 2 = 0 THEN 'gone' END AS why FROM range(1, 60)),
-        j AS (SELECT coalesce(id, rid) AS id, deprecated, why, CASE WHEN rid IS NULL THEN NULL WHEN id IS NULL THEN '404' WHEN deprecated OR merged_into IS NOT NULL THEN '409' ELSE '200' END AS status FROM places FULL JOIN r ON id = rid)
-        SELECT id, CASE WHEN status = '200' THEN TRUE ELSE deprecated END AS deprecated, CASE WHEN status = '200' THEN 'editor' END AS deprecated_by, CASE WHEN status = '200' THEN why END AS note, status FROM j""",
-    "merge_places": f"""WITH {_PLACES}, p AS (SELECT min(keep) AS keep, retire FROM (SELECT range AS keep, CASE WHEN range % 9 = 0 THEN range ELSE range * 1000 % 97 + 1 END AS retire FROM range(1, 90) WHERE range % 5 = 0 OR range % 9 = 0) GROUP BY retire)
-        SELECT keep, retire, CASE WHEN keep = retire THEN '400' WHEN a.id IS NULL OR b.id IS NULL THEN '404' WHEN a.merged_into IS NOT NULL OR b.merged_into IS NOT NULL THEN '400' ELSE '200' END AS status
-        FROM p LEFT JOIN places a ON a.id = keep LEFT JOIN places b ON b.id = retire""",
     "active_type_guard": """WITH r AS (SELECT * FROM (VALUES ('BUILDING', NULL), ('MACHINERY', 'BUILDING'), ('UNUSED', NULL), ('NONE', NULL)) v(type, replaced_by)),
         u AS (SELECT c_mktsegment AS type, count(*) FILTER (c_acctbal >= 0) AS n FROM customer GROUP BY 1)
         SELECT type, coalesce(n, 0) AS n_active, CASE WHEN type = 'NONE' THEN '404' WHEN coalesce(n, 0) > 0 AND replaced_by IS NULL THEN '409' ELSE '200' END AS status FROM r LEFT JOIN u USING (type)""",
@@ -454,12 +431,12 @@ SQL = {
         SELECT type, gone OR status = '200' AS deprecated, CASE WHEN status = '200' THEN by_ END AS replaced_by, CASE WHEN status = '200' THEN 'why' END AS deprecation_note,
           CASE WHEN status = '200' THEN concat_ws(' | ', old, 'Deprecated 2024-01-01 by me.' || coalesce(' Replaced by: ' || by_ || '.', '')) ELSE old END AS history_note, status FROM j
         UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, '404'""",
-    "tombstone_all": f"""WITH {_PLACES}, r AS (SELECT o_custkey AS rid, count(*) AS n, min(o_orderkey) AS t FROM orders GROUP BY o_custkey),
+    "tombstone_places": f"""WITH {_PLACES}, r AS (SELECT o_custkey AS rid, count(*) AS n, min(o_orderkey) AS t FROM orders GROUP BY o_custkey),
         j AS (SELECT *, CASE WHEN rid IS NULL THEN NULL WHEN id IS NULL THEN '404' WHEN deprecated OR merged_into IS NOT NULL THEN '409' ELSE '200' END AS status FROM places FULL JOIN r ON id = rid)
         SELECT coalesce(id, rid) AS id, CASE WHEN status = '200' THEN TRUE ELSE deprecated END AS deprecated, CASE WHEN status = '200' THEN 'editor' END AS deprecated_by, CASE WHEN status = '200' THEN t END AS deprecated_at,
           CASE WHEN status = '200' THEN left(t::VARCHAR, 3) END AS note, CASE WHEN rid IS NOT NULL THEN (status = '200')::INT END AS n_200, CASE WHEN rid IS NOT NULL THEN (status = '404')::INT END AS n_404,
           CASE WHEN rid IS NOT NULL THEN n - 1 + (status = '409')::INT END AS n_409 FROM j""",
-    "merge_all": f"""WITH {_PLACES}, r AS (SELECT p_partkey % 97 + 1 AS keep, p_partkey % 89 + 1 AS retire, p_partkey AS t FROM part),
+    "merge_places": f"""WITH {_PLACES}, r AS (SELECT p_partkey % 97 + 1 AS keep, p_partkey % 89 + 1 AS retire, p_partkey AS t FROM part),
         one AS (SELECT keep, retire, min(t) AS t, count(*) AS n, bool_and(keep <> retire AND a.id IS NOT NULL AND b.id IS NOT NULL AND a.merged_into IS NULL AND b.merged_into IS NULL) AS fit
                 FROM r LEFT JOIN places a ON a.id = keep LEFT JOIN places b ON b.id = retire GROUP BY ALL),
         gone AS (SELECT retire AS id, min(t) AS t FROM one WHERE fit GROUP BY 1), held AS (SELECT keep AS id, min(t) AS t FROM one WHERE fit GROUP BY 1),

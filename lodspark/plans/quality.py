@@ -11,8 +11,10 @@ from .tables import table
 
 
 def _persons(s, d):
-    p = table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring("text", 1, 12).alias("name"))
-    return registers.linked_persons(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), ["lang"], "name")
+    """Names of small parts against names of large ones, by brand: each name once a side, with its least id."""
+    side = lambda rows: rows.groupBy("p_brand", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    p = table(s, d, "part")
+    return registers.linked_persons(side(p.filter("p_size <= 25")), side(p.filter("p_size > 25")), ["p_brand"], "name")
 
 
 def _whole_persons(s, d):
@@ -22,8 +24,8 @@ def _whole_persons(s, d):
 
 
 def _roles(s, d):
-    li = table(s, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("wts_flag_1"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("wts_flag_2"), F.col("l_linestatus").alias("dec_flag"))
-    return registers.roles(li, {"dec": 1, "wts": 2}, ["flag"], "l_orderkey").groupBy("role", "nth", "flag").agg(F.count(F.lit(1)).alias("n"))
+    li = table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.col("l_returnflag").alias("wts_flag_1"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("wts_flag_2"), F.col("l_linestatus").alias("dec_flag"))
+    return registers.roles(li, {"dec": 1, "wts": 2}, ["flag"], "line").groupBy("role", "nth", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _attributes(s, d):
@@ -64,8 +66,8 @@ def _merged(s, d):
 
 def _hydrated(s, d):
     p = table(s, d, "part")
-    own = p.filter("p_partkey % 3 = 0").groupBy(F.col("p_brand").alias("place"), F.col("p_name").alias("text")).agg(F.lit(None).cast("string").alias("language"), F.lit("own").alias("source"), F.lit(None).cast("int").alias("source_year"))
-    other = p.filter("p_partkey % 3 = 1").select(F.col("p_brand").alias("place"), F.concat(F.initcap("p_name"), F.lit("!")).alias("text"), F.lit("nl").alias("language"), F.lit("map").alias("source"), F.col("p_size").alias("source_year"))
+    own = p.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("place"), F.col("p_name").alias("text")).agg(F.lit(None).cast("string").alias("language"), F.lit("own").alias("source"), F.lit(None).cast("int").alias("source_year"))
+    other = p.filter("p_partkey % 2 = 1").select(F.col("p_brand").alias("place"), F.concat(F.initcap("p_name"), F.lit("!")).alias("text"), F.lit("nl").alias("language"), F.lit("map").alias("source"), F.col("p_size").alias("source_year"))
     return merging.hydrate(own, other).select("place", "key", "text", "language", "source", "source_year")
 
 
@@ -88,11 +90,11 @@ QUERIES = {
 
 _KEY = "trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', ' ', 'g'))"
 SQL = {
-    "person_links": f"""WITH p AS (SELECT doc_id, lang, {_KEY.format("replace(substr(text, 1, 12), 'ß', ' ')")} AS k FROM documents)
-        SELECT a.doc_id AS id_a, b.doc_id AS id_b, levenshtein(a.k, b.k)::INT AS edits FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 WHERE a.k <> '' AND b.k <> '' AND levenshtein(a.k, b.k) <= 2""",
+    "person_links": f"""WITH p AS (SELECT p_brand, p_size <= 25 AS small, {_KEY.format("p_name")} AS k, min(p_partkey) AS id FROM part GROUP BY p_brand, p_name, small)
+        SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.k, b.k)::INT AS edits FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.small AND NOT b.small WHERE a.k <> '' AND b.k <> '' AND levenshtein(a.k, b.k) <= 2""",
     "certificate_roles": """SELECT role, nth, flag, count(*) AS n FROM (
-        SELECT 'dec' AS role, 1 AS nth, l_linestatus AS flag FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'wts', 1, l_returnflag FROM lineitem WHERE l_linenumber = 1
-        UNION ALL SELECT 'wts', 2, l_linestatus FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25) GROUP BY role, nth, flag""",
+        SELECT 'dec' AS role, 1 AS nth, l_linestatus AS flag FROM lineitem UNION ALL SELECT 'wts', 1, l_returnflag FROM lineitem
+        UNION ALL SELECT 'wts', 2, l_linestatus FROM lineitem WHERE l_quantity > 25) GROUP BY role, nth, flag""",
     "attribute_counts": """SELECT 'l_returnflag' AS attribute, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2""",
     "standard_terms": "SELECT n_nationkey, CASE WHEN n_name < 'M' THEN 'N:' || n_name ELSE ' ' || lower(n_name) || '.' END AS standard FROM nation",
     "link_coverage": """SELECT 'E13' AS entity, 'about' AS link, count(o_custkey) AS linked, count(*) AS total FROM orders UNION ALL SELECT 'E13', 'late', count(*) FILTER (o_orderstatus = 'P'), count(*) FROM orders
@@ -101,8 +103,8 @@ SQL = {
     "merge_resolution": """WITH p AS (SELECT s_nationkey, min(s_suppkey) AS a, max(s_suppkey) AS b FROM supplier GROUP BY 1 HAVING min(s_suppkey) <> max(s_suppkey))
         SELECT a AS id, b AS retired, x.s_name AS label, y.s_acctbal AS size, CASE WHEN a % 3 = b % 3 THEN 'both,src' || a % 3 ELSE 'both,src' || least(a % 3, b % 3) || ',src' || greatest(a % 3, b % 3) END AS sources,
         len(list_distinct([a % 4, a % 5, b % 4, b % 5]))::INT AS n_links, 2 AS n_names, 1 AS n_notes, 2 AS n_assertions FROM p JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b""",
-    "hydrate_names": f"""WITH o AS (SELECT DISTINCT p_brand AS place, {_KEY.format("p_name")} AS key, p_name AS text FROM part WHERE p_partkey % 3 = 0),
-        x AS (SELECT p_brand AS place, {_KEY.format("p_name")} AS key, min(p_size) AS source_year, max(length(p_name)) + 1 AS size FROM part WHERE p_partkey % 3 = 1 GROUP BY ALL)
+    "hydrate_names": f"""WITH o AS (SELECT DISTINCT p_brand AS place, {_KEY.format("p_name")} AS key, p_name AS text FROM part WHERE p_partkey % 2 = 0),
+        x AS (SELECT p_brand AS place, {_KEY.format("p_name")} AS key, min(p_size) AS source_year, max(length(p_name)) + 1 AS size FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL)
         SELECT coalesce(o.place, x.place) AS place, coalesce(o.key, x.key) AS key, CASE WHEN x.place IS NULL THEN o.text ELSE
           (SELECT string_agg(upper(w[1]) || w[2:], ' ') FROM (SELECT unnest(string_split(x.key, ' ')) AS w)) || '!' END AS text,
         CASE WHEN x.place IS NOT NULL THEN 'nl' END AS language, CASE WHEN o.place IS NOT NULL THEN 'own' ELSE 'map' END AS source, x.source_year AS source_year
