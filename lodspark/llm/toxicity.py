@@ -153,7 +153,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, features:
             data, offsets = utf8(batch.column("text"))
             for low, high in spans_of(offsets, 1 << 19):
                 # A text has a bucket once, whatever sizes of n-grams fall into it.
-                pair = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(of << BITS | bucket) for bucket, of in buckets(data, offsets[low : high + 1])]]))
+                pair = np.unique(np.concatenate([np.zeros(0, np.int64), *[of << BITS | bucket for bucket, of in buckets(data, offsets[low : high + 1])]]))
                 at, kind = pair & ((1 << BITS) - 1), y[low:high][pair >> BITS]
                 for k in (0, 1):
                     total[k] += np.bincount(at[kind == k], minlength=1 << BITS).astype(np.int32)
