@@ -72,18 +72,19 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     def cut(acc: Column, x: Column) -> Column:
         starts = acc["used"] + x["own"] > F.col("room")
         starts = starts & (acc["used"] > 0)
-        return F.struct(F.when(starts, F.array_append(acc["heads"], x["pos"])).otherwise(acc["heads"]).alias("heads"), F.when(starts, x["own"]).otherwise(acc["used"] + x["own"]).alias("used"))
-
-    lead = F.element_at("turns", 1)["pos"]
-    heads = F.aggregate("turns", F.struct(F.array(lead).alias("heads"), F.lit(0).cast("long").alias("used")), cut)["heads"]
-    s = s.withColumn("heads", heads).withColumn("lead", lead).select("*", F.posexplode("heads").alias("nth", "first"))
-    stop = F.coalesce(F.get("heads", F.col("nth") + 1), F.col("lead") + F.size("turns"))
-    new = F.slice("turns", F.col("first") - F.col("lead") + 1, stop - F.col("first"))
-    start = F.element_at(new, 1)["before"]
-    # A turn that starts in this range also ends in it: the history is an unbroken run of whole turns.
-    near = lambda x: (x["before"] >= start - history) & (x["pos"] < F.col("first")) & (x["own"] > 0)
-    past = F.concat(F.filter(F.coalesce("tail", F.slice("turns", 1, 0)), near), F.filter("turns", near))
-    s = s.withColumn("new", new).withColumn("past", F.when(F.col("first") == 1, F.slice("turns", 1, 0)).otherwise(past))
+        return F.struct(F.when(starts, F.array_append(acc["heads"], F.struct(x["pos"].alias("pos"), x["before"].alias("before")))).otherwise(acc["heads"]).alias("heads"), F.when(starts, x["own"]).otherwise(acc["used"] + x["own"]).alias("used"))
+
+    lead = F.element_at("turns", 1)
+    heads = F.aggregate("turns", F.struct(F.array(F.struct(lead["pos"].alias("pos"), lead["before"].alias("before"))).alias("heads"), F.lit(0).cast("long").alias("used")), cut)["heads"]
+    s = s.withColumn("heads", heads).withColumn("lead", lead["pos"]).select("*", F.posexplode("heads").alias("nth", "head"))
+    first, start = F.col("head.pos"), F.col("head.before")
+    stop = F.coalesce(F.get("heads", F.col("nth") + 1)["pos"], F.col("lead") + F.size("turns"))
+    new = F.slice("turns", first - F.col("lead") + 1, stop - first)
+    # A turn that starts in this range also ends in it: the history is an unbroken run of whole turns, each of OVERHEAD tokens at least.
+    near = lambda x: (x["before"] >= start - history) & (x["pos"] < first) & (x["own"] > 0)
+    low = F.greatest(first - F.col("lead") - history // OVERHEAD, F.lit(0))
+    past = F.concat(F.filter(F.coalesce("tail", F.slice("turns", 1, 0)), near), F.filter(F.slice("turns", low + 1, first - F.col("lead") - low), near))
+    s = s.withColumn("first", first).withColumn("new", new).withColumn("past", F.when(first == 1, F.slice("turns", 1, 0)).otherwise(past))
     g = s.select("conv_id", "first", "new", "past", "system_turn")
     with_system = F.array_compact(F.array(F.when(F.col("system_turn").isNotNull(), F.struct(F.lit(1).alias("pos"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("own"), F.col("system_turn.role").alias("role"), F.col("system_turn.text").alias("text"), F.col("system_turn.tokens").alias("tokens")))))
     g = g.withColumn("context", F.when(F.col("first") == 1, F.col("past")).otherwise(F.concat(with_system, "past")))
