@@ -88,3 +88,39 @@ def test_well_known_text(spark):
     assert one(spark, "x", lambda c: geo.write_multiline(geo.segments(c))) is None
     c = one(spark, "Polygon((0 0, 2 0, 2 2, 0 0))", lambda w: geo.mean_point(geo.polygon_ring(w)))
     assert (c.x, c.y) == (1.0, 0.5)
+
+
+def test_grid_against_a_forward_projection(spark):
+    """Points go to the grid by an integrated meridian arc and a series in longitude, and come back by `reproject`; the shift is undone by iteration."""
+    import math
+
+    a, f, k0, lon0 = 6378388.0, 1 / 297, 0.9996, math.radians(-55.68333333333)
+    e2 = f * (2 - f)
+
+    def arc(lat, n=2000):
+        h = lat / n
+        y = [a * (1 - e2) / (1 - e2 * math.sin(k * h) ** 2) ** 1.5 for k in range(n + 1)]
+        return h / 3 * (y[0] + y[-1] + 4 * sum(y[1:-1:2]) + 2 * sum(y[2:-1:2]))
+
+    def to_grid(lat, lon):
+        w, s, c, t = lon - lon0, math.sin(lat), math.cos(lat), math.tan(lat)
+        nu, rho = a / math.sqrt(1 - e2 * s * s), a * (1 - e2) / (1 - e2 * s * s) ** 1.5
+        psi = nu / rho
+        east = nu * w * c * (1 + w**2 * c**2 / 6 * (psi - t**2) + w**4 * c**4 / 120 * (4 * psi**3 * (1 - 6 * t**2) + psi**2 * (1 + 8 * t**2) - psi * 2 * t**2 + t**4))
+        north = arc(lat) + nu * s * w**2 * c / 2 * (1 + w**2 * c**2 / 12 * (4 * psi**2 + psi - t**2) + w**4 * c**4 / 360 * (8 * psi**4 * (11 - 24 * t**2) - 28 * psi**3 * (1 - 6 * t**2) + psi**2 * (1 - 32 * t**2) - psi * 2 * t**2 + t**4))
+        return 500000 + k0 * east, k0 * north
+
+    def shifted(lat, lon):
+        nu = a / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+        x, y, z = nu * math.cos(lat) * math.cos(lon) - 265, nu * math.cos(lat) * math.sin(lon) + 120, nu * (1 - e2) * math.sin(lat) - 358
+        wa, we2 = 6378137.0, (2 - 1 / 298.257223563) / 298.257223563
+        p, new = math.hypot(x, y), math.atan2(z, math.hypot(x, y))
+        for _ in range(20):
+            n = wa / math.sqrt(1 - we2 * math.sin(new) ** 2)
+            new = math.atan2(z + we2 * n * math.sin(new), p)
+        return math.degrees(new), math.degrees(math.atan2(y, x))
+
+    places = [(math.radians(lat), math.radians(lon)) for lat in (2.0, 4.5, 5.83) for lon in (-57.9, -55.68333333333, -55.1, -54.0)]
+    rows = [(*to_grid(*p), *shifted(*p)) for p in places]
+    got = spark.createDataFrame(rows, "x double, y double, lat double, lng double").withColumn("p", geo.reproject(F.col("x"), F.col("y"))).collect()
+    assert all(abs(r.p.lat - r.lat) < 1e-8 and abs(r.p.lng - r.lng) < 1e-8 for r in got)
