@@ -64,6 +64,22 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns of these names (in any case) renamed, and the renaming that gives the names back.
+
+    A stage that needs columns of its own beside all those of its documents loses none of them this way.
+    """
+    taken, back = {c.lower() for c in docs.columns} | {n.lower() for n in names}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            other = f"{c}_"
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+            back[other] = c
+    return docs.withColumnsRenamed({c: other for other, c in back.items()}), back
+
+
 def fold_of(n: int) -> Column:
     """crc32 of the id's decimal text modulo n: the fixed folds of the contracts."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(n)

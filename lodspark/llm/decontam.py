@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, spans_of, utf8
+from .common import saved, set_aside, spans_of, utf8
 from .words import FOLD_BYTES, split_words, window_hashes, word_hashes
 
 #: Words in a window; bytes of benchmark text that one broadcast may hold.
@@ -177,12 +177,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     `mode="documents"` removes each document with a hit; `mode="spans"` keeps every document and cuts
     the words of hit spans, with what separates them, out of its text (`n_chars` follows where present).
+    All other columns keep their values, those named like the columns of `find` too.
     """
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"mode is documents or spans, not {mode}")
+    docs, back = set_aside(docs, tuple(HITS.names))
     found = find(docs, benchmark, size)
     if mode == "documents":
-        return found.filter(F.size("spans") == 0).select(docs.columns)
-    if mode != "spans":
-        raise ValueError(f"mode is documents or spans, not {mode}")
+        return found.filter(F.size("spans") == 0).select(docs.columns).withColumnsRenamed(back)
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in schema.names], schema.names)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(cut, schema).withColumnsRenamed(back)
 
 
 def _without(text: str, spans: list[dict]) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, held_out
+from .common import fold_of, held_out, set_aside
 
 #: Ranks in a profile; labelled documents that a language's profile is fitted on at most.
 RANKS, SAMPLE = 300, 400
@@ -139,10 +139,11 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str], names: tuple[s
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Pipeline stage: documents whose language is found; `und` and texts unlike every profile go. Columns stay as they are."""
+    names = ("identified_lang", "identified_score")
+    docs, back = set_aside(docs, names)
     train = docs.filter(fold_of(3) != 1)
-    names = ("identified_lang", "identified_score")  # not among the columns of documents
     scored = predict(docs, fit(train), docs.columns, names)
-    return scored.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).select(docs.columns)
+    return scored.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).select(docs.columns).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, saved, workspace
+from .common import NOT_SPACE, saved, set_aside, workspace
 
 #: Production parameters. Weights repeat over the sources in code-point order, null last.
 WEIGHTS, REPEATS, SEED, RANGE_DIGITS = (5, 2, 1), 3, "mix-1", 3
@@ -83,6 +83,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     compared to: no text is shuffled.
     """
     spark = docs.sparkSession
+    docs, back = set_aside(docs, ("mix_cut", "mix_time"))
     with workspace(spark, "mix") as folder:
         plan = mix(docs, folder=folder)
         budget, whole = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
@@ -97,7 +98,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     once_more = F.when(key != cut["key"], key < cut["key"]).otherwise(F.struct("doc_id", _words().alias("size")) <= F.struct(cut["doc_id"].alias("doc_id"), cut["size"].alias("size")))
     times = F.col("mix_cut.epochs") + F.coalesce(once_more.cast("int"), F.lit(0))
     met = met.filter(F.col("text").rlike(NOT_SPACE) & (times > 0))
-    return met.withColumn("mix_time", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    return met.withColumn("mix_time", F.explode(F.sequence(F.lit(1), times))).select(docs.columns).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

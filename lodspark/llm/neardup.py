@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, saved, spans_of, utf8, workspace
+from .common import discard, saved, set_aside, spans_of, utf8, workspace
 from .components import components
 from .words import mix, window_hashes, word_hashes
 
@@ -501,10 +501,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one row of each class stays, with the columns of `docs`; all texts without words stay."""
     # The same key columns in the join and in dropDuplicates: texts are shuffled once.
     keys = ["kept_id", "kept_null", "kept_hash"]
+    docs, back = set_aside(docs, tuple(keys))
     keyed = lambda t, h: t.withColumns({"kept_id": F.coalesce("doc_id", F.lit(0)), "kept_null": F.col("doc_id").isNull(), "kept_hash": h})
     kept = keyed(join(docs).filter("keep"), F.col("text_hash")).select(*keys).distinct()
     rows = keyed(docs, F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

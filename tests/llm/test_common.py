@@ -2,7 +2,9 @@ from types import SimpleNamespace as N
 
 import pytest
 
-from lodspark.llm import common
+from pyspark.sql import functions as F
+
+from lodspark.llm import common, decontam, langid, mixing, neardup
 
 
 def session(master, folder=None):
@@ -27,3 +29,21 @@ def test_workspace_goes_also_after_an_error(spark, tmp_path, monkeypatch):
         assert len(list(tmp_path.iterdir())) == 1
         1 / 0  # noqa: B018
     assert not list(tmp_path.iterdir())
+
+
+def test_stages_keep_columns_named_like_their_own(spark, odd):
+    names = ["identified_lang", "Identified_Score", "kept_id", "kept_null", "kept_hash", "mix_cut", "mix_time", "n_words", "spans", "Items", "items_"]
+    docs = odd.drop("n_words", "spans").select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "clean words then the leaked passage")], "item_id long, text string")
+    stages = {
+        "language": langid.keep_identified,
+        "copies": neardup.keep_one,
+        "documents": lambda d: decontam.decontaminate(d, bench),
+        "spans": lambda d: decontam.decontaminate(d, bench, "spans"),
+        "mix": mixing.mixed,
+    }
+    for stage, run in stages.items():
+        out = run(docs)
+        assert out.schema.simpleString() == docs.schema.simpleString(), stage
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names), stage
