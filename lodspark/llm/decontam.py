@@ -107,12 +107,12 @@ def _scan(found: WindowSet, text: pa.Array) -> tuple[np.ndarray, list[list[tuple
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Benchmark items in blocks of bounded size, brought to the driver one partition at a time."""
+    """Benchmark items in blocks of `block_bytes` and one more item at most, brought to the driver one partition at a time."""
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).filter("t is not null")
     for row in rows.toLocalIterator():
         held.append((row.i, row.t))
-        size += len(row.t)
+        size += len(row.t.encode())
         if size >= block_bytes:
             yield held
             held, size = [], 0
