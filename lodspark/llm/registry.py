@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, lm, media, mixing, neardup, quality, tokens, toxicity
+from . import chat, decontam, langid, lm, media, mixing, neardup, quality, runs, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_token_files": tokens.query,
         "op10_mix_sources": mixing.query,
+        "op11_periodic_runs": runs.query,
     }
 
 
