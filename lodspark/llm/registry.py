@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, lm, media, mixing, neardup, quality, runs, tokens, toxicity
+from . import chat, decontam, fim, langid, lm, media, mixing, neardup, quality, runs, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": tokens.query,
         "op10_mix_sources": mixing.query,
         "op11_periodic_runs": runs.query,
+        "op12_fill_in_middle": fim.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat.ORACLE,
         "op6_decontaminate": decontam.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
+        "op12_fill_in_middle": fim.ORACLE,
     }
