@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, langid, lm, media, mixing, neardup, quality, runs, tokens, toxicity
+from . import chat, decontam, fim, langid, licenses, lm, media, mixing, neardup, quality, runs, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mix_sources": mixing.query,
         "op11_periodic_runs": runs.query,
         "op12_fill_in_middle": fim.query,
+        "op13_license_scan": licenses.query,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontam.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
         "op12_fill_in_middle": fim.ORACLE,
+        "op13_license_scan": licenses.ORACLE,
     }
