@@ -10,7 +10,7 @@ order; as log-probabilities these would leave all pieces but the first dozen wit
 stored rank r is read as what it says of frequency, a share of 1 / (r + 100) (Zipf's law), and these
 weights are fitted to the training words by expectation-maximisation over all segmentations. The
 marginal probability of a word is a log-space forward recursion over its bytes: words of equal length
-together, very long ones by themselves over their arcs alone.
+together, very long ones by themselves, in parts that hand on the sums within a piece's reach.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import numpy as np
 
 from .words import mix
 
-#: Words above LONG bytes go by themselves, arcs looked up for PART places at a time.
-LONG, PART = 1024, 1 << 16
+#: Words above LONG bytes go by themselves, PART places at a time; their sums are scaled anew once in _STRETCH places.
+LONG, PART, _STRETCH = 1024, 1 << 16, 16
 #: Rows of the weight tables.
 FIRST_OPEN, FIRST_LAST, LATER_OPEN, LATER_LAST = range(4)
 _STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -132,45 +132,65 @@ class Lattice:
                     gather[kind] += np.bincount(found[size][used, at], share[used], gather.shape[1])
         return alpha[n]
 
-    def _arcs(self, word: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each place of one long word: the arcs (length, piece) that start there, PART places looked up at a time."""
-        n, most = len(word), max(self.lengths)
-        out: list[list[tuple[int, int]]] = []
-        for low in range(0, n, PART):
-            part = word[None, low : low + PART + most - 1]
-            here: list[list[tuple[int, int]]] = [[] for _ in range(min(PART, n - low))]
-            for size, h in piece_hashes(part, self.lengths):
-                found = self.look_up(h)[0, : len(here)]
-                for at in np.flatnonzero(found >= 0).tolist():
-                    here[at].append((size, int(found[at])))
-            out += here
-        return out
+    def _arcs(self, word: np.ndarray, low: int) -> tuple[list[int], list[int], list[float], np.ndarray]:
+        """Arcs from PART places of one long word on: how many start at each place, and by place their lengths, chances and weights' numbers."""
+        n, most = len(word), self.lengths[-1]
+        high = min(low + PART, n)
+        at, sizes, pieces = [], [], []
+        for size, h in piece_hashes(word[None, low : high + most - 1], self.lengths):
+            found = self.look_up(h)[0, : high - low]
+            here = np.flatnonzero(found >= 0)
+            at.append(here)
+            sizes.append(np.full(len(here), size))
+            pieces.append(found[here])
+        at, sizes, pieces = np.concatenate(at), np.concatenate(sizes), np.concatenate(pieces)
+        by = np.argsort(at, kind="stable")
+        at, sizes, pieces = at[by], sizes[by], pieces[by]
+        kind = np.where(at + low == 0, FIRST_OPEN, LATER_OPEN) + (at + low + sizes == n)
+        chances = np.exp(self.weights[kind, pieces])
+        return np.bincount(at, minlength=high - low).tolist(), sizes.tolist(), chances.tolist(), kind * self.weights.shape[1] + pieces
 
     def _alone(self, word: np.ndarray, gather: np.ndarray | None, times: float) -> float:
-        """`_pass` for one long word: its cost and memory follow its arcs, not its length times all piece lengths."""
-        n, arcs = len(word), self._arcs(word)
-        weights = self.weights
-
-        def ways(at: int) -> list[tuple[int, int, int]]:
-            first = FIRST_OPEN if at == 0 else LATER_OPEN
-            return [(at + size, first + (at + size == n), piece) for size, piece in arcs[at]]
-
-        # Sums relative to the largest term so far, as in the vectorised recursion.
-        alpha = [_NONE] * (n + 1)
-        alpha[0] = 0.0
-        for at in range(n):
-            if alpha[at] > _NONE / 2:
-                for to, kind, piece in ways(at):
-                    alpha[to] = _added(alpha[to], alpha[at] + weights[kind, piece])
-        if gather is not None:
-            beta = [_NONE] * (n + 1)
-            beta[n] = 0.0
-            for at in range(n - 1, -1, -1):
-                for to, kind, piece in ways(at):
-                    through = weights[kind, piece] + beta[to]
-                    beta[at] = _added(beta[at], through)
-                    gather[kind, piece] += math.exp(min(alpha[at] + through - alpha[n], 0.0)) * times
-        return alpha[n]
+        """`_pass` for one long word, PART places at a time.
+
+        A place is reached from the longest piece's length before it at most, so that many sums are
+        all that one part hands to the next, as shares of the largest with its logarithm. With
+        `gather` these are kept for every part, and going back each part is computed again from its
+        own: memory is that of one part and of the sums between parts, whatever the word's length.
+        """
+        n, most = len(word), self.lengths[-1]
+        ahead, scale, marks = [1.0] + [0.0] * (most - 1), 0.0, []
+        for low in range(0, n, PART):
+            marks.append((ahead, scale))
+            count, sizes, chances, _ = self._arcs(word, low)
+            alpha, scales = _forward(count, sizes, chances, ahead, scale)
+            ahead, scale = alpha[len(count) : len(count) + most], scales[-1]
+        total = scale + math.log(ahead[0]) if ahead[0] > 0 else _NONE
+        if gather is None or total == _NONE:
+            return total
+        flat = gather.reshape(-1)
+        after, back = [1.0] + [0.0] * most, 0.0  # of the places behind a part: nearest first
+        for low in range((n - 1) // PART * PART, -1, -PART):
+            count, sizes, chances, numbers = self._arcs(word, low)
+            alpha, scales = _forward(count, sizes, chances, *marks.pop())
+            beta = [0.0] * len(count) + after
+            used, k = [0.0] * len(sizes), len(sizes)
+            for at in range(len(count) - 1, -1, -1):
+                if at % _STRETCH == _STRETCH - 1:
+                    top = max(beta[at + 1 : at + 1 + most]) or 1.0
+                    beta[at + 1 : at + 1 + most] = [x / top for x in beta[at + 1 : at + 1 + most]]
+                    back += math.log(top)
+                share = alpha[at] * math.exp(scales[at // _STRETCH] + back - total) * times
+                x = 0.0
+                for j in range(k - count[at], k):
+                    through = chances[j] * beta[at + sizes[j]]
+                    used[j] = share * through
+                    x += through
+                beta[at] = x
+                k -= count[at]
+            flat += np.bincount(numbers, used, len(flat))
+            after = beta[: most + 1]
+        return total
 
     def run(self, words: list[bytes], gather: np.ndarray | None = None, times: np.ndarray | None = None, cells: int = 1 << 18) -> np.ndarray:
         """Natural-log probability of each word (not empty). Words of equal length go together, `cells` bytes at a time."""
@@ -192,11 +212,25 @@ class Lattice:
         return out
 
 
-def _added(a: float, b: float) -> float:
-    """log(exp(a) + exp(b))."""
-    if a < b:
-        a, b = b, a
-    return a + math.log1p(math.exp(b - a)) if b > a - 50 else a
+def _forward(count: list[int], sizes: list[int], chances: list[float], ahead: list[float], scale: float) -> tuple[list[float], list[float]]:
+    """Sums over all ways to each place of a part and behind it, and the logarithm by which those of each stretch of places are divided.
+
+    `ahead` and `scale` are those of the part's first places. Sums are divided by the largest within
+    reach once a stretch: in between a chance falls by less than a double can hold.
+    """
+    most, k, scales = len(ahead), 0, []
+    alpha = ahead + [0.0] * len(count)
+    for at, n in enumerate(count):
+        if at % _STRETCH == 0:
+            top = max(alpha[at : at + most]) or 1.0
+            alpha[at : at + most] = [x / top for x in alpha[at : at + most]]
+            scale += math.log(top)
+            scales.append(scale)
+        x = alpha[at]
+        for j in range(k, k + n):
+            alpha[at + sizes[j]] += x * chances[j]
+        k += n
+    return alpha, scales
 
 
 def first_weights(pieces: list[bytes]) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Language-model scores of documents: word-unigram base and subword-lattice likelihood, learnt from training documents.
 
-A word's lattice has an arc for each piece of the vocabulary that fits, and one over the whole word
-if training has it: its count less a discount. What the discount frees is shared out by the pieces'
-marginal probability over all segmentations, so the chances of all words add up to 1.
+A word's probability is the sum over all its segmentations into pieces of the vocabulary, whose
+weights are fitted to the training words as often as they occur. With `whole_words` a word of training
+also has an arc over all of it: its count less a discount, and what the discount frees is shared out
+by the pieces. Either way the chances of all words add up to 1.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lattice
-from .common import discard, fold_of, held_out, saved, scratch
+from .common import fold_of, held_out, saved, workspace
 from .tokens import tokenizer_path
 
-#: Most frequent words that are broadcast (a bound, whatever the corpus), words a task counts before it
-#: hands them on, rounds of expectation-maximisation, uses added to each piece.
-COMMON, HELD, ROUNDS, EXTRA = 1 << 17, 200_000, 3, 0.1
+#: Most frequent words that are broadcast and their bytes at most (a bound of 8 MB of words, whatever the
+#: corpus), words a task counts before it hands them on, rounds of expectation-maximisation, uses added to
+#: each piece.
+COMMON, COMMON_BYTES, HELD, ROUNDS, EXTRA = 1 << 17, 64, 200_000, 3, 0.1
 _LN10 = float(np.log(10))
 
 
@@ -98,26 +100,29 @@ def with_chance(counts: DataFrame, model: Chances) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, chance double")
 
 
-def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None, common: int = COMMON, whole_words: bool = True) -> DataFrame:
-    """`doc_id, n_tokens, n_known, train_tokens, base_score, score` of every row of `docs`, learnt from `train`.
+def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None, common: int = COMMON, whole_words: bool = False) -> DataFrame:
+    """`doc_id, n_tokens, n_known, train_tokens, base_score, score` of every row of `docs`, learnt from `train`; a table written when this returns.
 
-    A text's tokens are its words and one end. Counts of the `common` most frequent words travel to
-    every task; the others of a text (few, and none of them frequent) meet their counts in a join by
-    word, so no key is hot. With `whole_words=False` the lattice has no arcs over whole words of training.
-    Null and empty texts have the end alone. Without training documents all
-    words are unknown and pieces keep the weights of their order in the vocabulary.
+    A text's tokens are its words and one end. Counts of the `common` most frequent words of at most
+    COMMON_BYTES travel to every task; the others of a text (few, and none of them frequent, or else
+    few in a text of some size) meet their counts in a join by word. Words of any length are scored
+    whole, in memory that does not grow with them. Every row has its score: repeated rows and null ids
+    too, and in `train` each row counts. Null and empty texts have the end alone. Without training
+    documents all words are unknown and pieces keep the weights of their order in the vocabulary.
     """
+    with workspace(docs.sparkSession, "lm") as folder:
+        return saved(_scored(docs, train, pieces or lattice.vocabulary(tokenizer_path()), common, whole_words, folder), "lm-scores")
+
+
+def _scored(docs: DataFrame, train: DataFrame, pieces: list[bytes], common: int, whole_words: bool, folder: str) -> DataFrame:
     spark = docs.sparkSession
-    pieces = pieces or lattice.vocabulary(tokenizer_path())
-    held = scratch(spark, "lm-counts")
-    counted = saved(word_counts(train), "lm-counts", held)
+    counted = saved(word_counts(train), "lm-counts", f"{folder}/counts")
     ends = train.count()
     sums = counted.agg(F.sum("c").alias("n"), F.count("c").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     model = Chances(fit(counted, pieces, by_count=not whole_words), sums.n or 0, sums.v, sums.once, sums.twice, whole_words)
-    known = saved(with_chance(counted, model), "lm-chances")
-    discard(spark, held)
-    top = known.orderBy(F.desc("c"), "word").limit(common).toArrow()
+    known = saved(with_chance(counted, model), "lm-chances", f"{folder}/chances")
+    top = known.filter(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("c"), "word").limit(common).toArrow()
     words = {w: k for k, w in enumerate(top["word"].to_pylist())}
     shared = spark.sparkContext.broadcast((words, top["c"].to_numpy().astype(float), top["chance"].to_numpy(), model))
     floor = total + 0.5 * (distinct + 1)
@@ -149,7 +154,7 @@ def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None,
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
     # Written once: the same rows give the frequent part and the words to look up.
-    rows = saved(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"), "lm-rows")
+    rows = saved(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"), "lm-rows", f"{folder}/rows")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(known, "word", "left").select("row", "times", "c", "chance", F.when(F.col("chance").isNull(), F.col("word")).alias("word"))
 
@@ -170,7 +175,7 @@ def score(docs: DataFrame, train: DataFrame, pieces: list[bytes] | None = None,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: every document's scores, learnt from the documents outside fold 1 of 5."""
+    """op3: every document's scores, learnt from the documents outside fold 1 of 5; the score is the lattice's alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, docs.filter(fold_of(5) != 1))
     return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

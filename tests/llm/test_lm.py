@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -73,13 +74,50 @@ def test_long_words_equal_short_ones(monkeypatch):
         both.append((model.run(words), model.run(words, uses, times), uses))
     assert np.allclose(both[0][0], both[1][0]) and np.allclose(both[0][1], both[1][1]) and np.allclose(both[0][2], both[1][2])
     monkeypatch.undo()
-    assert np.isfinite(model.run([b"longwords" * 30_000])[0])
+    word = b"longwords" * 30_000
+    assert np.isfinite(model.run([word])[0])
+    uses = [np.zeros(model.weights.shape) for _ in range(2)]
+    model.run([word], uses[0], np.ones(1))
+    monkeypatch.setattr(lattice, "PART", 1 << 20)
+    model.run([word], uses[1], np.ones(1))
+    sizes = np.array(list(map(len, pieces)))
+    assert np.allclose(uses[0], uses[1]) and np.isclose((uses[0] * sizes).sum(), len(word)), "the pieces that are used cover the word"
 
 
-def test_lattice_alone(odd):
+def test_memory_does_not_grow_with_a_word(monkeypatch):
+    pieces = lattice.vocabulary(tokenizer_path())
+    model = lattice.Lattice(pieces, lattice.first_weights(pieces))
+    monkeypatch.setattr(lattice, "PART", 1 << 13)
+    peaks = []
+    for many in (30_000, 300_000):
+        word = np.random.default_rng(1).integers(97, 123, many).astype(np.uint8).tobytes()
+        uses = np.zeros(model.weights.shape)
+        tracemalloc.start()
+        model.run([word], uses, np.ones(1))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 3_000_000 < 30_000_000, peaks
+
+
+def test_words_that_no_pieces_make(monkeypatch):
+    monkeypatch.setattr(lattice, "LONG", 0)
+    pieces = [b"a", b"b"]
+    model, uses = lattice.Lattice(pieces, lattice.first_weights(pieces)), np.zeros((4, 2))
+    assert model.run([b"abc" * 20], uses, np.ones(1))[0] < -1e20 and not uses.any()
+
+
+def test_whole_words_are_a_choice(odd):
     train = odd.filter(fold_of(5) != 1)
-    alone = {r.doc_id: r for r in lm.score(odd, train, whole_words=False).collect()}
-    assert all(r.score < 0 for r in alone.values()) and alone[65].base_score == lm.score(odd, train).filter("doc_id = 65").collect()[0].base_score
+    alone = {r.doc_id: r for r in lm.score(odd, train).collect()}
+    whole = {r.doc_id: r for r in lm.score(odd, train, whole_words=True).collect()}
+    assert all(r.score < 0 for r in alone.values()) and alone[65].base_score == whole[65].base_score and alone[65].score < whole[65].score
+
+
+def test_words_too_long_to_send_meet_their_counts(spark):
+    words = [("x" * k) for k in (1, lm.COMMON_BYTES, lm.COMMON_BYTES + 1, 5000)]
+    docs = spark.createDataFrame([(k, " ".join(words)) for k in (1, 1, None)], "doc_id long, text string")
+    rows = lm.score(docs, docs).collect()
+    assert len(rows) == 3 and {(r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(5, 5, 15)} and len({round(r.score, 9) for r in rows}) == 1
 
 
 def test_chances_of_words_add_up():
