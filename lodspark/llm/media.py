@@ -25,6 +25,8 @@ BINS, MEMORY, WIDTH, FLOOR = 16, 0.1, 3.0, 0.25
 RUN = 2048
 
 CLIP = "array<struct<clip:int,first_frame:int,frames:int,start_s:double,stop_s:double>>"
+#: What is read from a file.
+TOLD = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "n_frames": "int", "clips": CLIP}
 
 
 def payloads(column: pa.Array) -> list[bytes]:
@@ -104,7 +106,12 @@ def shots(grams: np.ndarray) -> list[int]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_bytes, media`: every whole text as an AVI file in a binary column. Null counts as empty: one frame of filling."""
+    """`doc_id, n_bytes, media`: every whole text as an AVI file in a binary column, other columns are left out.
+
+    Null counts as empty: one frame of filling. Repeated rows and null ids give a file each, an empty
+    table none. RIFF counts bytes in 32 bits, so a file ends at 4 GB; a text is 2 GB at most, but one
+    whose file would be larger fails in `write_avi`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +134,14 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterato
 def read_media(media: DataFrame) -> DataFrame:
     """What the files hold: every column but `media`, and sizes, digests and timed clips of the decoded frames.
 
-    Null media is an empty file: no frames and no clips. Files of other frames than `to_media` writes
+    Columns named like one of the new ones, in any case, are replaced. Repeated rows and null ids stay
+    as they are, an empty table gives an empty one. Null media is an empty file: no frames and no clips. Files of other frames than `to_media` writes
     have clips and media digests, and a null payload. A file that is no AVI of sequential JPEG frames fails.
     """
+    told_of = T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in TOLD.items()))
+    media = media.drop(*TOLD)
     keep = [f for f in media.schema.fields if f.name != "media"]
-    out = T.StructType([*keep, *T.StructType.fromDDL(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, clips {CLIP}").fields])
+    out = T.StructType([*keep, *told_of.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("stop_s", pa.float64())]))
@@ -153,9 +163,11 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """One row a clip: the columns of `media` but the file itself, with clip, first_frame, frames, start_s and stop_s."""
-    keep = [c for c in media.columns if c not in ("media", "clip", "first_frame", "frames", "start_s", "stop_s")]
-    return read_media(media).select(*keep, F.inline("clips"))
+    """One row a clip: the columns of `media` but the file itself, with clip, first_frame, frames, start_s and stop_s; columns named like these are replaced."""
+    own = ("clip", "first_frame", "frames", "start_s", "stop_s")
+    media = media.drop(*own)
+    read = read_media(media)
+    return read.select(*[c for c in read.columns if c in media.drop(*TOLD).columns], F.inline("clips"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

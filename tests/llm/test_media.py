@@ -91,6 +91,16 @@ def test_query_reads_files_that_are_stored(spark, tmp_path, monkeypatch):
     assert all(hashlib.sha256(r.media).hexdigest() == out[r.doc_id].media_sha256 for r in stored)
 
 
+def test_clashing_columns_are_replaced(spark):
+    files = media.to_media(spark.createDataFrame([(1, "some text"), (1, "some text"), (None, None)], "doc_id long, text string"))
+    clash = files.selectExpr("*", "'x' as n_frames", "2 as Clips", "'y' as payload_sha256", "'kept' as clip")
+    out = media.read_media(clash)
+    assert out.columns == ["doc_id", "n_bytes", "clip", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "clips"]
+    key = lambda df: sorted(map(str, df.drop("clip").collect()))
+    assert key(out) == key(media.read_media(files)) and {r.clip for r in out.collect()} == {"kept"}
+    assert media.clips(clash).columns == ["doc_id", "n_bytes", "clip", "first_frame", "frames", "start_s", "stop_s"] and media.clips(clash).count() >= 3
+
+
 def test_shots_follow_adaptive_threshold():
     a, b = np.eye(16)[0], np.eye(16)[9]
     grams = np.array([a] * 5 + [b] * 5 + [0.9 * b + 0.1 * a] * 3)
