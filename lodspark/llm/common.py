@@ -35,9 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Scratch paths by open `swept` block.
+_made: list[list[tuple[str, str]]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append((name, path))
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Scratch tables made in the block go at its end, also after an error, but those of the names in `kept`: what reads them lazily has to be written in the block."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for name, path in _made.pop():
+            if name not in kept:
+                discard(spark, path)
 
 
 def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -111,9 +130,11 @@ def spans_of(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def sample_ids(rows: DataFrame, label: str, limit: int, seed: int) -> DataFrame:
-    """A bounded sample of labelled rows, the same on each run: the `limit` lowest hashes of their ids.
+    """A bounded sample of labelled ids, the same on each run: the `limit` lowest hashes of their ids.
 
-    `limit` bounds what is later broadcast and fitted; rows without id or label are left out.
+    An id and its label is one candidate however many rows repeat it, so repeats neither crowd out
+    other ids nor outgrow `limit`, which bounds what is later broadcast; an id with both labels is two.
+    Rows without id or label are left out.
     """
-    rows = rows.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    rows = rows.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
     return rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id", "label").limit(limit).drop("h")

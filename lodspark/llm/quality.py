@@ -68,14 +68,15 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> gam.Gam:
-    """A model from features and at most `sample` labelled rows, those of the lowest hash; rows without id or label are left out.
+    """A model from features and at most `sample` labelled ids, those of the lowest hash; rows without id or label are left out.
 
-    A repeated row, of `features` or of `labels`, counts as often as it is there; equal hashes go by id
-    and label. Without rows the model gives 0.5 to every text.
+    An id with a label is one example, whatever rows of `features` or `labels` repeat it; of several
+    texts under one id the one with the least features counts. So the driver gets `sample` rows at
+    most. Equal hashes go by id and label. Without rows the model gives 0.5 to every text.
     """
     picked = sample_ids(labels, label, sample, 1)
-    # Bounded by `sample`.
-    rows = features.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "x").orderBy("doc_id", "label").collect()
+    # Bounded by `sample`, before the join and, as rows of an id become one, after it.
+    rows = features.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id", "label").collect()
     return gam.fit(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.label for r in rows], float))
 
 

@@ -131,8 +131,9 @@ def _fit_logistic(y: np.ndarray, of: np.ndarray, feature: np.ndarray, ratio: np.
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, penalty: float = PENALTY) -> Model:
     """A model from the labelled rows of `labels` (doc_id, label) and the texts of `docs`.
 
-    At most `sample` rows are used, those of the lowest hash; whole texts are read. Rows with a null
-    id or label are left out; equal texts with equal labels count once, ids without a text not at all.
+    At most `sample` ids are used, those of the lowest hash; whole texts are read. Rows with a null
+    id or label are left out; of several texts under one id the least counts, so the bound holds for
+    texts too; equal texts with equal labels count once, ids without a row of `docs` not at all.
     Without rows the model gives 0.5 to every text, with rows of one class nearly 0 or 1. Reruns agree.
     """
     with workspace(docs.sparkSession, "toxic") as folder:
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 def _fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, features: int, penalty: float, folder: str) -> Model:
     picked = sample_ids(labels, label, sample, 8)
     # The sample is bounded by `sample`, so it may be broadcast; its texts are written once and read twice.
-    texts = saved(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").distinct(), "toxic-sample", f"{folder}/sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = saved(texts.select("label", "text").distinct(), "toxic-sample", f"{folder}/sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int32)

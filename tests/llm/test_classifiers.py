@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lodspark.llm import gam, quality, toxicity
+from lodspark.llm import common, gam, quality, toxicity
 
 
 def table(spark, n=400, seed=1):
@@ -43,6 +43,23 @@ def test_quality(spark, none):
     assert quality.with_features(none).count() == 0
 
 
+def test_repeated_rows_neither_fill_the_sample_nor_outgrow_it(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(39)], "doc_id long, quality int, toxic int")
+    for name in ("quality", "toxic"):
+        lowest = common.sample_ids(labels, name, 1, 1).collect()[0].doc_id
+        many = labels.unionByName(spark.createDataFrame([(lowest, lowest % 2, lowest % 2)] * 30, labels.schema))
+        assert sorted(common.sample_ids(many, name, 20, 1).collect()) == sorted(common.sample_ids(labels, name, 20, 1).collect())
+        assert common.sample_ids(many, name, 20, 1).select("doc_id").distinct().count() == 20
+    docs = spark.createDataFrame([(k, f"text {k} " * (k + 1)) for k in range(39)] + [(5, f"another text {k}") for k in range(5000)], "doc_id long, text string")
+    fitted = []
+    monkeypatch.setattr(quality.gam, "fit", lambda x, y, *a: fitted.append(len(x)))
+    quality.fit(quality.with_features(docs), labels)
+    monkeypatch.setattr(toxicity, "_unpacked", lambda y, bits, n, own=toxicity._unpacked: (fitted.append(len(y)), own(y, bits, n))[1])
+    monkeypatch.setattr(toxicity, "LEAST", 1)
+    toxicity.fit(docs, labels)
+    assert fitted == [39, 39]
+
+
 def test_pairs_learn_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))
