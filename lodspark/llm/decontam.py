@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, set_aside, spans_of, utf8
+from .common import discard, saved, scratch, set_aside, spans_of, utf8
 from .words import FOLD_BYTES, split_words, window_hashes, word_hashes
 
 #: Words in a window; bytes of benchmark text that one broadcast may hold.
@@ -129,10 +129,13 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     with the new ones are replaced. An empty benchmark or table gives no hits.
     """
     docs = docs.drop("n_words", "spans", "items")
-    whole, found = docs.columns, None
+    spark, whole, found, held = docs.sparkSession, docs.columns, None, []
     for k, block in enumerate(_blocks(benchmark, block_bytes)):
         if k:  # a table between two passes: no task holds two blocks
-            found = saved(found, "decontam-hits")
+            held.append(scratch(spark, "decontam-hits"))
+            found = saved(found, "decontam-hits", held[-1])
+            if len(held) > 1:
+                discard(spark, held.pop(0))
         found = _pass(docs if found is None else found, WindowSet(block, size))
     found = _pass(docs, WindowSet([], size)) if found is None else found
     return found if keep_text else found.select(*[c for c in whole if c != "text"], *HITS.names)

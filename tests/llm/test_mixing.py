@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lodspark.llm import mixing
 
 
@@ -41,6 +43,23 @@ def test_small_source_stops_at_its_cap(spark):
     assert sum(r.taken for r in out.values()) == 2 + 18 * 30
 
 
+def test_rows_without_id_and_equal_rows_are_dealt(spark):
+    rows = [(None, f"word {k}", "a") for k in range(3000)] + [(7, f"word word {k}", "a") for k in range(3000)] + [(8, "same text here", "a")] * 4000 + [(None, "w " * 5, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16)
+    plan = mixing._plan(df)
+    parts = plan.withColumn("part", F.substring("key", 1, 3)).groupBy("part", "doc_id").count().collect()
+    assert len({r.part for r in parts if r.doc_id is None}) > 1500 and len({r.part for r in parts if r.doc_id == 7}) > 1500
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    want = brute_targets({"a": 3000 * 2 + 3000 * 3 + 4000 * 3, None: 250})
+    for s in ("a", None):
+        assert sum(r.taken for r in out if r.source == s) == round(want[s])
+    same = sorted(r.taken for r in out if r.doc_id == 8)
+    assert len(same) == 4000 and sum(0 < x % 3 for x in same) <= 1, "at most one row is cut"
+    again = mixing.mix(df.repartition(5, "text")).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_stage_repeats_documents(odd, none):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns

@@ -5,7 +5,7 @@ from test_decontam import brute as leaks
 from test_neardup import brute as copies
 
 import corpus_pipeline
-from lodspark.llm import langid, mixing, tokens
+from lodspark.llm import common, decontam, langid, mixing, tokens
 from lodspark.llm.common import fold_of
 
 
@@ -36,6 +36,20 @@ def test_stages_equal_their_brute_force(spark, odd_rows, tmp_path):
     assert got == want
 
 
+def test_scratch_goes_and_results_stay(spark, odd_rows, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(shared))
+    long = next(t for i, t, _, _ in odd_rows if i == 65)
+    spark.createDataFrame([(i, t, g, s, 1) for i, t, g, s in odd_rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(long.split()[k : k + 20])) for k in range(4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() and sorted(p.name.rsplit("-", 1)[0] for p in shared.iterdir()) == ["pipeline-token_files", "tokens"]
+    # Of the tables between passes over blocks of the benchmark the last is read by the result.
+    hits = decontam.find(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block_bytes=1)
+    assert hits.filter("size(spans) > 0").count() == 1 and len([p for p in shared.iterdir() if p.name.startswith("decontam-hits")]) == 1
+
+
 def test_odd_and_empty_tables(spark, odd_rows, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     whole = [(i, t, g, s, None) for i, t, g, s in odd_rows]
