@@ -1,7 +1,8 @@
 """Corpus pipeline: language, near copies, benchmark passages, mix, token ids.
 
 Each stage works on all that the one before it kept; its rows are written as Parquet in the shared
-folder and read again, so a lost executor never costs more than the stage at work.
+folder and read again, so a lost executor never costs more than the stage at work; they go when the
+next stage's are written.
 """
 
 from __future__ import annotations
@@ -51,8 +52,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`: `doc_id, start, n_tokens, ids_crc32` of what they keep.
+
+    A stage's rows, and the scratch tables that it made, go once the next one's are written; the last
+    stage's rows and the token folder stay. Null and empty texts and those without letters go with the
+    first stage; repeated rows are copies for the second, so one of them stays; null ids, null sources
+    and extra columns, of whatever names, pass through; without documents there are no rows.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.scratch(spark, f"pipeline-{name}")
+        with common.swept(spark, "tokens"):
+            docs = common.saved(stage(spark, docs, sf_dir), name, path)
+        if before:
+            common.discard(spark, before)
+        before = path
     return docs
