@@ -36,24 +36,25 @@ def unique_slugs(rows: DataFrame, slug: Column, suffix: Column, pos: str) -> Dat
 
 
 def in_sequence(stages: list[DataFrame], pos: str = "pos") -> DataFrame:
-    """The stages' rows, one after the other, with `seq` from 1 on.
+    """The stages' rows, one after the other, with `stage` (from 0) and `seq` from 1 on; columns of these names are replaced, all others stay.
 
     Numbers come from ranges of (stage, pos): each range is counted, and a row's number is the count of
     the ranges before it plus its place in its own, so no single task holds all rows. Rows without a
     position come first in their stage, and equal positions follow each other, by a hash of the row.
     """
     rows = reduce(DataFrame.unionByName, [s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages)])
-    tie = F.xxhash64(*[f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
-    placed = F.col(pos).isNotNull()
-    rows = rows.withColumns({"tie": tie, "placed": placed})
-    rows = rows.withColumn("part", F.when(placed, F.floor(F.col(pos) / 65536)).otherwise(F.shiftright("tie", 54)))
+    own = [f for f in rows.schema.fields if f.name not in ("stage", "seq")]
+    tie = F.xxhash64("stage", *[f.name for f in own if "map<" not in f.dataType.simpleString()])
+    # The row is one value from here on, so none of its columns meets one of the numbering's.
+    rows = rows.select("stage", F.struct(*[f.name for f in own]).alias("row"), F.col(pos).isNotNull().alias("placed"), tie.alias("tie"))
+    part = F.when(F.col("placed"), F.floor(F.col(f"row.{pos}") / 65536)).otherwise(F.shiftright("tie", 54))
+    rows = rows.withColumn("part", part)
     keys = ["stage", "placed", "part"]
     sizes = rows.groupBy(*keys).agg(F.count("stage").alias("size"))
     # One row for 65536 rows.
     sizes = sizes.select(*keys, (F.sum("size").over(W.orderBy(*keys)) - F.col("size")).alias("before"))
-    rows = rows.join(sizes, keys)
-    own = F.row_number().over(W.partitionBy(*keys).orderBy(pos, "tie"))
-    return rows.withColumn("seq", F.col("before") + own).drop("part", "before", "tie", "placed")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(f"row.{pos}", "tie"))
+    return rows.join(sizes, keys).select("row.*", "stage", (F.col("before") + place).alias("seq"))
 
 
 def next_number(rows: DataFrame, column: str) -> DataFrame:

@@ -123,19 +123,18 @@ def save_places(places: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 def patch_places(places: DataFrame, patches: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """Set the fields that patches name (`has`) and recompute what follows from them: the new table and `id, status`.
 
-    400 without id, 404 unknown, 409 for all but the first patch for an id, 200 done.
+    400 without id, 404 unknown, 409 for all but the first patch for an id, 200 done. Each place stays one
+    row: those that share an id are all patched, those without one never.
     """
     first, others = one_a_key(patches.filter("id is not null"), "id")
     judged = first.select("id").join(places.select("id").withColumn("there", F.lit(True)), "id", "left").select("id", F.when(F.col("there"), "200").otherwise("404").alias("status"))
     refused = patches.filter("id is null").select("id", F.lit("400").alias("status"))
-    new = overlay(places, first, "id", fields).join(first.select("id", "actor", "at").withColumn("hit", F.lit(True)), "id", "left")
-    again = derived(new)
-    hit = F.coalesce("hit", F.lit(False))
-    kept = new.select("id", F.struct("qid", "crm_class").alias("old"))
-    out = again.join(kept, "id").select(*[
-        F.when(hit, {"modified_by": F.col("actor"), "modified_at": F.col("at")}.get(c, F.col(c))).otherwise(F.col(f"old.{c}") if c in ("qid", "crm_class") else F.col(c)).alias(c)
-        for c in places.columns
-    ])
+    # The places and their patches side by side: what was there before needs no second look.
+    met = places.select(F.struct(*places.columns).alias("_before"), "id").join(first.select("id", F.struct(*first.columns).alias("_patch")), "id", "left")
+    sets = lambda f: F.coalesce(F.array_contains(F.col("_patch.has"), f), F.lit(False))
+    new = met.select("_before", "_patch", *[(F.when(sets(c), F.col(f"_patch.{c}")).otherwise(F.col(f"_before.{c}")) if c in fields else F.col(f"_before.{c}")).alias(c) for c in places.columns])
+    new = derived(new, F.col("_patch.actor"), F.col("_patch.at"))
+    out = new.select(*[F.when(F.col("_patch").isNotNull(), F.col(c)).otherwise(F.col(f"_before.{c}")).alias(c) for c in places.columns])
     return out, judged.unionByName(others).unionByName(refused)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodspark.operators.scratch import shared_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,17 +28,3 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`custkey, tags`: the order priorities of each customer, sorted."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("tags"))
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only in a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            folder = held.get()
-        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            folder = tempfile.mkdtemp(prefix="lodspark-")
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -116,3 +116,23 @@ def test_sessions_run_on_streams(spark, tmp_path):
     q.awaitTermination(120)
     closed = sorted((r.u, r.n) for r in spark.read.schema("u long, n long").parquet(str(out)).collect())
     assert closed == [(1, 1), (1, 2)]  # the last session stays open: nothing later has come
+
+
+def test_patches_keep_every_row(spark):
+    kind = "id long, label string, type string, external_links array<struct<authority:string,identifier:string>>, qid string, crm_class string, modified_by string, modified_at string, has string"
+    places = spark.createDataFrame([(1, "a", "river", [], "Q1", "old", None, None, "x"), (None, "b", "river", None, "Q2", "old", None, None, "x"), (2, "c", "river", [], "Q3", "old", None, None, "x"), (2, "d", "river", [], "Q4", "old", None, None, "x")], kind)
+    patches = spark.createDataFrame([(1, ["label", "type"], "new", None, "me", "now")], "id long, has array<string>, label string, type string, actor string, at string")
+    new, told = store.patch_places(places, patches, ["label", "type"])
+    rows = sorted(((r.id or 0, r.label, r.type, r.qid, r.crm_class, r.modified_by, r.has) for r in new.collect()), key=str)
+    assert rows == sorted([(0, "b", "river", "Q2", "old", None, "x"), (1, "new", None, None, rows[1][4], "me", "x"), (2, "c", "river", "Q3", "old", None, "x"), (2, "d", "river", "Q4", "old", None, "x")], key=str)
+    assert rows[1][4] != "old" and new.columns == places.columns and [tuple(r) for r in told.collect()] == [(1, "200")]
+
+
+def test_sequences_keep_columns_named_like_their_own(spark):
+    names = ["before", "part", "tie", "placed", "size", "row"]
+    one = spark.createDataFrame([(k, *[f"{n}{k}" for n in names]) for k in (3, 1, 2)], "pos long, " + ", ".join(f"{n} string" for n in names))
+    out = dedupe.in_sequence([one, one.withColumn("pos", F.lit(None).cast("long"))])
+    assert out.columns == ["pos", *names, "stage", "seq"]
+    rows = out.orderBy("seq").collect()
+    assert [r.pos for r in rows] == [1, 2, 3, None, None, None] and [r.seq for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert all(r[n] == f"{n}{r.pos}" for r in rows[:3] for n in names)
