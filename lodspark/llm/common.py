@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Buffers of batches go back to the system when they are freed: several Python workers share an executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: ASCII white space separates words in every contract of this package.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 

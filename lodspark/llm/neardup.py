@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999999
 COORDINATES, PICKS, LIMIT, DEPTH = 128, 2, 256, 3
 #: Sets and shingles in a tile of a large node or group.
 TILE, TILE_SHINGLES = 2048, 1 << 21
+#: Bytes of text that are made into shingles together.
+SLICE = 1 << 19
 #: Steps of the distance to a pivot, in bands of STEPS / BANDS; sets that a pivot is made of.
 STEPS, BANDS, VOTERS = 4096, 64, 15
 #: Agreeing sketch bits (of COORDINATES) of a candidate: a pair at the threshold expects 115, with a deviation of 3.4.
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids, sizes, tokens = [], [], []
-            for low, high in spans_of(offsets, 1 << 20):
+            for low, high in spans_of(offsets, SLICE):
                 for s in shingle_sets(data, offsets[low : high + 1]):
                     ids.append(set_id(s))
                     sizes.append(len(s))
@@ -357,7 +359,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         cids, keep, made = batch.column("cid").to_pylist(), [], []
-        for low, high in spans_of(offsets, 1 << 20):
+        for low, high in spans_of(offsets, SLICE):
             for k, s in enumerate(shingle_sets(data, offsets[low : high + 1]), low):
                 if cids[k] not in done and set_id(s) == cids[k]:
                     done.add(cids[k])
