@@ -27,18 +27,28 @@ def _series() -> tuple[float, list[float], list[float]]:
     return radius, beta, delta
 
 
-def reproject(x: Column, y: Column) -> Column:
-    """Grid metres to WGS 84: a struct of lng and lat. Krueger series, then a three-parameter shift."""
+def reproject_all(points: Column) -> Column:
+    """Points (x, y) in grid metres to WGS 84: structs of lng and lat. Krueger series, then a three-parameter shift.
+
+    Each step is a transformation of its own, so what a later one uses several times is computed once.
+    """
     radius, beta, delta = _series()
-    xi, eta = y / (_K0 * radius), (x - _X0) / (_K0 * radius)
-    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
-    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    phi = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), F.lit(0.0))
-    lam = F.lit(math.radians(_LON0)) + F.atan2(F.sinh(eta1), F.cos(xi1))
     e2, w2 = _F * (2 - _F), _WGS_F * (2 - _WGS_F)
-    # Struct fields keep the long expressions from being written out again at each use.
-    at = F.struct(phi.alias("phi"), lam.alias("lam"))
+    terms = lambda of, factors: sum((f * of(2 * j) for j, f in enumerate(factors, 1)), F.lit(0.0))
+
+    def scaled(p: Column) -> Column:
+        return F.struct((p["y"] / (_K0 * radius)).alias("xi"), ((p["x"] - _X0) / (_K0 * radius)).alias("eta"))
+
+    def straightened(p: Column) -> Column:
+        xi = p["xi"] - terms(lambda k: F.sin(k * p["xi"]) * F.cosh(k * p["eta"]), beta)
+        eta = p["eta"] - terms(lambda k: F.cos(k * p["xi"]) * F.sinh(k * p["eta"]), beta)
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def on_sphere(p: Column) -> Column:
+        return F.struct(F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), (F.lit(math.radians(_LON0)) + F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))).alias("lam"))
+
+    def on_ellipsoid(p: Column) -> Column:
+        return F.struct((p["chi"] + terms(lambda k: F.sin(k * p["chi"]), delta)).alias("phi"), p["lam"].alias("lam"))
 
     def shifted(p: Column) -> Column:
         v = _A / F.sqrt(1 - e2 * F.sin(p["phi"]) * F.sin(p["phi"]))
@@ -51,8 +61,14 @@ def reproject(x: Column, y: Column) -> Column:
         lat = F.atan2(q["z"] + w2 / (1 - w2) * b * F.pow(F.sin(theta), F.lit(3.0)), p - w2 * _WGS_A * F.pow(F.cos(theta), F.lit(3.0)))
         return F.struct(F.degrees(F.atan2(q["y"], q["x"])).alias("lng"), F.degrees(lat).alias("lat"))
 
-    one = F.transform(F.transform(F.array(at), shifted), geodetic)
-    return one[0]
+    for step in (scaled, straightened, on_sphere, on_ellipsoid, shifted, geodetic):
+        points = F.transform(points, step)
+    return points
+
+
+def reproject(x: Column, y: Column) -> Column:
+    """One point of `reproject_all`."""
+    return reproject_all(F.array(F.struct(x.alias("x"), y.alias("y"))))[0]
 
 
 def in_bounds(lng: Column, lat: Column) -> Column:

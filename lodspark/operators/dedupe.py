@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def first_wins(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """One row a key: the first by `pos`."""
@@ -35,12 +37,13 @@ def unique_slugs(rows: DataFrame, slug: Column, suffix: Column, pos: str) -> Dat
     return rows.withColumn("slug", F.when(again, F.concat_ws("-", "slug", suffix)).otherwise(F.col("slug")))
 
 
-def in_sequence(stages: list[DataFrame], pos: str = "pos") -> DataFrame:
+def in_sequence(stages: list[DataFrame], pos: str = "pos", path: str | None = None) -> DataFrame:
     """The stages' rows, one after the other, with `stage` (from 0) and `seq` from 1 on; columns of these names are replaced, all others stay.
 
     Numbers come from ranges of (stage, pos): each range is counted, and a row's number is the count of
     the ranges before it plus its place in its own, so no single task holds all rows. Rows without a
     position come first in their stage, and equal positions follow each other, by a hash of the row.
+    Rows are read twice: with `path` they are written there first, so what is before them runs once.
     """
     rows = reduce(DataFrame.unionByName, [s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages)])
     own = [f for f in rows.schema.fields if f.name not in ("stage", "seq")]
@@ -49,6 +52,7 @@ def in_sequence(stages: list[DataFrame], pos: str = "pos") -> DataFrame:
     rows = rows.select("stage", F.struct(*[f.name for f in own]).alias("row"), F.col(pos).isNotNull().alias("placed"), tie.alias("tie"))
     part = F.when(F.col("placed"), F.floor(F.col(f"row.{pos}") / 65536)).otherwise(F.shiftright("tie", 54))
     rows = rows.withColumn("part", part)
+    rows = rows if path is None else written(rows, path)
     keys = ["stage", "placed", "part"]
     sizes = rows.groupBy(*keys).agg(F.count("stage").alias("size"))
     # One row for 65536 rows.

@@ -36,8 +36,7 @@ def with_slugs(rows: DataFrame, slug: Column) -> DataFrame:
 def reprojected(wkt: Column, digits: int = 8) -> Column:
     """A polygon's or line's text on the national grid as WGS 84."""
     points = geo.pairs(F.regexp_extract(wkt, r"\(+([^()]+)\)", 1))
-    moved = F.transform(points, lambda p: geo.reproject(p["x"], p["y"]))
-    body = F.array_join(F.transform(moved, lambda p: F.concat_ws(" ", F.format_string(f"%.{digits}f", p["lng"]), F.format_string(f"%.{digits}f", p["lat"]))), ", ")
+    body = F.array_join(F.transform(geo.reproject_all(points), lambda p: F.concat_ws(" ", F.format_string(f"%.{digits}f", p["lng"]), F.format_string(f"%.{digits}f", p["lat"]))), ", ")
     return F.when(F.lower(wkt).startswith("polygon"), F.concat(F.lit("POLYGON(("), body, F.lit("))"))).otherwise(F.concat(F.lit("LINESTRING("), body, F.lit(")")))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodspark.functions import geo
 from lodspark.functions.text import float_prefix, int_prefix, normalize_label, numbered
 
-from .dedupe import in_sequence, mode_first
+from .dedupe import in_sequence
 from .entities import reprojected
 from .matching import drop_if_known
+from .scratch import shared_path, workspace, written
 
 #: Order of types in lists; others come last.
 SORT_ORDER = {"district": 1, "plantation": 2, "river": 3, "creek": 4, "road": 5, "military-post": 6, "railroad": 7}
@@ -20,11 +21,14 @@ _MODES = {"district": "district", "location": "loc_std", "location_original": "l
 def organization_profile(obs: DataFrame) -> DataFrame:
     """Per Q-ID the most frequent district, location, product and name (ties: met first), and its PSUR ids."""
     o = obs.filter("qid is not null")
-    out = o.groupBy("qid").agg(F.sort_array(F.collect_set("psur_id")).alias("psur_ids"), F.min("pos").alias("first_pos"))
-    for name, column in _MODES.items():
-        mode = mode_first(o.select("qid", F.col(column).alias(name), "pos"), "qid", name, "pos").select("qid", name)
-        out = out.join(mode, "qid", "left")
-    return out
+    # All fields as rows of one table: values are counted in one aggregation, and their modes taken in the next.
+    said = F.array(*[F.struct(F.lit(name).alias("field"), F.col(column).cast("string").alias("value")) for name, column in {**_MODES, "psur": "psur_id"}.items()])
+    counts = o.select("qid", "pos", F.explode(said).alias("s")).groupBy("qid", "s.field", "s.value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("at"))
+    rank = F.struct("n", (-F.col("at")).alias("late"))
+    told = lambda name: (F.col("field") == name) & (F.coalesce("value", F.lit("")) != "")
+    modes = [F.max_by("value", F.when(told(name), rank)).alias(name) for name in _MODES]
+    psur = F.sort_array(F.collect_set(F.when(F.col("field") == "psur", F.col("value")))).alias("psur_ids")
+    return counts.groupBy("qid").agg(psur, F.min("at").alias("first_pos"), *modes)
 
 
 def location_note(name: Column) -> Column:
@@ -103,12 +107,21 @@ def layers(places: DataFrame, military: DataFrame, roads: DataFrame, railroads:
     ]
 
 
-def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: DataFrame, polygons: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
+def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: DataFrame, polygons: DataFrame, more: dict[str, DataFrame] | None = None, folder: str | None = None) -> DataFrame:
     """All records in stage order - districts, locations, rivers, polygons, almanac only, and the layers of `more` - with ids stm-00001 on and `broader` as id.
 
-    `more` has places, military, roads and railroads as the readers give them.
+    `more` has places, military, roads and railroads as the readers give them. What is used twice - the
+    profile, the map's places, the rows before and after they are numbered - is written once: to `folder`,
+    which the result then reads, or else to a folder that goes when the result is written.
     """
-    profile = organization_profile(obs)
+    if folder:
+        return _seeded(plantation, river, obs, polygons, more, folder)
+    with workspace(obs.sparkSession, "gazetteer") as folder:
+        return written(_seeded(plantation, river, obs, polygons, more, folder), shared_path(obs.sparkSession, "gazetteer-table"))
+
+
+def _seeded(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: DataFrame, polygons: DataFrame, more: dict[str, DataFrame] | None, folder: str) -> DataFrame:
+    profile = written(organization_profile(obs), f"{folder}/profile")
     ranked = lambda column: obs.filter(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
     from pyspark.sql import Window as W
 
@@ -125,7 +138,8 @@ def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: Dat
     psur = F.array_compact(F.array("psur_id", "psur_id2", "psur_id3"))
     by_fid = polygons.filter("fid is not null").groupBy("fid").agg(F.max_by(psur, "pos").alias("psur"))
     owner = plantation["e25"].filter("place_uri is not null").groupBy("place_uri").agg(F.max_by(F.struct(F.col("qid").alias("qid"), F.col("label").alias("name")), "pos").alias("o"))
-    e53 = plantation["e53"].join(owner.select(F.col("place_uri").alias("uri"), "o.*"), "uri", "left").join(by_fid, "fid", "left").join(profile.drop("psur_ids", "label", "first_pos"), "qid", "left").join(profile.select(F.col("qid"), F.lit(True).alias("known")), "qid", "left")
+    e53 = plantation["e53"].join(owner.select(F.col("place_uri").alias("uri"), "o.*"), "uri", "left").join(by_fid, "fid", "left").join(profile.drop("psur_ids", "label", "first_pos").withColumn("known", F.lit(True)), "qid", "left")
+    e53 = written(e53, f"{folder}/mapped")
     seen = F.coalesce("observed_label", F.concat(F.lit("Place "), "fid"))
     name = F.coalesce("name", seen)
     c = geo.mean_point(geo.polygon_ring(F.col("wkt")))
@@ -138,7 +152,8 @@ def seed(plantation: dict[str, DataFrame], river: dict[str, DataFrame], obs: Dat
     rest = _stage(only, type=F.lit("plantation"), label=F.coalesce("label", "qid"), broader_name=F.col("district"), description=F.lit("Plantation from Surinaamse Almanakken (no QGIS geometry)"), sources=own_tags, qid=F.col("qid"), psur_ids=F.col("psur_ids"), location=F.col("location"), product=F.col("product"), pos=F.col("first_pos"))
 
     rest_of_map = layers(**more, plantation_labels=mapped.select("label").union(rest.select("label"))) if more else []
-    rows = in_sequence([districts, places, waters, mapped, rest, *rest_of_map]).withColumn("id", numbered("stm-", F.col("seq")))
+    staged = [districts, places, waters, mapped, rest, *rest_of_map]
+    rows = written(in_sequence(staged, path=f"{folder}/staged").withColumn("id", numbered("stm-", F.col("seq"))), f"{folder}/rows")
     ids = rows.filter("stage = 0").select(F.col("label").alias("broader_name"), F.col("id").alias("broader"))
     return rows.join(ids, "broader_name", "left").drop("stage", "pos").withColumnRenamed("broader_name", "district")
 

@@ -1,18 +1,22 @@
 """The archive's path on the driver's tables: written as the archive's files, read back, and turned into entities, gazetteer and graph.
 
 Parts are the polygon layer, suppliers the river layer, and orders the almanac. Files come in as many
-parts as Spark writes; a column of each numbers its rows.
+parts as Spark writes; a column of each numbers its rows. Each file is parsed once: the entities that a
+query needs are written as tables, and all these go again when its result is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodspark.operators import assemble, checks, entities, gazetteer, graph, streets
+from lodspark.operators.scratch import shared_path, workspace, written
 from lodspark.sources import readers, sinks
 
-from .tables import shared_path, table
+from .tables import table
 
 _POLYGON = "Polygon((558964 644095, 558999 644095, 558999 644195, 558964 644095))"
 _LINE = "LineString(558964 644095, 559964 645095)"
@@ -22,32 +26,46 @@ def _text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _written(rows: DataFrame, name: str, **options: str) -> str:
-    path = shared_path(rows.sparkSession, name)
+def _csv(rows: DataFrame, path: str, **options: str) -> str:
     rows.write.csv(path, header=True, quote='"', escape='"', **options)
     return path
 
 
-def polygons(s: SparkSession, d: str) -> DataFrame:
+def _kept(make: Callable[[SparkSession, str, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose files and tables lie in one folder (its last argument) that goes when the result is written."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        with workspace(s, "archive") as folder:
+            return written(make(s, d, folder), shared_path(s, "archive-result"))
+
+    return run
+
+
+def _tables(of: dict[str, DataFrame], folder: str, name: str) -> dict[str, DataFrame]:
+    """The entities of one source, each written once."""
+    return {k: written(t, f"{folder}/{name}-{k}") for k, t in of.items()}
+
+
+def polygons(s: SparkSession, d: str, folder: str) -> DataFrame:
     k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
     rows = table(s, d, "part").select(
         k.alias("fid"), F.when(k % 3 == 0, _text("P", F.col("p_size"))).alias("psur_id"), F.when(k % 9 == 0, _text("X", k)).alias("psur_id3"), F.when(k % 4 != 0, name).alias("label_1930"),
         F.when(k % 5 == 0, F.upper(name)).alias("label_1860-79"), F.when(k % 3 != 1, _text("Q", k % 300)).alias("qid"), F.when(k % 7 == 0, _text("Q", k % 300 + 1000)).alias("qid_alt"),
         F.when(k % 2 == 0, _text(name, "; ", brand)).alias("plantation_label"), F.when(k % 6 != 0, F.lit(_POLYGON)).alias("coords"),
     )
-    return readers.read_polygons(s, _written(rows, "polygons", sep=";"), position="fid")
+    return written(readers.read_polygons(s, _csv(rows, f"{folder}/polygons.csv", sep=";"), position="fid"), f"{folder}/polygons")
 
 
-def rivers(s: SparkSession, d: str) -> DataFrame:
+def rivers(s: SparkSession, d: str, folder: str) -> DataFrame:
     k, name = F.col("s_suppkey"), F.col("s_name")
     rows = table(s, d, "supplier").select(
         k.alias("fid"), F.when(k % 3 == 0, _text(name, " Kreek")).when(k % 3 == 2, name).alias("label1930"), F.when(k % 2 == 0, F.lit("Cottica")).alias("main_body_water"),
         F.when(k % 6 == 1, _text("Oud ", name)).alias("label1882"), F.when(k % 10 == 0, _text("Alt ", name)).alias("alt_label"), F.when(k % 4 != 0, F.lit(_LINE)).alias("wkt_geometry"),
     )
-    return readers.read_rivers(s, _written(rows, "rivers"), position="fid")
+    return written(readers.read_rivers(s, _csv(rows, f"{folder}/rivers.csv"), position="fid"), f"{folder}/rivers")
 
 
-def almanac(s: SparkSession, d: str) -> DataFrame:
+def almanac(s: SparkSession, d: str, folder: str) -> DataFrame:
     k, org = F.col("o_orderkey"), F.col("o_custkey") % 300
     rows = table(s, d, "orders").select(
         k.alias("recordid"), _text(F.year("o_orderdate"), F.when(k % 50 == 0, "a").otherwise("")).alias("year"), F.when(k % 11 != 0, _text("Q", org)).alias("plantation_id"),
@@ -55,85 +73,89 @@ def almanac(s: SparkSession, d: str) -> DataFrame:
         _text(k % 97, ".7").alias("slaven"), F.when(F.col("o_orderstatus") == "P", "Verlaten").when(k % 5 == 0, "ja").alias("deserted"), F.when(k % 4 == 0, "Para Kreek").when(k % 4 == 1, _text("Weg ", k % 8)).alias("loc_std"),
         F.when(k % 3 != 0, _text("D", F.col("o_custkey") % 9)).alias("district_of_divisie"), F.when(k % 17 == 0, _text("P", k % 40)).alias("psur_id"), F.when(k % 101 == 0, _text("Q", k % 300)).alias("split1_id"), F.when(k % 103 == 0, _text("Q", k % 299)).alias("part of_id"),
     )
-    return readers.read_almanac(s, _written(rows, "almanac", encoding="ISO-8859-1"), position="recordid")
+    return written(readers.read_almanac(s, _csv(rows, f"{folder}/almanac.csv", encoding="ISO-8859-1"), position="recordid"), f"{folder}/almanac")
 
 
-def _all(s, d):
-    return entities.plantations(polygons(s, d)), entities.rivers(rivers(s, d)), entities.almanac(almanac(s, d))
+def _all(s, d, folder):
+    return (
+        _tables(entities.plantations(polygons(s, d, folder)), folder, "plantation"),
+        _tables(entities.rivers(rivers(s, d, folder)), folder, "river"),
+        _tables(entities.almanac(almanac(s, d, folder)), folder, "almanac"),
+    )
 
 
-def _features(s, d):
-    return entities.plantations(polygons(s, d))["e25"].select(F.col("fid").cast("long").alias("fid"), "slug", "label", "status", "qid", "qid_alt", F.col("place_uri").isNotNull().alias("placed"))
+def _features(s, d, folder):
+    return entities.plantations(polygons(s, d, folder))["e25"].select(F.col("fid").cast("long").alias("fid"), "slug", "label", "status", "qid", "qid_alt", F.col("place_uri").isNotNull().alias("placed"))
 
 
-def _organizations(s, d):
-    return entities.plantations(polygons(s, d))["e74"].select("qid", "label", "psur_id", "psur_id3", "absorbed_into")
+def _organizations(s, d, folder):
+    return entities.plantations(polygons(s, d, folder))["e74"].select("qid", "label", "psur_id", "psur_id3", "absorbed_into")
 
 
-def _names(s, d):
-    return entities.plantations(polygons(s, d))["e41"].select("pos", "nth", "text", "source_year", F.col("alt_form_of").isNotNull().alias("alternative"))
+def _names(s, d, folder):
+    return entities.plantations(polygons(s, d, folder))["e41"].select("pos", "nth", "text", "source_year", F.col("alt_form_of").isNotNull().alias("alternative"))
 
 
-def _rivers(s, d):
-    return entities.rivers(rivers(s, d))["e26"].select("pos", "slug", "label", "feature_type", "main_body_water", F.col("place_uri").isNotNull().alias("placed"))
+def _rivers(s, d, folder):
+    return entities.rivers(rivers(s, d, folder))["e26"].select("pos", "slug", "label", "feature_type", "main_body_water", F.col("place_uri").isNotNull().alias("placed"))
 
 
-def _observations(s, d):
-    o = entities.almanac(almanac(s, d))["observations"]
+def _observations(s, d, folder):
+    o = entities.almanac(almanac(s, d, folder))["observations"]
     return o.select(F.col("record_id").cast("long").alias("record_id"), "qid", "year_number", "observed_name", "standard_name", "product", "enslaved", "is_deserted", "is_abandoned", "loc_std", "district", "psur_id")
 
 
-def _printed(s, d):
-    t = entities.almanac(almanac(s, d))["e41"]
+def _printed(s, d, folder):
+    t = entities.almanac(almanac(s, d, folder))["e41"]
     return t.select("text", F.regexp_extract("identifies", r"([^/]+)$", 1).alias("qid"), "source_year", F.regexp_extract("uri", "-(org|std)$", 1).alias("kind"), F.col("alt_form_of").isNotNull().alias("alternative"))
 
 
-def _profile(s, d):
-    t = gazetteer.organization_profile(entities.almanac(almanac(s, d))["observations"])
+def _profile(s, d, folder):
+    t = gazetteer.organization_profile(entities.almanac(almanac(s, d, folder))["observations"])
     return t.select("qid", "district", "location", "product", "label", F.array_join("psur_ids", ",").alias("psur_ids"), "first_pos")
 
 
-def _gazetteer(s, d):
-    raw = polygons(s, d)
-    rows = gazetteer.seed(entities.plantations(raw), entities.rivers(rivers(s, d)), entities.almanac(almanac(s, d))["observations"], raw)
+def _gazetteer(s, d, folder):
+    raw = polygons(s, d, folder)
+    rows = gazetteer.seed(entities.plantations(raw), entities.rivers(rivers(s, d, folder)), entities.almanac(almanac(s, d, folder))["observations"], raw, folder=f"{folder}/seed")
     return rows.select("id", "type", "label", "district", "broader", "qid", "fid", "product", F.array_join("psur_ids", ",").alias("psur_ids"), F.array_join("sources", ",").alias("sources"), F.col("lat").isNotNull().alias("placed"))
 
 
-def _graph(s, d):
-    return graph.class_counts(assemble.graph(s, *_all(s, d)))
+def _graph(s, d, folder):
+    return graph.class_counts(assemble.graph(s, *_all(s, d, folder)))
 
 
-def _index(s, d):
-    p, r, a = _all(s, d)
+def _index(s, d, folder):
+    p, r, a = _all(s, d, folder)
     traces = entities.observation_provenance(a["observations"]).select("id", F.to_json(F.struct("year", "rows")).alias("body"))
     index = sinks.index_set(assemble.graph(s, p, r, a), traces)
-    path = shared_path(s, "index")
+    path = f"{folder}/index"
     sinks.indexes(index, path)
     parts = [s.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys")) for name in index]
     return graph.union_all(parts)
 
 
-def _coverage(s, d):
-    return checks.link_coverage(assemble.coverage(*_all(s, d)))
+def _coverage(s, d, folder):
+    return checks.link_coverage(assemble.coverage(*_all(s, d, folder)))
 
 
-def _mergers(s, d):
-    return entities.merger_edges(entities.almanac(almanac(s, d))["observations"])
+def _mergers(s, d, folder):
+    return entities.merger_edges(entities.almanac(almanac(s, d, folder))["observations"])
 
 
-def _map(s, d):
+def _map(s, d, folder):
     """Features of the map as their JSON says."""
-    p, r, _ = _all(s, d)
+    p, r, _ = _all(s, d, folder)
     get = lambda path: F.get_json_object("body", f"$.{path}")
     return assemble.features(p, r).select(
         "pos", get("geometry.type").alias("kind"), get("properties.fid").cast("long").alias("fid"), get("properties.name").alias("name"), get("properties.status").alias("status"), get("properties.qid").alias("qid"), F.json_array_length(get("properties.names")).alias("n_names"),
     )
 
 
-def _presence(s, d):
+def _presence(s, d, folder):
     k = F.col("p_partkey")
-    one = _written(table(s, d, "part").select(F.when(k % 3 != 1, _text("Q", k % 300)).otherwise(F.lit("none")).alias("qid")), "presence", sep=";")
-    two = _written(table(s, d, "customer").select(_text("Q", F.col("c_custkey") % 700).alias("id")), "presence")
+    one = _csv(table(s, d, "part").select(F.when(k % 3 != 1, _text("Q", k % 300)).otherwise(F.lit("none")).alias("qid")), f"{folder}/one.csv", sep=";")
+    two = _csv(table(s, d, "customer").select(_text("Q", F.col("c_custkey") % 700).alias("id")), f"{folder}/two.csv")
     found = readers.read_presence(s, [readers.PresenceSource("map-1930", 1930, one, sep=";"), readers.PresenceSource("register-1850", 1850, two, "id")])
     return found.select("qid", "source_id", "year")
 
@@ -156,7 +178,7 @@ def _streets(s, d):
     return made.unionByName(known)
 
 
-QUERIES = {
+_ARCHIVE = {
     "archive_features": _features,
     "archive_organizations": _organizations,
     "archive_names": _names,
@@ -171,13 +193,13 @@ QUERIES = {
     "archive_mergers": _mergers,
     "archive_map": _map,
     "archive_presence": _presence,
-    "street_import": _streets,
 }
+QUERIES = {name: _kept(make) for name, make in _ARCHIVE.items()} | {"street_import": _streets}
 
 _SLUG = "trim(regexp_replace(lower(trim({})), '[^a-z0-9]+', '-', 'g'), '-')"
 _POLYGONS = """raw AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'P' || p_size END AS psur_id, CASE WHEN p_partkey % 9 = 0 THEN 'X' || p_partkey END AS psur_id3, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS new,
-  CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) END AS old, CASE WHEN p_partkey % 3 <> 1 THEN 'Q' || p_partkey % 300 END AS qid, CASE WHEN p_partkey % 7 = 0 THEN 'Q' || p_partkey % 300 + 1000 END AS qid_alt,
-  CASE WHEN p_partkey % 2 = 0 THEN p_name || '; ' || p_brand END AS label, p_partkey % 6 <> 0 AS placed FROM part)""".replace("'Q' || p_partkey % 300 + 1000", "'Q' || (p_partkey % 300 + 1000)").replace("'Q' || p_partkey % 300 END", "'Q' || (p_partkey % 300) END")
+  CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) END AS old, CASE WHEN p_partkey % 3 <> 1 THEN 'Q' || (p_partkey % 300) END AS qid, CASE WHEN p_partkey % 7 = 0 THEN 'Q' || (p_partkey % 300 + 1000) END AS qid_alt,
+  CASE WHEN p_partkey % 2 = 0 THEN p_name || '; ' || p_brand END AS label, p_partkey % 6 <> 0 AS placed FROM part)"""
 _E25 = f"""{_POLYGONS}, slugged AS (SELECT *, coalesce({_SLUG.format("label")}, 'fid-' || k) AS base FROM raw),
   e25 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY k) > 1 THEN base || '-fid-' || k ELSE base END AS slug, CASE WHEN qid IS NULL AND psur_id IS NULL AND label IS NULL THEN 'unknown' ELSE 'built' END AS status FROM slugged)"""
 _E74 = """said AS (SELECT k, 0 AS nth, qid, label, psur_id, psur_id3, qid_alt AS absorbed_into FROM raw WHERE qid IS NOT NULL UNION ALL SELECT k, 1, qid_alt, NULL, NULL, NULL, NULL FROM raw WHERE qid_alt IS NOT NULL),
@@ -248,7 +270,7 @@ SQL = {
         UNION ALL SELECT 1, k, 'LineString', nullif(k, 0), label, NULL, NULL, (SELECT count(DISTINCT t) FROM (VALUES (e.label), (a), (b), (CASE WHEN c IS DISTINCT FROM a AND c IS DISTINCT FROM b THEN c END)) v(t) WHERE t IS NOT NULL)::INT FROM e26 e WHERE placed)
       SELECT row_number() OVER (ORDER BY stage, k) AS pos, kind, fid, name, status, qid, n_names FROM shown""",
     "archive_presence": """SELECT DISTINCT 'Q' || (p_partkey % 300) AS qid, 'map-1930' AS source_id, 1930 AS year FROM part WHERE p_partkey % 3 <> 1 UNION SELECT DISTINCT 'Q' || (c_custkey % 700), 'register-1850', 1850 FROM customer""",
-    "street_import": """WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 IN (0, 1) THEN NULL ELSE lower(replace(p_brand, '#', ' ')) || ' ' || p_partkey % 4 END AS key FROM part WHERE p_partkey % 8 <> 0),
+    "street_import": """WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 IN (0, 1) THEN NULL ELSE lower(replace(p_brand, '#', ' ')) || ' ' || (p_partkey % 4) END AS key FROM part WHERE p_partkey % 8 <> 0),
         st AS (SELECT coalesce(key, 'unnamed:' || k) AS key, min(k) AS k, count(*) AS ids FROM f GROUP BY 1),
         pl AS (SELECT 'brand ' || n_nationkey || ' 2' AS key, n_nationkey + 1 AS id FROM nation UNION ALL SELECT 'brand ' || (n_nationkey % 5) || ' 2', n_nationkey + 101 FROM nation),
         nm AS (SELECT key, count(*) AS n, min(id) AS id FROM pl GROUP BY key),
@@ -256,5 +278,5 @@ SQL = {
         last AS (SELECT max(id) AS id FROM pl), ins AS (SELECT count(*) AS n FROM o WHERE outcome = 'insert'),
         after AS (SELECT id, CASE WHEN id IN (SELECT id FROM o WHERE outcome = 'update') THEN 'x+map-1916' ELSE 'x' END AS kind FROM pl)
         SELECT 'planned' AS step, outcome AS kind, count(*) AS n, sum(ids)::BIGINT AS total FROM o GROUP BY outcome
-        UNION ALL SELECT 'after', kind, count(*), sum(id)::BIGINT FROM after GROUP BY kind UNION ALL SELECT 'after', 'map-1916', ins.n, (ins.n * last.id + ins.n * (ins.n + 1) // 2)::BIGINT FROM ins, last WHERE ins.n > 0""".replace("' ' || p_partkey % 4", "' ' || (p_partkey % 4)"),
+        UNION ALL SELECT 'after', kind, count(*), sum(id)::BIGINT FROM after GROUP BY kind UNION ALL SELECT 'after', 'map-1916', ins.n, (ins.n * last.id + ins.n * (ins.n + 1) // 2)::BIGINT FROM ins, last WHERE ins.n > 0""",
 }
