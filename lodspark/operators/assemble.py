@@ -61,7 +61,7 @@ def _names(e41: DataFrame) -> DataFrame:
 
 
 def graph(spark: SparkSession, plantation: dict[str, DataFrame], river: dict[str, DataFrame], almanac: dict[str, DataFrame]) -> DataFrame:
-    """All entities: features with their names and depictions, organizations, places, names, sources, productions, spans, types and observations."""
+    """All entities (id, class, body, and pos where a file's row gives one): features with their names and depictions, organizations, places, names, sources, productions, spans, types and observations."""
     p_names = collected(_names(plantation["e41"]), "identifies", "uri", "place", "names")
     r_names = collected(_names(river["e41"]), "identifies", "uri", "place", "names")
     shown = collected(plantation["map_links"], "feature_uri", "map_uri", "pos", "maps")
@@ -74,22 +74,22 @@ def graph(spark: SparkSession, plantation: dict[str, DataFrame], river: dict[str
     production = _base("production/", F.lower("id"))
     visual = plantation["map_links"].withColumn("item", _base("visual-item/", F.concat_ws("-", F.regexp_extract("map_uri", r"([^/]+)$", 1), F.regexp_extract("feature_uri", r"([^/]+)$", 1))))
     obs = first_wins(almanac["observations"], ["uri"], "pos")
-    names = lambda t: t.select(*entity("E41", F.col("uri"), content=F.col("text"), identifies=F.col("identifies"), carried_by=F.nullif("carried_by", F.lit("")), alternative_of=F.col("alt_form_of")))
-    places = lambda t: t.select(*entity("E53", F.col("uri"), fid=F.col("fid").try_cast("int"), label=F.col("observed_label"), geometry=F.col("wkt"), source=F.col("source_uri")))
+    names = lambda t: t.select("pos", *entity("E41", F.col("uri"), content=F.col("text"), identifies=F.col("identifies"), carried_by=F.nullif("carried_by", F.lit("")), alternative_of=F.col("alt_form_of")))
+    places = lambda t: t.select("pos", *entity("E53", F.col("uri"), fid=F.col("fid").try_cast("int"), label=F.col("observed_label"), geometry=F.col("wkt"), source=F.col("source_uri")))
     types = spark.createDataFrame(TYPES, "id string, label string")
     broader = F.when(F.col("id").startswith("plantation-status/"), F.lit(BASE + "type/plantation-status"))
     return union_all([
         src.select(*entity("E22", F.col("uri"), label=F.col("label"), type=_base("type/source-type/", F.col("kind")), carries=F.col("carries"), produced_by=production)),
-        e25.select(*entity("E25", F.col("uri"), label=F.col("label"), status=F.col("status"), owner=owner(F.col("qid")), former_owner=owner(F.col("qid_alt")), place=F.col("place_uri"), identified_by=F.col("names"), depicted_on=F.array_distinct("maps"))),
-        river["e26"].join(r_names, F.col("uri") == F.col("identifies"), "left").select(*entity("E26", F.col("uri"), label=F.col("label"), type=F.col("feature_type"), main_body_water=F.col("main_body_water"), place=F.col("place_uri"), identified_by=F.col("names"))),
-        plantation["e74"].select(*entity("E74", F.col("uri"), label=F.col("label"), psur=F.array_compact(F.array("psur_id", "psur_id2", "psur_id3")), absorbed_into=owner(F.col("absorbed_into")))),
+        e25.select("pos", *entity("E25", F.col("uri"), label=F.col("label"), status=F.col("status"), owner=owner(F.col("qid")), former_owner=owner(F.col("qid_alt")), place=F.col("place_uri"), identified_by=F.col("names"), depicted_on=F.array_distinct("maps"))),
+        river["e26"].join(r_names, F.col("uri") == F.col("identifies"), "left").select("pos", *entity("E26", F.col("uri"), label=F.col("label"), type=F.col("feature_type"), main_body_water=F.col("main_body_water"), place=F.col("place_uri"), identified_by=F.col("names"))),
+        plantation["e74"].select("pos", *entity("E74", F.col("uri"), label=F.col("label"), psur=F.array_compact(F.array("psur_id", "psur_id2", "psur_id3")), absorbed_into=owner(F.col("absorbed_into")))),
         places(plantation["e53"]), places(river["e53"]),
         names(plantation["e41"]), names(river["e41"]), names(almanac["e41"]),
         visual.groupBy("item").agg(F.min("feature_uri").alias("f"), F.min("map_uri").alias("m")).select(*entity("E36", F.col("item"), represents=F.col("f"), carried_by=F.col("m"))),
         types.select(*entity("E55", _base("type/", F.col("id")), label=F.col("label"), broader=broader)),
         time_spans(almanac).select(*entity("E52", F.col("id"), label=F.col("year"), begin=F.concat("year", F.lit("-01-01")), end=F.concat("year", F.lit("-12-31")))),
         src.select(*entity("E12", production, label=F.concat(F.lit("Production of "), "label"), produced=F.col("uri"), time_span=_base("timespan/", F.col("year")))),
-        obs.select(*entity("E13", F.col("uri"), about=F.col("org_uri"), year=F.col("year"), name=F.col("observed_name"), product=F.col("product"), deserted=F.col("is_deserted"), source=F.col("source_uri"), size=F.nullif("size_akkers", F.lit("")).try_cast("int"))),
+        obs.select("pos", *entity("E13", F.col("uri"), about=F.col("org_uri"), year=F.col("year"), name=F.col("observed_name"), product=F.col("product"), deserted=F.col("is_deserted"), source=F.col("source_uri"), size=F.nullif("size_akkers", F.lit("")).try_cast("int"))),
     ])
 
 

@@ -63,7 +63,9 @@ def merge(table: DataFrame, requests: DataFrame, key: str = "id", kept: DataFram
 
     Outcomes: 400 equal or missing ids or one merged before, 404 unknown, 409 for a pair that meets an
     earlier valid one of the batch - it names a record that was to be retired, or would retire one that was to
-    be kept - and can be sent again once that one is decided. So a batch never makes a chain.
+    be kept - and can be sent again once that one is decided. Valid is what the table alone allows: an
+    earlier pair that is itself refused with 409 blocks as well, so of (1, 2), (2, 3), (3, 4) the first is
+    done and both others are refused. So a batch is judged in one pass and never makes a chain.
     """
     state = table.select(F.col(key).alias("k"), F.col("merged_into").isNotNull().alias("gone"))
     at = F.col("at") if "at" in requests.columns else F.lit(None).cast("string")

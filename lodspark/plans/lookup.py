@@ -165,8 +165,8 @@ def _provenance(s, d):
         table(s, d, "customer").select(text("c", "c_custkey").alias("src"), text("n", "c_nationkey").alias("dst")),
         table(s, d, "nation").select(text("n", "n_nationkey").alias("src"), text("r", "n_regionkey").alias("dst")),
     ])
-    reached = graph.hops(edges, 3).filter(F.col("dst").startswith("r"))
-    return reached.groupBy("dst", "depth").agg(F.count(F.lit(1)).alias("n"))
+    # Every node has one edge, so walks are as many as the nodes that they start from.
+    return graph.walk_counts(edges, 3).filter(F.col("dst").startswith("r"))
 
 
 def _provenance_of_lines(s, d):
@@ -399,6 +399,10 @@ SQL = {
     "provenance_depth": """SELECT dst, depth, count(*) AS n FROM (
         SELECT 'r' || n_regionkey AS dst, 1 AS depth FROM nation UNION ALL SELECT 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY dst, depth""",
+    "provenance_depth_lines": """SELECT dst, depth, count(*) AS n FROM (
+        SELECT 'r' || n_regionkey AS dst, 1 AS depth FROM nation UNION ALL SELECT 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey
+        UNION ALL SELECT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        UNION ALL SELECT 'r' || n_regionkey, 4 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY dst, depth""",
     "upsert_places": """SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'new ' || p_name FROM part""",
     "patch_places": f"WITH {_PLACES} SELECT id, CASE WHEN id % 4 = 0 THEN 'patched' WHEN id % 2 = 0 THEN NULL ELSE label END AS label, size FROM places",
     "active_type_guard": """WITH r AS (SELECT * FROM (VALUES ('BUILDING', NULL), ('MACHINERY', 'BUILDING'), ('UNUSED', NULL), ('NONE', NULL)) v(type, replaced_by)),

@@ -18,7 +18,8 @@ def _slugs(s, d):
 
 
 def _labels(s, d):
-    return table(s, d, "documents").select("doc_id", F.sha2(text.normalize_label("text"), 256).alias("label_hash"), F.length(text.normalize_label("text")).alias("label_chars"))
+    labels = table(s, d, "documents").select("doc_id", text.normalize_label("text").alias("label"))
+    return labels.select("doc_id", F.sha2("label", 256).alias("label_hash"), F.length("label").alias("label_chars"))
 
 
 def _variants(s, d):

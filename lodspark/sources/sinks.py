@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -74,7 +75,7 @@ INDEXES = [
 
 
 def index_set(graph: DataFrame, provenance: DataFrame) -> dict[str, DataFrame]:
-    """The eight keyed tables of a graph (id, class, body): `key, id, body`, by id (the last entity of an id wins), names by what they name and observations by organization.
+    """The eight keyed tables of a graph (id, class, body, pos): `key, id, body`, by id (the last entity of an id by `pos` wins, without one the greatest text), names by what they name and observations by organization.
 
     Names and observations without such a key are left out, as are entities of other classes.
     Grouped entries stay rows, so no list of a key has to fit in one.
@@ -91,7 +92,7 @@ def index_set(graph: DataFrame, provenance: DataFrame) -> dict[str, DataFrame]:
 
 
 def _by_id(rows: DataFrame) -> DataFrame:
-    last = F.max_by("body", "pos") if "pos" in rows.columns else F.max("body")
+    last = F.max_by("body", F.struct("pos", "body")) if "pos" in rows.columns else F.max("body")
     return rows.groupBy("id").agg(last.alias("body")).select(F.col("id").alias("key"), "id", "body")
 
 
@@ -105,6 +106,10 @@ class Conflict(RuntimeError):
     """Another writer has made the snapshot that this one was to become."""
 
 
+#: Age at which a claim to a version is taken for that of a writer that is gone.
+CLAIM_SECONDS = 3600
+
+
 class SnapshotStore:
     """Numbered snapshots of one table. A write names the version it has read; of two such writers one fails."""
 
@@ -150,7 +155,10 @@ class SnapshotStore:
         of = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(where, name)
         version = read_version + 1
         try:
-            if not fs.createNewFile(of(f"_claim-{version}")):
+            claim = of(f"_claim-{version}")
+            if fs.exists(claim) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > CLAIM_SECONDS * 1000:
+                fs.delete(claim, False)  # its writer was killed: a rename takes no such time
+            if not fs.createNewFile(claim):
                 raise Conflict(f"{version} is being written")
             try:
                 if self.version() != read_version:
