@@ -65,13 +65,22 @@ class PlaceQuery:
     descending: bool | None = None
 
     def run(self, places: DataFrame) -> DataFrame:
-        """Places that the query keeps, in its order. Columns: id, type, label, names, sources, documents, deprecated, merged_into and the sort key."""
+        """Places that the query keeps, in its order. Columns: id, type, label, names, sources, documents, deprecated, merged_into and the sort key.
+
+        The text may be in id, label and names, and in district, location, psur_ids and external_links
+        (authority, identifier) where places have these. Sorted by `links`, places without any come last.
+        """
+        have = set(places.columns)
         tags = F.when(F.size(F.coalesce("documents", F.array())) > 0, F.array_append("sources", F.lit("documents"))).otherwise(F.col("sources"))
         keep = visible(F.col("deprecated"), F.col("merged_into"), self.show_merged)
         if self.types:
             keep &= F.col("type").isin(self.types)
         keep &= facet(tags, self.sources, self.mode, self.exclude)
-        keep &= contains(self.text, F.col("id"), F.col("label"), lists=(F.col("names"),))
+        links = F.coalesce("external_links", F.array()) if "external_links" in have else None
+        lists = [F.col(c) for c in ("names", "psur_ids") if c in have] + ([links["authority"], links["identifier"]] if links is not None else [])
+        keep &= contains(self.text, *[F.col(c) for c in ("id", "label", "district", "location") if c in have], lists=tuple(lists))
+        if self.sort == "links" and links is not None:
+            return places.filter(keep).orderBy(order(F.nullif(F.size(links), F.lit(0)), bool(self.descending)), "id")
         boolean = dict(places.dtypes)[self.sort] == "boolean"
         down = boolean if self.descending is None else self.descending
         return places.filter(keep).orderBy(order(F.col(self.sort).cast("int") if boolean else F.col(self.sort), down), "id")

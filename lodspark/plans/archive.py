@@ -135,6 +135,17 @@ def _index(s, d, folder):
     return graph.union_all(parts)
 
 
+def _report(s, d, folder):
+    return checks.report(assemble.graph(s, *_all(s, d, folder)))
+
+
+def _unmet(s, d, folder):
+    """Links of the graph that end at no entity, by key."""
+    g = written(assemble.graph(s, *_all(s, d, folder)), f"{folder}/graph")
+    links = checks.ends(g, ["place", "identifies", "owner", "former_owner", "carried_by", "source", "about", "represents", "produced_by"])
+    return links.join(g.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("n_ends"))
+
+
 def _coverage(s, d, folder):
     return checks.link_coverage(assemble.coverage(*_all(s, d, folder)))
 
@@ -190,6 +201,8 @@ _ARCHIVE = {
     "archive_graph": _graph,
     "archive_index": _index,
     "archive_coverage": _coverage,
+    "archive_report": _report,
+    "archive_unmet": _unmet,
     "archive_mergers": _mergers,
     "archive_map": _map,
     "archive_presence": _presence,
@@ -259,6 +272,11 @@ SQL = {
       long AS (SELECT unnest([{{'c': 'plantations', 'n': e25, 'k': e25}}, {{'c': 'physical_features', 'n': e26, 'k': e26}}, {{'c': 'organizations', 'n': e74, 'k': e74}}, {{'c': 'places', 'n': e53, 'k': e53}}, {{'c': 'sources', 'n': years + 2, 'k': years + 2}},
         {{'c': 'appellations_by_entity', 'n': e41, 'k': named}}, {{'c': 'observations_by_org', 'n': about, 'k': orgs}}, {{'c': 'provenance', 'n': years, 'k': years}}]) AS x FROM counts, more)
       SELECT x.c AS name, x.n AS n, x.k AS n_keys FROM long""",
+    "archive_report": f"""{_COUNTS}, x AS (SELECT (SELECT count(*) FROM raw WHERE placed) AS p, (SELECT count(*) FROM e26 WHERE placed) AS r, (SELECT count(qid) FROM obs) AS org, (SELECT count(DISTINCT source_year) FROM anames) AS named, (SELECT count(*) FROM raw WHERE new IS NOT NULL OR old IS NOT NULL) AS shown)
+      SELECT u.c AS "check", u.l::BIGINT AS linked, u.t::BIGINT AS total FROM (SELECT unnest([{{'c': 'retired class E24', 'l': 0, 't': 0}}, {{'c': 'E25 with location', 'l': p, 't': e25}}, {{'c': 'E26 with location', 'l': r, 't': e26}}, {{'c': 'E41 with content', 'l': e41, 't': e41}},
+        {{'c': 'E13 with organization', 'l': org, 't': e13}}, {{'c': 'E13 with class', 'l': e13, 't': e13}}, {{'c': 'E13 with year', 'l': e13, 't': e13}}, {{'c': 'E22 carrying something', 'l': named + 2, 't': years + 2}}, {{'c': 'E25 with representation', 'l': shown, 't': e25}},
+        {{'c': 'E25 with type', 'l': e25, 't': e25}}, {{'c': 'E22 with production', 'l': years + 2, 't': years + 2}}, {{'c': 'E12 with product', 'l': years + 2, 't': years + 2}}, {{'c': 'E12 with maker', 'l': 0, 't': years + 2}}, {{'c': 'E12 with place', 'l': 0, 't': years + 2}},
+        {{'c': 'E36 with content', 'l': 0, 't': e36}}, {{'c': 'E36 with keeper', 'l': 0, 't': e36}}, {{'c': 'Polygons in the country', 'l': p, 't': p}}, {{'c': 'Linestrings in the country', 'l': r, 't': r}}]) AS u FROM counts, x)""",
     "archive_coverage": f"""WITH {_E25}, {_E41}, {_RIVERS}, {_ALMANAC}, {_PRINTED}
       SELECT 'E25' AS entity, 'owner' AS link, count(qid) AS linked, count(*) AS total FROM raw UNION ALL SELECT 'E25', 'former_owner', count(qid_alt), count(*) FROM raw UNION ALL SELECT 'E25', 'place', count(*) FILTER (placed), count(*) FROM raw
       UNION ALL SELECT 'E26', 'place', count(*) FILTER (placed), count(*) FROM e26

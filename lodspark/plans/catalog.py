@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, history, linking, lookup, networks, polygons, quality, text_geo, timelines
+from . import archive, history, linking, lookup, networks, polygons, quality, records, text_geo, timelines
 
-_PARTS = (archive, history, lookup, text_geo, quality, networks, timelines, polygons, linking)
+_PARTS = (archive, history, lookup, text_geo, quality, networks, timelines, polygons, linking, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

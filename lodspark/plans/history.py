@@ -51,7 +51,7 @@ def _mentions(spark, d):
 
 def _presence(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("returns-"), "l_returnflag").alias("source_id"), F.year("l_shipdate").alias("year"))
-    return assertions.present_in(table(spark, d, "part"), line.filter("source_id = 'returns-R' and year = 1996"), "p_partkey")
+    return assertions.present_in(table(spark, d, "part"), line, "p_partkey")
 
 
 def _attached(spark, d, force):
@@ -169,7 +169,7 @@ SQL = {
     "product_spans": f"WITH {_PRODUCT} SELECT * FROM products",
     "lifecycle_timeline": f"{_BOTH} SELECT *, row_number() OVER (PARTITION BY org ORDER BY start_year NULLS LAST, kind, value)::INT AS seq FROM both_kinds",
     "mention_range": f"{_BOTH} SELECT org, min(start_year) AS first_year, max(coalesce(end_year, start_year)) AS last_year FROM both_kinds GROUP BY org",
-    "presence_assertions": "SELECT DISTINCT l_partkey AS p_partkey, 'returns-R' AS source_id, 1996 AS start_year FROM lineitem SEMI JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND year(l_shipdate) = 1996",
+    "presence_assertions": "SELECT DISTINCT l_partkey AS p_partkey, 'returns-' || l_returnflag AS source_id, year(l_shipdate)::INT AS start_year FROM lineitem SEMI JOIN part ON l_partkey = p_partkey",
     "attach_assertions": _sql_attached("FALSE", "SELECT org, CASE outcome WHEN 'patched' THEN fresh ELSE CASE WHEN manual THEN 'manual' ELSE '' END END AS assertions, outcome FROM judged"),
     "patch_counters": _sql_attached("FALSE", "SELECT outcome, count(*) AS n FROM judged GROUP BY outcome"),
     "patch_counters_forced": _sql_attached("TRUE", "SELECT outcome, count(*) AS n FROM judged GROUP BY outcome"),

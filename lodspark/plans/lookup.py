@@ -38,7 +38,7 @@ def _ambiguous(s, d):
 
 
 def _anti(s, d):
-    o = table(s, d, "orders").filter(F.year("o_orderdate") == 2000).select(F.col("o_custkey").alias("c_custkey"))
+    o = table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return detail.without(table(s, d, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -51,8 +51,8 @@ def _anti_conditional(s, d):
 
 def _categories(s, d):
     n = table(s, d, "nation")
-    c = table(s, d, "customer").filter("c_acctbal > 9000").withColumnRenamed("c_nationkey", "n_nationkey")
-    return detail.category_counts(n, c, "n_nationkey", n=F.lit(True), n_building=F.col("c_mktsegment") == "BUILDING").select("n_name", "n", "n_building")
+    c = table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return detail.category_counts(n, c, "n_nationkey", n=F.col("c_acctbal") > 9000, n_building=F.col("c_mktsegment") == "BUILDING").select("n_name", "n", "n_building")
 
 
 def _tree(s, d):
@@ -147,7 +147,7 @@ def _coverage(s, d):
 
 
 def _unlinked(s, d):
-    li = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return detail.unlinked_percent(table(s, d, "orders"), li, "o_orderkey").select(F.col("percent").alias("unlinked_pct"))
 
 
@@ -195,14 +195,15 @@ def _upsert(s, d):
 
 
 def _patch(s, d):
-    patch = _places(s, d).filter("id % 2 = 0").select("id", F.array(F.lit("label")).alias("has"), F.when(F.col("id") % 4 == 0, F.lit("patched")).alias("label"), F.lit(0.0).alias("size"))
+    patch = _places(s, d).select("id", F.array(F.when(F.col("id") % 2 == 0, "label").otherwise("size")).alias("has"), F.when(F.col("id") % 4 == 0, F.lit("patched")).alias("label"), F.lit(0.0).alias("size"))
     return store.overlay(_places(s, d).select("id", "label", "size"), patch, "id", ["label", "size"])
 
 
 def _guard(s, d):
     places = table(s, d, "customer").select(F.col("c_mktsegment").alias("type"), (F.col("c_acctbal") < 0).alias("deprecated"), F.lit(None).cast("string").alias("merged_into"))
     types = places.select("type").distinct().unionByName(s.createDataFrame([("UNUSED",)], "type string"))
-    requests = s.createDataFrame([("BUILDING", None), ("MACHINERY", "BUILDING"), ("UNUSED", None), ("NONE", None)], "type string, replaced_by string")
+    named = types.unionByName(table(s, d, "part").select(F.col("p_brand").alias("type")).distinct())
+    requests = named.withColumn("replaced_by", F.when(F.col("type") == "MACHINERY", "BUILDING"))
     return store.type_guard(types, places, requests)
 
 
@@ -328,7 +329,7 @@ QUERIES = {
     "keyed_union": _keyed_union,
     "name_merge_origin": _origin,
     "graph_union_counts": lambda s, d: graph.class_counts(_graph(s, d)),
-    "graph_entities": lambda s, d: _graph(s, d).filter("class in ('E53', 'E55')"),
+    "graph_entities": _graph,
     "appellations_by_entity": _by_entity,
     "observations_by_org": _by_org,
     "validation_report": _report,
@@ -366,10 +367,10 @@ SQL = {
     "ambiguous_match": """WITH k AS (SELECT lower(p_name) AS name, count(*) AS n, min(p_partkey) AS target FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
         i AS (SELECT lower(p_name) AS name, min(p_partkey) AS item FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
         SELECT name, item, CASE WHEN n = 1 THEN target END AS match, CASE WHEN n = 1 THEN 'update' WHEN n > 1 THEN 'conflict' ELSE 'insert' END AS outcome FROM i LEFT JOIN k USING (name)""",
-    "anti_orgs": "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE year(o_orderdate) = 2000) ON o_custkey = c_custkey",
+    "anti_orgs": "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey",
     "anti_conditional": "SELECT p_partkey, p_size FROM part WHERE NOT (p_size > 25 AND lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size < 10))",
-    "category_left_outer": """SELECT n_name, count(c_custkey) AS n, count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS n_building
-        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_nationkey, n_name""",
+    "category_left_outer": """SELECT n_name, count(CASE WHEN c_acctbal > 9000 THEN 1 END) AS n, count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS n_building
+        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""",
     "concept_tree": """WITH RECURSIVE c AS (SELECT 'r' || r_regionkey AS id, NULL AS broader FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
         tree AS (SELECT id, id AS top, 0 AS depth FROM c WHERE broader IS NULL UNION ALL SELECT c.id, t.top, t.depth + 1 FROM c JOIN tree t ON c.broader = t.id) SELECT * FROM tree""",
     "type_lookup_default": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END::INT AS sort FROM customer",
@@ -385,7 +386,9 @@ SQL = {
     "graph_union_counts": """SELECT class, count(*) AS n FROM (SELECT 'E55' AS class FROM region UNION ALL SELECT 'E53' FROM nation UNION ALL SELECT 'E74' FROM customer UNION ALL SELECT 'E25' FROM supplier
         UNION ALL SELECT 'E13' FROM orders UNION ALL SELECT 'E41' FROM part) GROUP BY ROLLUP (class)""",
     "graph_entities": """SELECT 'type/' || r_regionkey AS id, 'E55' AS class, '{"label":"' || r_name || '"}' AS body FROM region
-        UNION ALL SELECT 'place/' || n_nationkey, 'E53', '{"label":"' || n_name || '","within":"type/' || n_regionkey || '"}' FROM nation""",
+        UNION ALL SELECT 'place/' || n_nationkey, 'E53', '{"label":"' || n_name || '","within":"type/' || n_regionkey || '"}' FROM nation
+        UNION ALL SELECT 'org/' || c_custkey, 'E74', '{"label":"' || c_name || '","at":"place/' || c_nationkey || '"}' FROM customer UNION ALL SELECT 'feature/' || s_suppkey, 'E25', '{"label":"' || s_name || '","at":"place/' || s_nationkey || '"}' FROM supplier
+        UNION ALL SELECT 'obs/' || o_orderkey, 'E13', '{"about":"org/' || o_custkey || '"}' FROM orders UNION ALL SELECT 'name/' || p_partkey, 'E41', '{"text":"' || p_name || '"}' FROM part""",
     "appellations_by_entity": "SELECT p_brand, count(*) AS n, min(p_name) AS first_name, max(p_name) AS last_name, count(DISTINCT p_name) AS n_names FROM part GROUP BY p_brand",
     "observations_by_org": "SELECT o_custkey AS custkey, count(*) AS n, year(min(o_orderdate))::INT AS first_year, year(max(o_orderdate))::INT AS last_year FROM orders GROUP BY o_custkey",
     "validation_report": """SELECT count(*) AS n, count(*) FILTER (seen) AS with_observation, count(*) FILTER (n_name IS NOT NULL) AS with_place, count(*) FILTER (c_acctbal < 0) AS negative,
@@ -393,7 +396,7 @@ SQL = {
     "column_coverage": """SELECT x.column_name, x.present, total, round(x.present / total, 6) AS share FROM (
         SELECT count(*) AS total, unnest([{'column_name': 'c_custkey', 'present': count(c_custkey)}, {'column_name': 'balance', 'present': count(*) FILTER (c_acctbal > 0)},
                {'column_name': 'segment', 'present': count(*) FILTER (c_mktsegment <> 'BUILDING')}]) AS x FROM customer)""",
-    "unlinked_pct": "SELECT round(avg(CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN 0 ELSE 1 END) * 100, 1) AS unlinked_pct FROM orders",
+    "unlinked_pct": "SELECT round(avg(CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 0 ELSE 1 END) * 100, 1) AS unlinked_pct FROM orders",
     "role_unpivot": """SELECT role, value, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM (
         SELECT l_orderkey, 'l_returnflag' AS role, l_returnflag AS value FROM lineitem UNION ALL SELECT l_orderkey, 'l_linestatus', l_linestatus FROM lineitem) GROUP BY role, value""",
     "provenance_depth": """SELECT dst, depth, count(*) AS n FROM (
@@ -404,10 +407,10 @@ SQL = {
         UNION ALL SELECT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT 'r' || n_regionkey, 4 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY dst, depth""",
     "upsert_places": """SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'new ' || p_name FROM part""",
-    "patch_places": f"WITH {_PLACES} SELECT id, CASE WHEN id % 4 = 0 THEN 'patched' WHEN id % 2 = 0 THEN NULL ELSE label END AS label, size FROM places",
-    "active_type_guard": """WITH r AS (SELECT * FROM (VALUES ('BUILDING', NULL), ('MACHINERY', 'BUILDING'), ('UNUSED', NULL), ('NONE', NULL)) v(type, replaced_by)),
+    "patch_places": f"WITH {_PLACES} SELECT id, CASE WHEN id % 4 = 0 THEN 'patched' WHEN id % 2 = 0 THEN NULL ELSE label END AS label, CASE WHEN id % 2 = 0 THEN size ELSE 0 END AS size FROM places",
+    "active_type_guard": """WITH r AS (SELECT type, CASE WHEN type = 'MACHINERY' THEN 'BUILDING' END AS replaced_by FROM (SELECT DISTINCT c_mktsegment AS type FROM customer UNION ALL SELECT DISTINCT p_brand FROM part UNION ALL SELECT 'UNUSED')),
         u AS (SELECT c_mktsegment AS type, count(*) FILTER (c_acctbal >= 0) AS n FROM customer GROUP BY 1)
-        SELECT type, coalesce(n, 0) AS n_active, CASE WHEN type = 'NONE' THEN '404' WHEN coalesce(n, 0) > 0 AND replaced_by IS NULL THEN '409' ELSE '200' END AS status FROM r LEFT JOIN u USING (type)""",
+        SELECT type, coalesce(n, 0) AS n_active, CASE WHEN type LIKE 'Brand%' THEN '404' WHEN coalesce(n, 0) > 0 AND replaced_by IS NULL THEN '409' ELSE '200' END AS status FROM r LEFT JOIN u USING (type)""",
     "dataset_bridge": """SELECT c_nationkey, count(*) AS n_customers, coalesce(max(n), 0) AS n_suppliers FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY c_nationkey""",
     "save_places": """WITH old AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'river' ELSE 'plantation' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'Q' || s_suppkey END AS qid FROM supplier),
         r AS (SELECT p_partkey % 1500 AS id, p_name, p_partkey, p_size > 5 AS good, row_number() OVER (PARTITION BY p_partkey % 1500, p_size > 5 ORDER BY p_partkey::VARCHAR) AS nth FROM part),

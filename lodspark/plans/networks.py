@@ -1,10 +1,10 @@
-"""Queries on successors and ancestors."""
+"""Queries on successors, ancestors and neighbourhoods."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodspark.operators import succession
+from lodspark.operators import neighbourhood, succession
 
 from .tables import table
 
@@ -26,9 +26,26 @@ def _ancestors(s, d):
     return found.select("child", "ancestor", "generation", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-QUERIES = {"successors": _successors, "ancestors": _ancestors}
+def _neighbours(s, d):
+    """Around every customer: the four latest orders and the nation, and the three richest suppliers of that nation."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    o, c, v = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "supplier")
+    relations = {
+        "observed": (o.select(text("c", "o_custkey").alias("src"), text("o", "o_orderkey").alias("dst"), (-F.unix_date(F.to_date("o_orderdate")).cast("double")).alias("rank")), 4),
+        "at": (c.select(text("c", "c_custkey").alias("src"), text("n", "c_nationkey").alias("dst"), F.lit(0.0).alias("rank")), 1),
+        "holds": (v.select(text("n", "s_nationkey").alias("src"), text("s", "s_suppkey").alias("dst"), (-F.col("s_acctbal")).alias("rank")), 3),
+    }
+    return neighbourhood.expand(c.select(text("c", "c_custkey").alias("id")), relations, [["observed", "at"], ["holds"]])[1]
+
+
+QUERIES = {"entity_neighbours": _neighbours, "successors": _successors, "ancestors": _ancestors}
 
 SQL = {
+    "entity_neighbours": """WITH o AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'o' || o_orderkey)::INT AS place FROM orders),
+        v AS (SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, 's' || s_suppkey)::INT AS place FROM supplier)
+        SELECT src AS root, 'observed' AS relation, src, dst, place FROM o WHERE place <= 4 AND src IN (SELECT 'c' || c_custkey FROM customer)
+        UNION ALL SELECT 'c' || c_custkey, 'at', 'c' || c_custkey, 'n' || c_nationkey, 1 FROM customer
+        UNION ALL SELECT 'c' || c_custkey, 'holds', src, dst, place FROM customer JOIN v ON src = 'n' || c_nationkey WHERE place <= 3""",
     "successors": """WITH RECURSIVE p AS (
           SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_acctbal < 5000 AND c_custkey > 2
           UNION ALL SELECT c_custkey, c_custkey // 2 + 1 FROM customer WHERE c_acctbal < 5000 AND c_custkey > 2 AND c_mktsegment = 'BUILDING'),

@@ -134,8 +134,8 @@ def _reproject(s, d):
 def _near(s, d):
     lat, lng = 3.0 + (F.col("s_suppkey") % 100) / 50.0, -57.0 + F.col("s_acctbal") / 5000.0
     points = table(s, d, "supplier").select("s_suppkey", lat.alias("lat"), lng.alias("lng"))
-    found = detail.near(points, s.createDataFrame([(4.0, -56.0)], "lat double, lng double"), 80.0)
-    return found.select("s_suppkey", "km")
+    around = table(s, d, "region").select("r_regionkey", (3.2 + F.col("r_regionkey") / 4.0).alias("lat"), (-57.0 + F.col("r_regionkey") / 2.0).alias("lng"))
+    return detail.near(points, around, 80.0).select("s_suppkey", "r_regionkey", "km")
 
 
 def _near_all(s, d):
@@ -224,8 +224,8 @@ SQL = {
     "bbox": f"WITH {_LINES} SELECT label, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM pts GROUP BY label",
     # Plain decimals would be exact numbers of few digits in this dialect.
     "reproject_points": re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", _reproject_sql()),
-    "haversine_near": """SELECT s_suppkey, km FROM (SELECT s_suppkey, round(2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - 4.0) / 2), 2) + cos(radians(4.0)) * cos(radians(lat)) * pow(sin(radians(lng + 56.0) / 2), 2)), 1.0)), 3) AS km
-        FROM (SELECT s_suppkey, 3.0::DOUBLE + (s_suppkey % 100) / 50.0 AS lat, -57.0::DOUBLE + s_acctbal / 5000.0 AS lng FROM supplier) WHERE lat BETWEEN 3.0 AND 5.0 AND lng BETWEEN -57.5 AND -54.5) WHERE km <= 80""",
+    "haversine_near": """SELECT s_suppkey, r_regionkey, km FROM (SELECT s_suppkey, r_regionkey, round(2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - b) / 2), 2) + cos(radians(b)) * cos(radians(lat)) * pow(sin(radians(lng - l) / 2), 2)), 1.0)), 3) AS km
+        FROM (SELECT s_suppkey, 3.0::DOUBLE + (s_suppkey % 100) / 50.0 AS lat, -57.0::DOUBLE + s_acctbal / 5000.0 AS lng FROM supplier), (SELECT r_regionkey, 3.2::DOUBLE + r_regionkey / 4.0 AS b, -57.0::DOUBLE + r_regionkey / 2.0 AS l FROM region)) WHERE km <= 80""",
     "near_pairs": """SELECT s_suppkey, n_nationkey, km FROM (SELECT s_suppkey, n_nationkey, round(2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - b) / 2), 2) + cos(radians(b)) * cos(radians(lat)) * pow(sin(radians(lng - l) / 2), 2)), 1.0)), 3) AS km
         FROM (SELECT s_suppkey, 3.0::DOUBLE + (s_suppkey % 100) / 50.0 AS lat, -57.0::DOUBLE + s_acctbal / 5000.0 AS lng FROM supplier), (SELECT n_nationkey, 3.0::DOUBLE + n_nationkey / 12.0 AS b, -57.0::DOUBLE + n_nationkey / 15.0 AS l FROM nation)) WHERE km <= 40""",
 }

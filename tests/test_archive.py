@@ -205,3 +205,21 @@ def test_place_query(spark):
     assert ids() == ["a", "b"] and ids(show_merged=True) == ["a", "b", "d"]
     assert ids(sources=["map-1930", "documents"], mode="and") == ["a"] and ids(sources=["x", "documents"]) == ["a", "b"] and ids(exclude=["x"]) == ["a"]
     assert ids(text=" ALF ") == ["a"] and ids(types=["river"], show_merged=True, sort="flag") == ["b", "d"]
+
+
+def test_place_query_looks_into_all_fields(spark):
+    kind = "id string, type string, label string, names array<string>, sources array<string>, documents array<string>, deprecated boolean, merged_into string, district string, location string, psur_ids array<string>, external_links array<struct<authority:string,identifier:string>>"
+    rows = [("a", "x", "Alpha", None, [], [], False, None, "Para", None, ["P12"], [("wikidata", "Q77")]), ("b", "x", "Beta", ["Other"], [], [], None, None, None, "at the Creek", None, None), ("c", "x", None, None, [], [], None, None, None, None, None, [("geonames", "9"), ("wikidata", "Q1")])]
+    places = spark.createDataFrame(rows, kind)
+    ids = lambda **k: [r.id for r in placequery.PlaceQuery(**k).run(places).collect()]
+    assert ids(text="para") == ["a"] and ids(text="p1") == ["a"] and ids(text="q77") == ["a"] and ids(text="WIKI") == ["a", "c"] and ids(text="creek") == ["b"] and ids(text="other") == ["b"]
+    assert ids(sort="links") == ["a", "c", "b"] and ids(sort="links", descending=True) == ["c", "a", "b"]
+
+
+def test_ends_and_report_of_a_graph(spark):
+    g = spark.createDataFrame([("a", "E25", '{"place":"p","owner":"nobody","depicted_on":[]}'), ("p", "E53", '{"geometry":"POLYGON((-55 4, -54 4, -54 5, -55 4))"}'), ("q", "E53", '{"geometry":"POLYGON((5 4, 6 4, 6 5, 5 4))"}'), ("n", "E41", '{"content":" ","identifies":["a","zz"]}'), ("o", "E24", "{}")], "id string, class string, body string")
+    told = {r.check: (r.linked, r.total) for r in checks.report(g).collect()}
+    assert len(told) == 18 and told["retired class E24"] == (1, 1) and told["E25 with location"] == (1, 1) and told["E25 with representation"] == (0, 1) and told["E41 with content"] == (0, 1) and told["Polygons in the country"] == (1, 2)
+    assert sorted(map(tuple, checks.ends(g, ["place", "owner", "identifies"]).collect())) == [("a", "owner", "nobody"), ("a", "place", "p"), ("n", "identifies", "a"), ("n", "identifies", "zz")]
+    plan = checks.report(g)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
