@@ -1,4 +1,4 @@
-"""Queries on histories of records."""
+"""Queries on histories of records and on the index to search them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodspark.operators.changelog import ChangeLog
 from lodspark.operators.scratch import shared_path, workspace, written
+from lodspark.operators.searchindex import TrigramIndex
 
 from .tables import table
 
@@ -28,9 +29,22 @@ def _states(s, d):
         return written(versions[0].unionByName(versions[1]).unionByName(versions[2]).unionByName(said), shared_path(s, "record-states"))
 
 
-QUERIES = {"record_states": _states}
+def _search(s, d):
+    """Parts in two segments of an index, searched for pieces of their own names, types and brands."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.array("p_type", "p_brand").alias("tags"))
+    queries = table(s, d, "part").select(F.explode(F.array(F.substring("p_name", 3, 5), F.concat(F.lit("#"), F.substring("p_brand", 7, 9)), F.substring("p_type", 1, 2), F.upper(F.substring("p_name", 1, 4)))).alias("query"))
+    with workspace(s, "search") as folder:
+        index = TrigramIndex(s, f"{folder}/index", ["p_name", "tags"])
+        index.append(p.filter("id % 3 = 0"), "id")
+        index.append(p.filter("id % 3 <> 0"), "id")
+        return written(index.search(queries), shared_path(s, "search-result"))
+
+
+QUERIES = {"record_states": _states, "indexed_search": _search}
 
 SQL = {
+    "indexed_search": """WITH q AS (SELECT DISTINCT trim(q) AS query FROM (SELECT unnest([p_name[3:7], '#' || p_brand[7:], p_type[1:2], upper(p_name[1:4])]) AS q FROM part) WHERE trim(q) <> '')
+        SELECT query, p_partkey AS id FROM part JOIN q ON contains(lower(p_name), lower(query)) OR contains(lower(p_type), lower(query)) OR contains(lower(p_brand), lower(query))""",
     "record_states": """WITH o AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1),
         one AS (SELECT c_custkey AS id, c_name AS label, NULL::BIGINT AS size, c_mktsegment AS kind, c_acctbal AS b FROM customer),
         two AS (SELECT coalesce(one.id, o.id) AS id, label, n AS size, CASE WHEN o.id IS NULL THEN kind WHEN n > 9 THEN 'busy' END AS kind, b, o.id IS NOT NULL AS touched FROM one FULL JOIN o ON o.id = one.id),
