@@ -140,6 +140,60 @@ def patch_places(places: DataFrame, patches: DataFrame, fields: list[str]) -> tu
     return out, judged.unionByName(others).unionByName(refused)
 
 
+def patch_rows(table: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Set the fields that patches name (`key, has`, the fields, `actor`, `at`), to null too, and `modified_by`, `modified_at` where the table has them: the new table and `key, status`.
+
+    For sources, concepts and entries alike. 400 without a key, or with no field that may be set; 404
+    unknown; 409 for all but the first patch for a key; 200 done. Fields that may not be set are passed
+    over. Each row of the table stays one row.
+    """
+    named = F.array_intersect(F.coalesce("has", F.array().cast("array<string>")), F.array(*[F.lit(f) for f in fields]))
+    marked = patches.withColumn("has", named).withColumn("fit", F.col(key).isNotNull() & (F.size("has") > 0))
+    first, others = one_a_key(marked.filter("fit").drop("fit"), key)
+    met = table.select(F.struct(*table.columns).alias("_row"), F.col(key)).join(first.select(key, F.struct(*first.columns).alias("_patch")), key, "left")
+    stamps = {"modified_by": "actor", "modified_at": "at"}
+    sets = lambda f: F.coalesce(F.array_contains("_patch.has", f), F.lit(False))
+    hit = F.col("_patch").isNotNull()
+    out = [F.when(sets(c), F.col(f"_patch.{c}")).otherwise(F.col(f"_row.{c}")).alias(c) if c in fields else F.when(hit, F.col(f"_patch.{stamps[c]}")).otherwise(F.col(f"_row.{c}")).alias(c) if c in stamps else F.col(f"_row.{c}").alias(c) for c in table.columns]
+    known = table.select(key).distinct().withColumn("there", F.lit(True))
+    judged = first.select(key).join(known, key, "left").select(key, F.when(F.col("there"), "200").otherwise("404").alias("status"))
+    return met.select(*out), judged.unionByName(others).unionByName(marked.filter("not fit").select(key, F.lit("400").alias("status")))
+
+
+def create_concepts(concepts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add concepts: the new thesaurus and `type, status`.
+
+    Requests: type, labels (language to label), at, and any of the concepts' columns; what they do not give
+    is null, `sort_order` of concepts without one is 99. 400 without a type or an English label; 409 for a
+    type that is taken, retired or not, and for all but the first request for it; 201 added.
+    """
+    clean = requests.withColumn("type", F.nullif(F.trim("type"), F.lit("")))
+    fit = F.col("type").isNotNull() & (F.coalesce(F.trim(F.col("labels")["en"]), F.lit("")) != "")
+    marked = clean.withColumn("fit", F.coalesce(fit, F.lit(False)))
+    asked = marked.filter("fit").drop("fit").withColumn("labels", F.map_filter("labels", lambda k, v: F.coalesce(F.trim(v), F.lit("")) != ""))
+    # A map has no order: requests are compared by their text.
+    told = asked.withColumn("labels", F.to_json("labels"))
+    first, others = one_a_key(told, "type")
+    known = concepts.select("type").distinct().withColumn("there", F.lit(True))
+    met = first.join(known, "type", "left").withColumn("status", F.when(F.col("there"), "409").otherwise("201"))
+    made = met.filter("status = '201'").withColumn("labels", F.from_json("labels", "map<string,string>"))
+    values = {"sort_order": F.coalesce("sort_order", F.lit(99)) if "sort_order" in made.columns else F.lit(99)}
+    new = made.select(*[(values[c] if c in values else F.col(c) if c in made.columns else F.lit(None)).cast(concepts.schema[c].dataType).alias(c) for c in concepts.columns])
+    return concepts.unionByName(new), met.select("type", "status").unionByName(others).unionByName(marked.filter("not fit").select("type", F.lit("400").alias("status")))
+
+
+def replace_thesaurus(concepts: DataFrame, new: DataFrame, context: str | None) -> tuple[DataFrame, str]:
+    """A whole thesaurus in place of another: what is kept, and the status.
+
+    400, and the old one stays, without a context, without any concept, or if a concept has no type or two
+    have one; 200 else. Columns are those of the old one; what the new one does not give is null.
+    """
+    at = new.agg(F.count(F.lit(1)).alias("n"), F.count("type").alias("known"), F.countDistinct("type").alias("types")).first()
+    if not (context or "").strip() or not at["n"] or not at["n"] == at["known"] == at["types"]:
+        return concepts, "400"
+    return new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(concepts.schema[c].dataType).alias(c) for c in concepts.columns]), "200"
+
+
 def save_sources(registry: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add sources to a registry, after its last category, or update their editable fields: the new registry in order (`pos` anew) and `source_id, status`.
 

@@ -136,3 +136,21 @@ def test_sequences_keep_columns_named_like_their_own(spark):
     rows = out.orderBy("seq").collect()
     assert [r.pos for r in rows] == [1, 2, 3, None, None, None] and [r.seq for r in rows] == [1, 2, 3, 4, 5, 6]
     assert all(r[n] == f"{n}{r.pos}" for r in rows[:3] for n in names)
+
+
+def test_sources_and_concepts_answer_each_request(spark):
+    rows = spark.createDataFrame([("a", "A", "x", None), ("b", "B", "x", "old"), (None, "N", "x", None), ("b", "B2", "x", None)], "id string, label string, category string, modified_by string")
+    asked = spark.createDataFrame([("b", ["label", "id"], None, "me", "1"), ("b", ["label"], "late", "me", "2"), ("z", ["label"], "q", "me", "1"), (None, ["label"], "q", "me", "1"), ("a", ["id"], "q", "me", "1"), ("a", None, "q", "me", "1")], "id string, has array<string>, label string, actor string, at string")
+    new, told = store.patch_rows(rows, asked, "id", ["label"])
+    assert sorted(map(tuple, new.collect()), key=str) == sorted([("a", "A", "x", None), ("b", None, "x", "me"), (None, "N", "x", None), ("b", None, "x", "me")], key=str)
+    assert sorted((str(r.id), r.status) for r in told.collect()) == [("None", "400"), ("a", "400"), ("a", "400"), ("b", "200"), ("b", "409"), ("z", "404")]
+    concepts = spark.createDataFrame([("river", {"en": "River"}, 3, True)], "type string, labels map<string,string>, sort_order int, deprecated boolean")
+    wanted = spark.createDataFrame([(" creek ", {"en": "Creek", "nl": " "}, "1"), ("creek", {"en": "Later"}, "2"), ("river", {"en": "x"}, "1"), ("lake", {"nl": "Meer"}, "1"), ("", {"en": "x"}, "1"), (None, None, "1")], "type string, labels map<string,string>, at string")
+    after, told = store.create_concepts(concepts, wanted)
+    assert sorted((r.type, r.labels, r.sort_order) for r in after.collect()) == [("creek", {"en": "Creek"}, 99), ("river", {"en": "River"}, 3)]
+    assert sorted((str(r.type), r.status) for r in told.collect()) == [("None", "400"), ("None", "400"), ("creek", "201"), ("creek", "409"), ("lake", "400"), ("river", "409")]
+    two = after.select("type", "labels")
+    kept, status = store.replace_thesaurus(concepts, two, "{}")
+    assert status == "200" and kept.count() == 2 and kept.columns == concepts.columns
+    for bad, context in ((two, ""), (two, None), (two.limit(0), "{}"), (two.unionByName(two), "{}"), (two.withColumn("type", F.lit(None).cast("string")), "{}")):
+        assert store.replace_thesaurus(concepts, bad, context)[1] == "400"
