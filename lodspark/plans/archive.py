@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodspark.operators import assemble, checks, entities, gazetteer, graph, streets
+from lodspark.operators import assemble, checks, entities, gazetteer, graph, jsonld, streets
 from lodspark.operators.scratch import shared_path, workspace, written
 from lodspark.sources import readers, sinks
 
@@ -146,6 +146,12 @@ def _unmet(s, d, folder):
     return links.join(g.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("n_ends"))
 
 
+def _triples(s, d, folder):
+    """What the graph's documents say, by property and kind of value."""
+    docs = written(jsonld.documents(assemble.graph(s, *_all(s, d, folder))), f"{folder}/documents")
+    return jsonld.expand(docs).groupBy("property", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_documents"))
+
+
 def _coverage(s, d, folder):
     return checks.link_coverage(assemble.coverage(*_all(s, d, folder)))
 
@@ -203,6 +209,7 @@ _ARCHIVE = {
     "archive_coverage": _coverage,
     "archive_report": _report,
     "archive_unmet": _unmet,
+    "archive_triples": _triples,
     "archive_mergers": _mergers,
     "archive_map": _map,
     "archive_presence": _presence,
@@ -277,6 +284,8 @@ SQL = {
         {{'c': 'E13 with organization', 'l': org, 't': e13}}, {{'c': 'E13 with class', 'l': e13, 't': e13}}, {{'c': 'E13 with year', 'l': e13, 't': e13}}, {{'c': 'E22 carrying something', 'l': named + 2, 't': years + 2}}, {{'c': 'E25 with representation', 'l': shown, 't': e25}},
         {{'c': 'E25 with type', 'l': e25, 't': e25}}, {{'c': 'E22 with production', 'l': years + 2, 't': years + 2}}, {{'c': 'E12 with product', 'l': years + 2, 't': years + 2}}, {{'c': 'E12 with maker', 'l': 0, 't': years + 2}}, {{'c': 'E12 with place', 'l': 0, 't': years + 2}},
         {{'c': 'E36 with content', 'l': 0, 't': e36}}, {{'c': 'E36 with keeper', 'l': 0, 't': e36}}, {{'c': 'Polygons in the country', 'l': p, 't': p}}, {{'c': 'Linestrings in the country', 'l': r, 't': r}}]) AS u FROM counts, x)""",
+    "archive_unmet": f"""WITH {_POLYGONS}, {_E74}, {_ALMANAC}, {_PRINTED}, u AS (SELECT 'about' AS key, qid FROM obs WHERE qid IS NOT NULL UNION ALL SELECT 'identifies', qid FROM anames)
+      SELECT key, count(*) AS n, count(DISTINCT qid) AS n_ends FROM u WHERE qid NOT IN (SELECT qid FROM e74) GROUP BY key""",
     "archive_coverage": f"""WITH {_E25}, {_E41}, {_RIVERS}, {_ALMANAC}, {_PRINTED}
       SELECT 'E25' AS entity, 'owner' AS link, count(qid) AS linked, count(*) AS total FROM raw UNION ALL SELECT 'E25', 'former_owner', count(qid_alt), count(*) FROM raw UNION ALL SELECT 'E25', 'place', count(*) FILTER (placed), count(*) FROM raw
       UNION ALL SELECT 'E26', 'place', count(*) FILTER (placed), count(*) FROM e26
