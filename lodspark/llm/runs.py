@@ -29,7 +29,7 @@ from .words import mix
 
 #: Words and periods that a run has at least.
 LEAST_WORDS, LEAST_PERIODS = 12, 2
-#: Lags below it are looked for among all words; it is no more than half of what 3 * SHORT / 2 >= LEAST_WORDS asks.
+#: Lags below it are looked for among all words. From it on two periods are LEAST_WORDS or more, so a run has as many zeros as its lag.
 SHORT = 8
 #: Bytes of text whose words are looked at together; bytes that are split into words at once.
 SLICE, PIECE = 1 << 20, 4 << 20
