@@ -92,6 +92,29 @@ def existing_only(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_semi")
 
 
+def gathered(records: DataFrame, key: str, candidates: list[str], names: DataFrame, sources: DataFrame) -> DataFrame:
+    """`key, uri, text, source`: the names of each record under any of its candidate links (columns of `records`), each name once, with its source's label.
+
+    Names: uri, identifies, text, carried_by, pos; of several rows of one name the last by pos counts.
+    Sources: uri, label; a source that is not known gives its link. Links that are null are left out.
+    """
+    asked = records.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*candidates)))).alias("identifies"))
+    met = asked.join(names.select("identifies", "uri", "text", "carried_by", "pos"), "identifies")
+    one = met.groupBy(key, "uri").agg(F.max_by(F.struct("text", "carried_by"), F.struct("pos", "text")).alias("n"))
+    label = sources.groupBy(F.col("uri").alias("carried_by")).agg(F.min("label").alias("label"))
+    return one.select(key, "uri", "n.text", "n.carried_by").join(label, "carried_by", "left").select(key, "uri", "text", F.coalesce("label", "carried_by").alias("source"))
+
+
+def across(rows: DataFrame, key: str, source: str, value: str, sources: dict[str, str], separator: str = ", ") -> DataFrame:
+    """One row a key with a column for each source (name of the column to the source's value): its distinct values there, sorted and joined; null where the source has none.
+
+    Which records of several maps are one is said by the key, a Q-ID for one; rows without it are left out.
+    """
+    kept = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, source, F.col(value).cast("string").alias("value")).distinct()
+    lists = [F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col(source) == s, F.col("value")))), separator), F.lit("")).alias(name) for name, s in sources.items()]
+    return kept.groupBy(key).agg(*lists)
+
+
 def valid_links(links: DataFrame, at: Column) -> DataFrame:
     """Links (src, dst, valid_from, valid_to) that hold at a date; an open end holds for ever, and `valid_to` itself no longer counts."""
     return links.filter((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))

@@ -310,7 +310,25 @@ _PLACES = """places AS (SELECT s_suppkey AS id, s_name AS label, s_acctbal AS si
   CASE WHEN s_suppkey % 10 = 4 THEN s_suppkey - 1 END AS merged_into FROM supplier)"""
 _TAGS = "WITH t AS (SELECT o_custkey AS custkey, list(DISTINCT o_orderpriority) AS tags FROM orders GROUP BY o_custkey)"
 
+def _gathered(s, d):
+    """Names of the suppliers that a customer may mean by any of three links, with the nation that names them."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    key = F.col("c_custkey")
+    c = table(s, d, "customer").select("c_custkey", text("s", key % 130).alias("a"), F.when(key % 3 == 0, text("t", key % 7)).alias("b"), text("s", F.floor(key / 20)).alias("c"))
+    v = table(s, d, "supplier").select(F.explode(F.array(text("s", F.col("s_suppkey")), text("t", F.col("s_suppkey") % 11))).alias("identifies"), text("name/", F.col("s_suppkey") % 60).alias("uri"), F.col("s_name").alias("text"), text("n", F.col("s_nationkey")).alias("carried_by"), F.col("s_suppkey").alias("pos"))
+    n = table(s, d, "nation").filter("n_nationkey < 20").select(text("n", F.col("n_nationkey")).alias("uri"), F.col("n_name").alias("label"))
+    return detail.gathered(c, "c_custkey", ["a", "b", "c"], v, n)
+
+
+def _across(s, d):
+    """Types of parts by brand, as two maps of the parts show them."""
+    p = table(s, d, "part").select("p_brand", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("map"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("p_type"))
+    return detail.across(p, "p_brand", "map", "p_type", {"on_even": "even", "on_odd": "odd"})
+
+
 QUERIES = {
+    "candidate_names": _gathered,
+    "names_across_maps": _across,
     "star_detail": _star,
     "or_key_lookup": _or_key,
     "coalesce_two_keys": _two_keys,
@@ -353,6 +371,12 @@ QUERIES = {
 }
 
 SQL = {
+    "candidate_names": """WITH c AS (SELECT DISTINCT c_custkey, unnest([ 's' || (c_custkey % 130), CASE WHEN c_custkey % 3 = 0 THEN 't' || (c_custkey % 7) END, 's' || (c_custkey // 20)]) AS identifies FROM customer),
+        v AS (SELECT unnest(['s' || s_suppkey, 't' || (s_suppkey % 11)]) AS identifies, 'name/' || (s_suppkey % 60) AS uri, s_name, s_nationkey, s_suppkey FROM supplier),
+        o AS (SELECT c_custkey, uri, arg_max(s_name, s_suppkey) AS text, arg_max(s_nationkey, s_suppkey) AS n FROM c JOIN v USING (identifies) GROUP BY ALL)
+        SELECT c_custkey, uri, text, coalesce(n_name, 'n' || n) AS source FROM o LEFT JOIN nation ON n_nationkey = n AND n_nationkey < 20""",
+    "names_across_maps": """WITH p AS (SELECT DISTINCT p_brand, p_size % 2 AS m, p_type FROM part WHERE p_size > 20)
+        SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_type) FILTER (m = 0) AS on_even, string_agg(p_type, ', ' ORDER BY p_type) FILTER (m = 1) AS on_odd FROM p GROUP BY p_brand""",
     "star_detail": """SELECT c_custkey, c_name, n_name, r_name, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0)::BIGINT AS n_lines, quantity, last_order
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, sum(coalesce(lines, 0)) AS n_lines, round(coalesce(sum(quantity), 0), 2) AS quantity, max(o_orderdate) AS last_order
