@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodspark.functions import geo
-from lodspark.functions.text import last_number, normalize_label
+from lodspark.functions.text import last_number, normalize_label, padded
 
 from .dedupe import in_sequence, next_number
 
@@ -70,5 +70,5 @@ def apply(planned: DataFrame, places: DataFrame, tag: str) -> DataFrame:
     new = new.select("id", pick("label", F.col("u.label")), pick("type", F.lit("road")), pick("lat", F.col("u.centre.y")), pick("lng", F.col("u.centre.x")), pick("wkt", F.col("u.wkt")), pick("fid", F.col("u.first_id").cast("int")), pick("sources", F.array_union("sources", F.array(F.lit(tag)))))
     last = next_number(places, "id").first().next_id - 1
     added = in_sequence([planned.filter("outcome = 'insert'")]).withColumnRenamed("seq", "n")
-    added = added.select(F.concat(F.lit("stm-"), F.lpad((F.col("n") + last).cast("string"), 5, "0")).alias("id"), "label", F.lit("road").alias("type"), F.col("centre.y").alias("lat"), F.col("centre.x").alias("lng"), "wkt", F.col("first_id").cast("int").alias("fid"), F.array(F.lit(tag)).alias("sources"))
+    added = added.select(F.concat(F.lit("stm-"), padded(F.col("n") + last)).alias("id"), "label", F.lit("road").alias("type"), F.col("centre.y").alias("lat"), F.col("centre.x").alias("lng"), "wkt", F.col("first_id").cast("int").alias("fid"), F.array(F.lit(tag)).alias("sources"))
     return new.unionByName(added)

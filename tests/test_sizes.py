@@ -1,6 +1,6 @@
 """What shows only in larger tables."""
 
-from lodspark.operators import detail
+from lodspark.operators import detail, streets
 
 
 def test_near_counts_distances_as_they_are_written(spark):
@@ -8,3 +8,11 @@ def test_near_counts_distances_as_they_are_written(spark):
     points = spark.createDataFrame([(k, km / degree, 10.0) for k, km in enumerate([39.9, 40.0003, 40.0007, -40.0004])], "id int, lat double, lng double")
     around = spark.createDataFrame([("a", 0.0, 10.0)], "name string, lat double, lng double")
     assert sorted((r.id, r.km) for r in detail.near(points, around, 40.0).collect()) == [(0, 39.9), (1, 40.0), (3, 40.0)]
+
+
+def test_new_streets_keep_all_digits_of_their_number(spark):
+    places = spark.createDataFrame([("stm-99998", "Old Road", "road", None, None, None, None, ["x"])], "id string, label string, type string, lat double, lng double, wkt string, fid int, sources array<string>")
+    line = [[(0.0, 0.0), (1.0, 1.0)]]
+    features = spark.createDataFrame([(k, f"New Road {k}", k, line) for k in range(3)], "pos long, name string, id long, segments array<array<struct<x:double,y:double>>>")
+    planned = streets.plan(streets.aggregate(features), places, "map-1916")
+    assert sorted(r.id for r in streets.apply(planned, places, "map-1916").collect()) == ["stm-100000", "stm-100001", "stm-99998", "stm-99999"]
