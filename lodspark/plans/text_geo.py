@@ -46,7 +46,7 @@ def _url_params(s, d):
 
 
 def _place_ids(s, d):
-    u = table(s, d, "pages").select("page_id", F.concat(F.lit("https://x/place/stm-"), F.lpad(F.col("page_id").cast("string"), 5, "0")).alias("link"), "url")
+    u = table(s, d, "pages").select("page_id", F.concat(F.lit("https://x/place/stm-"), F.right(F.concat(F.lit("00000"), F.col("page_id").cast("string")), F.lit(5))).alias("link"), "url")
     return u.select("page_id", uri.place_id("link").alias("place_id"), uri.place_id(F.col("page_id").cast("string")).alias("same"), uri.tail("url").alias("tail"))
 
 

@@ -1,5 +1,8 @@
 """What shows only in larger tables."""
 
+import duckdb
+
+import __spark_entry__ as driver
 from lodspark.operators import detail, streets
 
 
@@ -16,3 +19,13 @@ def test_new_streets_keep_all_digits_of_their_number(spark):
     features = spark.createDataFrame([(k, f"New Road {k}", k, line) for k in range(3)], "pos long, name string, id long, segments array<array<struct<x:double,y:double>>>")
     planned = streets.plan(streets.aggregate(features), places, "map-1916")
     assert sorted(r.id for r in streets.apply(planned, places, "map-1916").collect()) == ["stm-100000", "stm-100001", "stm-99998", "stm-99999"]
+
+
+def test_place_ids_of_six_digits(spark, tmp_path):
+    pages = [(k, f"https://x.example/a/{k}?q=1") for k in (7, 99999, 100000, 123456, 1234567)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = driver.queries()["place_id_from_uri"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(driver.oracle_sql()["place_id_from_uri"]).fetchall()
+    assert sorted((r.page_id, r.place_id, r.same, r.tail) for r in got) == sorted(want)
