@@ -29,3 +29,13 @@ def test_place_ids_of_six_digits(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.sql(driver.oracle_sql()["place_id_from_uri"]).fetchall()
     assert sorted((r.page_id, r.place_id, r.same, r.tail) for r in got) == sorted(want)
+
+
+def test_names_of_a_link_that_many_share_are_one_before_records_meet_them(spark):
+    names = spark.createDataFrame([("s1", "name/1", f"text {k}", f"n{k}", k) for k in range(50)], "identifies string, uri string, text string, carried_by string, pos long")
+    records = spark.createDataFrame([(k, "s1") for k in range(40)], "id long, a string")
+    sources = spark.createDataFrame([("n49", "label")], "uri string, label string")
+    got = detail.gathered(records, "id", ["a"], names, sources)
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "name/1", "text 49", "label") for k in range(40)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [identifies" in plan[plan.index("Join Inner, (identifies") :]
