@@ -1,5 +1,7 @@
 """What shows only in larger tables."""
 
+import random
+
 import duckdb
 
 import __spark_entry__ as driver
@@ -39,3 +41,19 @@ def test_names_of_a_link_that_many_share_are_one_before_records_meet_them(spark)
     assert sorted(tuple(r) for r in got.collect()) == [(k, "name/1", "text 49", "label") for k in range(40)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [identifies" in plan[plan.index("Join Inner, (identifies") :]
+
+
+def test_close_names_with_a_long_common_beginning(spark, monkeypatch):
+    from test_linkage import edits
+
+    from lodspark.operators import registers
+
+    rng = random.Random(3)
+    names = sorted({"customer " + "".join(rng.choice("0123") for _ in range(rng.randint(0, 6))) for _ in range(250)} | {"customer", "customer 1 and a longer name than that"[:rng.randint(14, 19)]})
+    names = [n for n in names if n == n.strip()]
+    rows = [(k, f"n{k % 2}", n) for k, n in enumerate(names)]
+    people = spark.createDataFrame(rows, "id long, nation string, name string")
+    want = sorted((i, j, edits(x, y)) for i, p, x in rows for j, q, y in rows if p == q and edits(x, y) <= 2)
+    for short in (12, 0):
+        monkeypatch.setattr(registers, "SHORT", short)
+        assert sorted(tuple(r) for r in registers.linked_persons(people, people, ["nation"], "name").collect()) == want
