@@ -57,3 +57,16 @@ def test_close_names_with_a_long_common_beginning(spark, monkeypatch):
     for short in (12, 0):
         monkeypatch.setattr(registers, "SHORT", short)
         assert sorted(tuple(r) for r in registers.linked_persons(people, people, ["nation"], "name").collect()) == want
+
+
+def test_patterns_are_counted_without_their_pairs(spark, tmp_path, monkeypatch):
+    import test_linkage as t
+
+    from lodspark.operators import linkage
+
+    a, b = t.two_sources(150)
+    a += [(900, a[0][1], *a[0][2:]), (901, None, "", None, None), (902, a[1][1], None, 1800, "P3"), (903, None, "north", 1801, "P4")]
+    (ca, _), (cb, _) = (linkage.classes(spark.createDataFrame(x, t.KIND), t.FIELDS) for x in (a, b))
+    want = dict(t.brute_patterns(a, b))
+    monkeypatch.setattr(linkage, "compared", None)
+    assert linkage.counted(ca, cb, t.FIELDS, t.BLOCKS, str(tmp_path / "w")) == want
