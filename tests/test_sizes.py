@@ -70,3 +70,16 @@ def test_patterns_are_counted_without_their_pairs(spark, tmp_path, monkeypatch):
     want = dict(t.brute_patterns(a, b))
     monkeypatch.setattr(linkage, "compared", None)
     assert linkage.counted(ca, cb, t.FIELDS, t.BLOCKS, str(tmp_path / "w")) == want
+
+
+def test_only_likely_patterns_are_compared(spark):
+    import test_linkage as t
+
+    from lodspark.operators import linkage
+
+    a, b = t.two_sources(150)
+    (ca, _), (cb, _) = (linkage.classes(spark.createDataFrame(x, t.KIND), t.FIELDS) for x in (a, b))
+    wanted = ["2222", "1222", "22-2", "202-", "1202"]
+    all_, some = (linkage.compared(ca, cb, t.FIELDS, t.BLOCKS, *w).collect() for w in ([], [wanted]))
+    assert sorted(r for r in all_ if r.pattern in wanted) == sorted(r for r in some if r.pattern in wanted) and len(some) < len(all_)
+    assert not linkage.compared(ca, cb, t.FIELDS, t.BLOCKS, []).collect()
