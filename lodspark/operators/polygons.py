@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Border cells of up to so many edges have them as plain columns, so pairs are tested in compiled code.
+FEW = 8
+
 
 def edges(rings: Column) -> Column:
     """The edges (x1, y1, x2, y2) of rings (arrays of points x, y), closed where they are not; holes and parts are further rings. Points without coordinates are left out."""
@@ -17,14 +20,19 @@ def edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, of))
 
 
-def _crossing(e: Column, y: Column) -> Column:
+def _crossing(e: Column | dict[str, Column], y: Column) -> Column:
     """Where an edge meets a level."""
     return (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
 
 
+def _crossed(e: Column | dict[str, Column], x: Column, y: Column) -> Column:
+    """Whether a ray to the right meets an edge; it counts with its lower end, without its upper one."""
+    return ((e["y1"] > y) != (e["y2"] > y)) & (x < _crossing(e, y))
+
+
 def inside(of: Column, x: Column, y: Column) -> Column:
-    """Whether a ray to the right meets an odd number of edges; edges count with their lower end, without their upper one."""
-    return F.size(F.filter(of, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < _crossing(e, y)))) % 2 == 1
+    """Whether a ray to the right meets an odd number of edges."""
+    return F.size(F.filter(of, lambda e: _crossed(e, x, y))) % 2 == 1
 
 
 def cells(polygons: DataFrame, size: float) -> DataFrame:
@@ -63,9 +71,26 @@ def located(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     A point on an edge that has the polygon to its right is inside, so polygons that share an edge share no
     point. Points without coordinates, and polygons without edges, meet nothing. `size` is a cell's side:
     about that of the smaller polygons.
+
+    A few points and polygons can have very many pairs, so both are dealt over tasks by their cells:
+    neither the size of their files nor that of the shuffle decides how many tasks make the pairs. Cells
+    of more than `FEW` edges are met in a join of their own.
     """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["cell_y", "cell_x"]
     floor = lambda c: F.floor(F.col(c) / size).cast("long")
     p = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumns({"cell_y": floor("y"), "cell_x": floor("x")})
-    met = p.join(cells(polygons, size), ["cell_y", "cell_x"])
-    met = met.filter(~F.col("border") | inside(F.col("edges"), F.col("x"), F.col("y")))
-    return met.drop("cell_y", "cell_x", "border", "edges")
+    p = p.repartition(tasks, *at)
+    all_cells = cells(polygons.repartition(points.sparkSession.sparkContext.defaultParallelism), size)
+    out = [*points.columns, *[c for c in polygons.columns if c != "edges"]]
+
+    # Edges that a cell lacks are level, so no ray meets them. They become columns after the shuffle: before it, each would make the list again.
+    level = lambda i, c: F.coalesce(F.get("edges", F.lit(i))[c], F.lit(0.0))
+    few = all_cells.filter(~F.col("border") | (F.size("edges") <= FEW)).repartition(tasks, *at).withColumns({f"edge{i}_{c}": level(i, c) for i in range(FEW) for c in ("x1", "y1", "x2", "y2")}).drop("edges")
+    odd = F.lit(False)
+    for i in range(FEW):
+        odd = odd != _crossed({c: F.col(f"edge{i}_{c}") for c in ("x1", "y1", "x2", "y2")}, F.col("x"), F.col("y"))
+    met = few.hint("merge").join(p, at).filter(~F.col("border") | odd).select(*out)
+
+    many = all_cells.filter(F.col("border") & (F.size("edges") > FEW))
+    return met.unionByName(many.repartition(tasks, *at).hint("merge").join(p, at).filter(inside(F.col("edges"), F.col("x"), F.col("y"))).select(*out))

@@ -83,3 +83,23 @@ def test_only_likely_patterns_are_compared(spark):
     all_, some = (linkage.compared(ca, cb, t.FIELDS, t.BLOCKS, *w).collect() for w in ([], [wanted]))
     assert sorted(r for r in all_ if r.pattern in wanted) == sorted(r for r in some if r.pattern in wanted) and len(some) < len(all_)
     assert not linkage.compared(ca, cb, t.FIELDS, t.BLOCKS, []).collect()
+
+
+def test_points_and_polygons_meet_in_many_tasks(spark, monkeypatch):
+    import test_polygons as t
+    from pyspark.sql import functions as F
+
+    from lodspark.operators import polygons
+
+    rng = random.Random(4)
+    of = t.shapes(rng)
+    points = [(i, rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(300)]
+    df = spark.createDataFrame(points, "p long, x double, y double").coalesce(1)
+    shape = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in of.items()], f"s long, {t.RINGS}").coalesce(1)
+    shape = shape.select("s", polygons.edges(F.col("rings")).alias("edges"))
+    want = sorted((p, s) for p, x, y in points for s, rings in of.items() if s != 22 and t.cast(rings, x, y))
+    for few in (8, 2, 0):
+        monkeypatch.setattr(polygons, "FEW", few)
+        got = polygons.located(df, shape, 0.5).select("p", "s", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.p, r.s) for r in got) == want, few
+        assert len({r.task for r in got}) > 1
