@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import shared_path, written
+
+#: A key of more spans than this in the first table has its spans cut into blocks; others are joined by key alone.
+DENSE = 512
+
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str] = ("a_from", "a_until"), b_span: tuple[str, str] = ("b_from", "b_until")) -> DataFrame:
     """Columns of both tables, `from` and `until`, for all pairs with equal keys whose spans have a day in common, each pair once.
@@ -13,11 +18,14 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str
     Spans are whole numbers (days, years), `until` no longer counts; a null begin or end is open. Empty
     spans and null keys meet nothing; repeated rows are rows of their own.
 
-    Two spans overlap if the later one begins within the other. Spans are cut into the aligned blocks of
-    1, 2, 4, ... days that make them up, two of a size at most, and a begin lies in one block of each
-    size; so an equi-join by key and block finds each pair at one block, whatever the spans' lengths. A
-    key with very many rows is dealt over its blocks.
+    Both tables are written once. A row of `b` meets the spans of its key in `a`, `DENSE` at most. For keys
+    that have more of them: two spans overlap if the later one begins within the other. Spans are cut into
+    the aligned blocks of 1, 2, 4, ... days that make them up, two of a size at most, and a begin lies in
+    one block of each size; so an equi-join by key and block finds each pair at one block, whatever the
+    spans' lengths, and such a key is dealt over its blocks.
     """
+    folder = shared_path(a.sparkSession, "overlap-spans")
+    a, b = written(a, f"{folder}/a"), written(b, f"{folder}/b")
     ends = [x.agg(F.min(s).alias("low"), F.max(s).alias("high"), F.min(u).alias("low2"), F.max(u).alias("high2")) for x, (s, u) in ((a, a_span), (b, b_span))]
     edge = ends[0].unionByName(ends[1]).agg(F.min(F.least("low", "low2")).alias("low"), F.max(F.greatest("high", "high2")).alias("high")).first()
     # An open end is one past all that is named.
@@ -26,9 +34,13 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str
 
     def spans(t: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
         begin, end = F.coalesce(F.col(span[0]).cast("long"), F.lit(low)) - low, F.coalesce(F.col(span[1]).cast("long"), F.lit(high)) - low
-        t = t.select(F.struct(*t.columns).alias(side), *[F.col(k).alias(f"{side}_key{n}") for n, k in enumerate(keys)], begin.alias(f"{side}_s"), end.alias(f"{side}_u"))
+        t = t.select(*[F.col(c).alias(f"{side}_{n}") for n, c in enumerate(t.columns)], *[F.col(k).alias(f"{side}_key{n}") for n, k in enumerate(keys)], begin.alias(f"{side}_s"), end.alias(f"{side}_u"))
         return t.filter(F.col(f"{side}_s") < F.col(f"{side}_u"))
 
+    def named(met: DataFrame) -> DataFrame:
+        both = [F.col(f"a_{n}").alias(c) for n, c in enumerate(a.columns)] + [F.col(f"b_{n}").alias(c) for n, c in enumerate(b.columns) if c not in keys]
+        return met.select(*both, (F.greatest("a_s", "b_s") + low).alias("from"), (F.least("a_u", "b_u") + low).alias("until"))
+
     def blocks(begin: Column, end: Column) -> Column:
         sizes = F.sequence(F.lit(0), F.lit(levels))
 
@@ -44,13 +56,21 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str
         """Pairs whose inner span begins in the outer one, `later` days after its begin at least."""
         cut = outer.withColumn("x", F.explode(blocks(F.col(f"{o}_s") + later, F.col(f"{o}_u")))).select("*", "x.*").drop("x")
         begins = inner.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.floor(F.col(f"{i}_s") / F.pow(F.lit(2.0), "size")).cast("long"))
-        same = [F.col(f"{o}_key{n}") == F.col(f"{i}_key{n}") for n in range(len(keys))]
         met = cut.alias("o").join(begins.alias("i"), [*same, F.col("o.size") == F.col("i.size"), F.col("o.block") == F.col("i.block")])
-        return met.select("a", "b", "a_s", "a_u", "b_s", "b_u")
+        return named(met)
 
     left, right = spans(a, a_span, "a"), spans(b, b_span, "b")
-    met = within(right, "b", left, "a", 0).unionByName(within(left, "a", right, "b", 1))
-    return met.select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys], (F.greatest("a_s", "b_s") + low).alias("from"), (F.least("a_u", "b_u") + low).alias("until"))
+    same = [F.col(f"a_key{n}") == F.col(f"b_key{n}") for n in range(len(keys))]
+    of = [f"a_key{n}" for n in range(len(keys))]
+    dense = written(left.groupBy(*of).agg(F.count("a_s").alias("n")).filter(F.col("n") > DENSE).select(*of), f"{folder}/dense")
+    some = not dense.isEmpty()
+    sparse = left.join(dense, of, "left_anti") if some else left
+    met = named(right.join(sparse, [*same, F.col("a_s") < F.col("b_u"), F.col("b_s") < F.col("a_u")]))
+    if not some:
+        return met
+    left = left.join(dense, of, "left_semi")
+    right = right.join(dense.select(*[F.col(c).alias(f"b{c[1:]}") for c in of]), [f"b{c[1:]}" for c in of], "left_semi")
+    return met.unionByName(within(right, "b", left, "a", 0)).unionByName(within(left, "a", right, "b", 1))
 
 
 def as_of(rows: DataFrame, key: list[str], year: str, value: str, limit: int, last: int | None = None) -> DataFrame:

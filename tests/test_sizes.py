@@ -103,3 +103,20 @@ def test_points_and_polygons_meet_in_many_tasks(spark, monkeypatch):
         got = polygons.located(df, shape, 0.5).select("p", "s", F.spark_partition_id().alias("task")).collect()
         assert sorted((r.p, r.s) for r in got) == want, few
         assert len({r.task for r in got}) > 1
+
+
+def test_spans_of_a_key_are_cut_only_where_they_are_many(spark, monkeypatch):
+    import test_timelines as t
+
+    from lodspark.operators import timelines
+
+    rng = random.Random(5)
+    a, b = t.spans(rng, 80, "a"), t.spans(rng, 90, "b")
+    left = spark.createDataFrame(a, "place string, who string, a_from int, a_until int")
+    right = spark.createDataFrame(b, "place string, what string, b_from int, b_until int")
+    few = sum(p in ("x", "y") for p, *_ in a) // 2 + 5
+    for dense, cut in ((512, False), (few, True), (0, True)):
+        monkeypatch.setattr(timelines, "DENSE", dense)
+        met = timelines.overlaps(left, right, ["place"])
+        assert sorted((r.place, r.who, r.what) for r in met.collect()) == t.brute(a, b)
+        assert ("block" in met._jdf.queryExecution().optimizedPlan().toString()) == cut
