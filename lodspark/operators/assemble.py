@@ -93,8 +93,8 @@ def graph(spark: SparkSession, plantation: dict[str, DataFrame], river: dict[str
     ])
 
 
-def features(plantation: dict[str, DataFrame], river: dict[str, DataFrame]) -> DataFrame:
-    """`pos, body` of the map's features: polygons with their plantation's name, status and Q-ID (status unknown without one), then rivers."""
+def features(plantation: dict[str, DataFrame], river: dict[str, DataFrame], path: str | None = None) -> DataFrame:
+    """`pos, body` of the map's features: polygons with their plantation's name, status and Q-ID (status unknown without one), then rivers. With `path` they are made once and written there before they are numbered."""
     from lodspark.sources.sinks import feature
 
     from .graph import names_of
@@ -109,7 +109,7 @@ def features(plantation: dict[str, DataFrame], river: dict[str, DataFrame]) -> D
     line = F.transform(geo.line_points(F.col("wkt")), lambda q: F.array(q["x"], q["y"]))
     rivers = r.filter(line.isNotNull()).select("pos", feature(F.lit("LineString"), line, id=F.col("feature_uri"), fid=F.nullif(F.col("fid").try_cast("int"), F.lit(0)), name=F.col("label"), names=names_of(F.col("label"), F.col("names")), type=F.col("feature_type")).alias("body"))
     # Numbered anew: positions of two files say nothing about each other.
-    return in_sequence([polygons, rivers]).select(F.col("seq").alias("pos"), "body")
+    return in_sequence([polygons, rivers], path=path).select(F.col("seq").alias("pos"), "body")
 
 
 def coverage(plantation: dict[str, DataFrame], river: dict[str, DataFrame], almanac: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, dict[str, Column]]]:

@@ -27,7 +27,8 @@ def _text(*parts):
 
 
 def _csv(rows: DataFrame, path: str, **options: str) -> str:
-    rows.write.csv(path, header=True, quote='"', escape='"', **options)
+    """Rows as files for all cores: a file is read by one task, and a table of one small file would be one task up to its end."""
+    rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism).write.csv(path, header=True, quote='"', escape='"', **options)
     return path
 
 
@@ -162,9 +163,11 @@ def _mergers(s, d, folder):
 
 def _map(s, d, folder):
     """Features of the map as their JSON says."""
-    p, r, _ = _all(s, d, folder)
+    p, r = entities.plantations(polygons(s, d, folder)), entities.rivers(rivers(s, d, folder))
+    p = _tables({k: p[k] for k in ("e25", "e53", "e41")}, folder, "plantation")
+    r = _tables(r, folder, "river")
     get = lambda path: F.get_json_object("body", f"$.{path}")
-    return assemble.features(p, r).select(
+    return assemble.features(p, r, f"{folder}/features").select(
         "pos", get("geometry.type").alias("kind"), get("properties.fid").cast("long").alias("fid"), get("properties.name").alias("name"), get("properties.status").alias("status"), get("properties.qid").alias("qid"), F.json_array_length(get("properties.names")).alias("n_names"),
     )
 

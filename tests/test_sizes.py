@@ -120,3 +120,16 @@ def test_spans_of_a_key_are_cut_only_where_they_are_many(spark, monkeypatch):
         met = timelines.overlaps(left, right, ["place"])
         assert sorted((r.place, r.who, r.what) for r in met.collect()) == t.brute(a, b)
         assert ("block" in met._jdf.queryExecution().optimizedPlan().toString()) == cut
+
+
+def test_the_map_needs_no_almanac_and_files_are_many(spark, tmp_path, monkeypatch):
+    from lodspark.plans import archive
+
+    monkeypatch.setattr(archive, "almanac", None)
+    con = duckdb.connect()
+    for name in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    want = con.sql(driver.oracle_sql()["archive_map"]).fetchall()
+    assert sorted(map(tuple, archive.QUERIES["archive_map"](spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+    path = archive._csv(spark.range(100).coalesce(1), str(tmp_path / "rows.csv"))
+    assert len(spark.read.csv(path, header=True).select("_metadata.file_name").distinct().collect()) > 1
