@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Namespaces of the context: fixed values.
 PREFIXES = {
     "wd": "http://www.wikidata.org/entity/", "wdt": "http://www.wikidata.org/prop/direct/", "crm": "http://www.cidoc-crm.org/cidoc-crm/", "geo": "http://www.opengis.net/ont/geosparql#",
@@ -109,30 +112,60 @@ def compact(rows: DataFrame, terms: list[tuple[str, str, str]] | None = None) ->
     return _bodies(rows.select("id", _mapped(F.concat_ws(" ", "kind", "property"), least, name).alias("term"), "kind", "value", "language", "nth"))
 
 
+def _quoted(c: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _said(kind: Column, value: Column) -> Column:
+    """A value as JSON: integers and booleans bare where they can be read as such."""
+    bare = ((kind == full("xsd:integer")) & value.rlike(r"^(0|-?[1-9]\d{0,17})$")) | ((kind == full("xsd:boolean")) & value.isin("true", "false"))
+    return F.when(bare, value).otherwise(_quoted(value))
+
+
 def _bodies(rows: DataFrame) -> DataFrame:
     """`id, body` of rows `id, term, kind, value, language, nth`."""
-    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-    bare = ((F.col("kind") == full("xsd:integer")) & F.col("value").rlike(r"^(0|-?[1-9]\d{0,17})$")) | ((F.col("kind") == full("xsd:boolean")) & F.col("value").isin("true", "false"))
-    said = rows.select("id", "term", "language", "nth", F.when(bare, F.col("value")).otherwise(quoted(F.col("value"))).alias("text"), quoted(F.col("language")).alias("tongue"))
+    said = rows.select("id", "term", "language", "nth", _said(F.col("kind"), F.col("value")).alias("text"), _quoted(F.col("language")).alias("tongue"))
     texts = F.array_sort(F.collect_list(F.struct("nth", "text", "tongue", "language")))
     by_term = said.groupBy("id", "term").agg(texts.alias("x"))
     list_of = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["text"]), ","), F.lit("]"))
     map_of = F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(x["tongue"], F.lit(":"), x["text"])), ","), F.lit("}"))
     body = F.when(F.exists("x", lambda x: x["language"].isNotNull()), map_of).when(F.size("x") == 1, F.col("x")[0]["text"]).otherwise(list_of)
-    pair = by_term.select("id", "term", F.concat(quoted(F.col("term")), F.lit(":"), body).alias("pair"))
+    pair = by_term.select("id", "term", F.concat(_quoted(F.col("term")), F.lit(":"), body).alias("pair"))
     pairs = F.array_sort(F.collect_list(F.struct("term", "pair")))
     return pair.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: p["pair"]), ","), F.lit("}")).alias("body"))
 
 
-def documents(graph: DataFrame) -> DataFrame:
+def documents(graph: DataFrame, path: str | None = None) -> DataFrame:
     """`id, class, body` of a graph with the context's terms in place of its own keys, and the rule of one value or a list kept.
 
-    An entity that occurs twice is one document with the values of both, each once.
+    An entity that occurs twice is one document with the values of both, each once. One that occurs once,
+    as most do, is rewritten within its row; only the others are taken apart into values and put together
+    again. With `path` the graph is written there first, so it is made once.
     """
     keys = {f"{c} {k}": t for c, of in BODY_TERMS.items() for k, t in of.items()}
-    each = graph.select("id", "class", F.explode(F.from_json("body", "map<string,variant>")).alias("key", "v"))
-    renamed = each.select("id", "class", _mapped(F.concat_ws(" ", "class", "key"), keys, F.col("key")).alias("term"), F.coalesce(F.try_variant_get("v", "$", "array<string>"), F.array(F.try_variant_get("v", "$", "string"))).alias("values"))
-    table = _term_table()
-    rows = renamed.select("id", "class", "term", F.posexplode(F.filter("values", lambda x: x.isNotNull())).alias("nth", "value")).groupBy("id", "class", "term", "value").agg(F.min("nth").alias("nth"))
-    kind = _mapped(F.col("term"), {t: k for t, _, k in table}, F.lit(""))
-    return _bodies(rows.select(F.struct("id", "class").alias("id"), "term", kind.alias("kind"), "value", F.lit(None).cast("string").alias("language"), "nth")).select("id.id", "id.class", "body")
+    kinds = {t: k for t, _, k in _term_table()}
+    term_of = lambda key: _mapped(F.concat_ws(" ", F.col("class"), key), keys, key)
+    values_of = lambda v: F.filter(F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string"))), lambda x: x.isNotNull())
+    read = F.from_json("body", "map<string,variant>")
+    terms = F.transform(F.map_keys(read), term_of)
+    alone = (F.count(F.lit(1)).over(W.partitionBy("id", "class")) == 1) & (F.size(F.array_distinct(terms)) == F.size(terms))
+    told = graph.select("id", "class", "body", F.coalesce(alone, F.lit(False)).alias("alone"))
+    told = told if path is None else written(told, path)
+
+    def pair(term: Column, values: Column) -> Column:
+        texts = F.transform(values, lambda x: _said(_mapped(term, kinds, F.lit("")), x))
+        return F.concat(_quoted(term), F.lit(":"), F.when(F.size(values) == 1, F.array_join(texts, "")).otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))))
+
+    each = F.transform(F.map_entries(read), lambda e: F.struct(term_of(e["key"]).alias("term"), F.array_distinct(values_of(e["value"])).alias("values")))
+    each = F.array_sort(F.filter(each, lambda e: F.size(e["values"]) > 0))
+    pairs = F.transform(each, lambda e: pair(e["term"], e["values"]))
+    body = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    # A row of one element, so that the text is made once and not for its test as well.
+    one = told.filter("alone").select("id", "class", F.explode(F.filter(F.array(body), lambda b: b != "{}")).alias("body"))
+
+    apart = told.filter("not alone").select("id", "class", F.explode(read).alias("key", "v"))
+    renamed = apart.select("id", "class", term_of(F.col("key")).alias("term"), F.posexplode(values_of(F.col("v"))).alias("nth", "value"))
+    rows = renamed.groupBy("id", "class", "term", "value").agg(F.min("nth").alias("nth"))
+    kind = _mapped(F.col("term"), kinds, F.lit(""))
+    many = _bodies(rows.select(F.struct("id", "class").alias("id"), "term", kind.alias("kind"), "value", F.lit(None).cast("string").alias("language"), "nth")).select("id.id", "id.class", "body")
+    return one.unionByName(many)

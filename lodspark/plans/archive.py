@@ -149,7 +149,7 @@ def _unmet(s, d, folder):
 
 def _triples(s, d, folder):
     """What the graph's documents say, by property and kind of value."""
-    docs = written(jsonld.documents(assemble.graph(s, *_all(s, d, folder))), f"{folder}/documents")
+    docs = written(jsonld.documents(assemble.graph(s, *_all(s, d, folder)), f"{folder}/graph"), f"{folder}/documents")
     return jsonld.expand(docs).groupBy("property", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_documents"))
 
 

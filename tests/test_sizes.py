@@ -133,3 +133,22 @@ def test_the_map_needs_no_almanac_and_files_are_many(spark, tmp_path, monkeypatc
     assert sorted(map(tuple, archive.QUERIES["archive_map"](spark, "/root/testdata/sf0.001").collect())) == sorted(want)
     path = archive._csv(spark.range(100).coalesce(1), str(tmp_path / "rows.csv"))
     assert len(spark.read.csv(path, header=True).select("_metadata.file_name").distinct().collect()) > 1
+
+
+def test_single_entities_are_rewritten_in_their_row(spark, tmp_path, monkeypatch):
+    from lodspark.operators import jsonld
+
+    once = [
+        ("a", "E13", '{"year":"1850","deserted":true,"size":12,"name":"x \\"y\\""}'), ("b", "E25", '{"identified_by":["n2","n1","n2",null],"depicted_on":["m"],"label":null,"own":[]}'), ("c", "E25", "{}"), ("d", "E25", None),
+    ]
+    twice = [("e", "E41", '{"identifies":"p"}'), ("e", "E41", '{"identifies":"q"}'), ("f", "E25", '{"label":"l","prefLabel":"k"}')]
+    want = [
+        ("a", "E13", '{"deserted":true,"observationYear":"1850","observedName":"x \\"y\\"","sizeAkkers":12}'), ("b", "E25", '{"P138i_has_representation":"m","P1_is_identified_by":["n2","n1"]}'),
+        ("e", "E41", '{"P1i_identifies":["p","q"]}'), ("f", "E25", '{"prefLabel":["k","l"]}'),
+    ]
+    g = spark.createDataFrame(once + twice, "id string, class string, body string")
+    assert sorted(map(tuple, jsonld.documents(g).collect())) == want
+    taken = []
+    bodies = jsonld._bodies
+    monkeypatch.setattr(jsonld, "_bodies", lambda rows: taken.append({r.id.id for r in rows.collect()}) or bodies(rows))
+    assert sorted(map(tuple, jsonld.documents(g, str(tmp_path / "graph")).collect())) == want and taken == [{"e", "f"}]
