@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shared_path, workspace, written
+from .scratch import remove, shared_path, workspace, written
 
 #: Shares of an organization below this are those of rounding in circles that leak.
 LEAST_SHARE = 1e-12
@@ -53,12 +54,15 @@ def ancestors(parents: DataFrame, most: int | None = None) -> DataFrame:
     itself, and everyone on the circle is named once. `most` stops after so many generations.
 
     Semi-naive: a round extends only the pairs that the round before found, and keeps those that were not
-    known, so it ends in circles too; it costs new pairs, not all paths. Every round is a table.
+    known, so it ends in circles too; it costs new pairs, not all paths. Every round is a table, and these
+    tables are the result: it is not written again.
     """
     spark = parents.sparkSession
-    with workspace(spark, "ancestors") as folder:
+    table = shared_path(spark, "ancestor-table")
+    with workspace(spark, "ancestors") as folder, ExitStack() as undo:
+        undo.callback(remove, spark, table)
         e = written(parents.select("child", "parent").filter("child is not null and parent is not null").distinct(), f"{folder}/edges")
-        new = written(e.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("generation"), F.array("parent").alias("path")), f"{folder}/1")
+        new = written(e.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("generation"), F.array("parent").alias("path")), f"{table}/1")
         known, k = new, 1
         up = e.select(F.col("child").alias("ancestor"), "parent")
         while (most is None or k < most) and not new.isEmpty():
@@ -66,6 +70,7 @@ def ancestors(parents: DataFrame, most: int | None = None) -> DataFrame:
             # In a circle nobody is above themselves more than once.
             further = new.filter(F.col("child") != F.col("ancestor")).join(up, "ancestor").groupBy("child", F.col("parent").alias("next")).agg(F.min("path").alias("path"))
             further = further.select("child", F.col("next").alias("ancestor"), F.lit(k).alias("generation"), F.concat("path", F.array("next")).alias("path"))
-            new = written(further.join(known.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), f"{folder}/{k}")
-            known = spark.read.schema(new.schema).parquet(*[f"{folder}/{j}" for j in range(1, k + 1)])
-        return written(known, shared_path(spark, "ancestor-table"))
+            new = written(further.join(known.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), f"{table}/{k}")
+            known = spark.read.schema(new.schema).parquet(*[f"{table}/{j}" for j in range(1, k + 1)])
+        undo.pop_all()
+        return known

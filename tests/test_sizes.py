@@ -152,3 +152,15 @@ def test_single_entities_are_rewritten_in_their_row(spark, tmp_path, monkeypatch
     bodies = jsonld._bodies
     monkeypatch.setattr(jsonld, "_bodies", lambda rows: taken.append({r.id.id for r in rows.collect()}) or bodies(rows))
     assert sorted(map(tuple, jsonld.documents(g, str(tmp_path / "graph")).collect())) == want and taken == [{"e", "f"}]
+
+
+def test_ancestors_are_written_once(spark, monkeypatch):
+    from lodspark.operators import succession
+
+    rows = []
+    written = succession.written
+    monkeypatch.setattr(succession, "written", lambda t, path: rows.append(0 if path.endswith("/edges") else t.count()) or written(t, path))
+    pairs = spark.createDataFrame([(k, k // 2) for k in range(2, 40)] + [(50, 51), (51, 50)], "child long, parent long")
+    found = succession.ancestors(pairs)
+    assert found.count() == sum(rows) and {(r.child, r.ancestor) for r in found.filter("child > 49").collect()} == {(50, 51), (51, 50), (50, 50), (51, 51)}
+    assert found.filter("child = 39").select("path").orderBy("generation").collect()[-1].path == [19, 9, 4, 2, 1]
