@@ -85,6 +85,67 @@ def test_only_likely_patterns_are_compared(spark):
     assert not linkage.compared(ca, cb, t.FIELDS, t.BLOCKS, []).collect()
 
 
+def linked_classes(spark, a, b, weights):
+    """What `links` finds and what taking the heaviest pair first finds, as classes and their numbers of persons."""
+    from collections import Counter
+
+    import test_linkage as t
+
+    from lodspark.operators import linkage
+
+    of, sides = [], []
+    for rows in (a, b):
+        classes, members = linkage.classes(spark.createDataFrame(rows, t.KIND), t.FIELDS)
+        of.append({r.id: r["class"] for r in members.collect()})
+        sides.append(classes.collect())
+    pairs = []
+    for x in sides[0]:
+        for y in sides[1]:
+            one = [(0, x.name, x.ward, x.born, x.psur)], [(0, y.name, y.ward, y.born, y.psur)]
+            for p in t.brute_patterns(*one):
+                if linkage.enough(p, t.FIELDS) and weights.chance(p) >= 0.5:
+                    pairs.append((weights.weight(p), x["class"], y["class"]))
+    want = t.greedy(pairs, *({r["class"]: r.n for r in s} for s in sides))
+    rows = linkage.links(*(spark.createDataFrame(r, t.KIND) for r in (a, b)), t.FIELDS, t.BLOCKS, weights=weights).collect()
+    assert len({r.id_a for r in rows}) == len(rows) == len({r.id_b for r in rows})
+    return Counter((of[0][r.id_a], of[1][r.id_b]) for r in rows), {k: n for k, (n, _, _) in want.items()}, len(pairs)
+
+
+def test_links_of_a_large_block_are_found_without_its_pairs(spark, monkeypatch):
+    from lodspark.operators import linkage
+
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    a = [(k, name(), "north", 1800, f"P{k % 7}") for k in range(60)]
+    b = [(1000 + k, a[k][1] if k % 4 == 0 else "x" + a[k][1][1:] if k % 4 == 1 else name(), "north", 1800, f"P{k % 5}") for k in range(55)]
+    even, near = {"0": 0.5, "2": 0.5}, {"0": 0.05, "2": 0.95}
+    weights = linkage.Weights(0.3, [{"0": 0.9, "1": 0.05, "2": 0.05}, near, near, even], [{"0": 0.6, "1": 0.2, "2": 0.2}, {"0": 0.9, "2": 0.1}, {"0": 0.9, "2": 0.1}, even])
+    rows, write = [], linkage.written
+
+    def counted(table, path):
+        out = write(table, path)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "written", counted)
+    got, want, pairs = linked_classes(spark, a, b, weights)
+    assert got == want and len(got) == 55 and pairs == 3300
+    assert max(rows) < 300
+
+
+def test_links_of_one_weight_in_several_blocks_and_with_missing_values(spark):
+    from lodspark.operators import linkage
+
+    rng = random.Random(8)
+    some = lambda of, p: rng.choice(of) if rng.random() < p else None
+    kind = lambda k: (k, some(["anna", "annas", "bob", "bobby", "carl"], 0.9), some(["north", "south"], 1), some([1800, 1801], 0.8), some(["P1", "P2"], 1))
+    a, b = [kind(k) for k in range(60)], [kind(1000 + k) for k in range(50)]
+    even, near = {"0": 0.5, "2": 0.5}, {"0": 0.1, "2": 0.9}
+    weights = linkage.Weights(0.5, [{"0": 0.2, "1": 0.4, "2": 0.4}, near, even, even], [{"0": 0.8, "1": 0.1, "2": 0.1}, {"0": 0.8, "2": 0.2}, even, even])
+    got, want, _ = linked_classes(spark, a, b, weights)
+    assert got == want and len(got) > 10
+
+
 def test_points_and_polygons_meet_in_many_tasks(spark, monkeypatch):
     import test_polygons as t
     from pyspark.sql import functions as F
